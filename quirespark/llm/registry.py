@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from quirespark.llm import substring_dedup
+from quirespark.llm import line_dedup, mixing, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op8_source_mixing": mixing.op8_source_mixing,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE,
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op8_source_mixing": mixing.ORACLE,
 }
