@@ -107,11 +107,11 @@ def _windows(words: int, width: int):
             head = gone[run_at]
             rows = np.concatenate([ask, head])
             own, pos = keys[owner[rows]], at[rows] - w.ptr[owner[rows]]
-            known = np.concatenate([np.zeros(len(ask), bool), np.ones(len(head), bool)])
+            known = np.concatenate([np.zeros(len(ask), np.int64), run_n])
             apart = K.mix(own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos.astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.where(known, apart, first[rows]).view(np.int64)), pa.array(second[rows].astype(np.uint32).view(np.int32)), pa.array(own), pa.array(pos.astype(np.int32)), pa.array(np.concatenate([np.ones(len(ask), np.int32), run_n.astype(np.int32)])), pa.array(known)],
-                names=["h", "g", "key", "pos", "n", "known"],
+                [pa.array(np.where(known > 0, apart, first[rows]).view(np.int64)), pa.array(second[rows].astype(np.uint32).view(np.int32)), pa.array(own), pa.array(pos << 32 | known)],
+                names=["h", "g", "key", "run"],
             )
 
     return run
@@ -125,7 +125,8 @@ def _cover(words: int, with_text: bool):
             counts = np.diff(spans.offsets.to_numpy())
             flat = spans.flatten()
             doc = np.repeat(np.arange(len(batch)), counts)
-            pos, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            runs = flat.to_numpy(zero_copy_only=False)
+            pos, n = runs >> 32, np.maximum(runs & 0xFFFFFFFF, 1)
             start = w.ptr[doc] + pos
             # a document may hold the same window at several places, of which one asked for all
             hit = np.unique(doc)
@@ -187,11 +188,14 @@ def remove_repeated(docs: DataFrame, words: int = 50, period: int = 31, id_col:
     anchors = own.select("key", "text").mapInArrow(_anchors(width, period), "h long, key long, pos int, known boolean")
     shared = anchors.withColumn("known", F.col("known") | (F.count(F.lit(1)).over(Window.partitionBy("h")) > 1)).where("known")
     flagged = shared.groupBy("key").agg(F.collect_list("pos").alias("at"))
-    around = text.join(flagged.hint("shuffle_hash"), "key").select("key", "text", "at")
-    found = around.mapInArrow(_windows(words, width), "h long, g int, key long, pos int, n int, known boolean")
+    # both joins are left joins over the same columns, so that Spark deals out the texts once
+    around = text.join(flagged.hint("shuffle_hash"), "key", "left").select("key", "text", F.coalesce("at", F.array().cast("array<int>")).alias("at"), "id")
+    # run: the position and, below it, how many windows from there are known to go (0: ask whether an earlier document has this one)
+    found = around.mapInArrow(_windows(words, width), "h long, g int, key long, run long")
     first = F.min("key").over(Window.partitionBy("h", "g"))
-    gone = found.withColumn("first", first).where("known or first < key").groupBy("key").agg(F.collect_list(F.struct("pos", "n")).alias("gone"))
-    marked = text.join(gone.hint("shuffle_hash"), "key", "left").select("key", "text", F.coalesce("gone", F.array().cast("array<struct<pos:int,n:int>>")).alias("gone"), "id")
+    late = found.withColumn("first", first).where((F.col("run").bitwiseAND(F.lit(0xFFFFFFFF)) > 0) | (F.col("first") < F.col("key")))
+    gone = late.groupBy("key").agg(F.collect_list("run").alias("gone"))
+    marked = text.join(gone.hint("shuffle_hash"), "key", "left").select("key", "text", F.coalesce("gone", F.array().cast("array<long>")).alias("gone"), "id")
     kind = dict(own.dtypes)["id"]
     return marked.mapInArrow(_cover(words, with_text), f"{id_col} {kind}, n_words long, n_removed long, " + "kept_text string, " * with_text + "kept_sha256 string")
 
