@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from quirespark.llm import line_dedup, mixing, substring_dedup
+from quirespark.llm import embedding_dedup, exact_topk, line_dedup, mixing, near_dedup, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op6_exact_topk": exact_topk.op6_exact_topk,
     "op8_source_mixing": mixing.op8_source_mixing,
+    "op10_embedding_near_dedup": embedding_dedup.op10_embedding_near_dedup,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op6_exact_topk": exact_topk.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
+    "op10_embedding_near_dedup": embedding_dedup.ORACLE,
 }
