@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from quirespark.llm import embedding_dedup, exact_topk, line_dedup, mixing, near_dedup, substring_dedup
+from quirespark.llm import bpe, embedding_dedup, exact_topk, line_dedup, mixing, near_dedup, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_exact_topk": exact_topk.op6_exact_topk,
+    "op7_token_files": token_files.op7_token_files,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op10_embedding_near_dedup": embedding_dedup.op10_embedding_near_dedup,
 }
