@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirespark.llm import bpe, embedding_dedup, exact_topk, line_dedup, mixing, near_dedup, substring_dedup, token_files, toxicity
+from quirespark.llm import bpe, embedding_dedup, exact_topk, language_id, line_dedup, mixing, near_dedup, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_exact_topk": exact_topk.op6_exact_topk,
     "op7_token_files": token_files.op7_token_files,
     "op8_source_mixing": mixing.op8_source_mixing,
+    "op9_language_id": language_id.op9_language_id,
     "op10_embedding_near_dedup": embedding_dedup.op10_embedding_near_dedup,
 }
 ORACLES = {
