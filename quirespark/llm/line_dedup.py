@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirespark.llm.rows import keyed
+from quirespark.llm.rows import keyed, whole_rows
 from quirespark.shared import discard, new_path, table
 
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -27,6 +27,11 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _kept() -> Column:
+    kept = F.array_join(F.filter(lines_of(F.col("text")), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    return F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept)
+
+
 class LineRuns:
     """Levelled sorted runs in the shared folder. A row: h and g (hashes of a key), n (documents that have it)."""
 
@@ -84,8 +89,20 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     counts once for it, and all its repeats go. Rows that repeat an id, or have none, count as further documents. An
     empty table gives an empty result. Further columns are ignored.
     """
-    spark = docs.sparkSession
-    own = keyed(docs, id_col, text_col)
+    marked = _marked(keyed(docs, id_col, text_col), min_docs, min_chars, batches, fanout)
+    n_lines = F.size(lines_of(F.col("text"))).cast("long").alias("n_lines")
+    return marked.select(F.col("id").alias(id_col), n_lines, F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), _kept().alias("kept_text"))
+
+
+def without_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 2, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the kept text of each row in place of its text (see drop_frequent_lines)."""
+    marked = _marked(whole_rows(docs, id_col, text_col), min_docs, min_chars, batches, fanout)
+    return marked.select(*(_kept().alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns))
+
+
+def _marked(own: DataFrame, min_docs: int, min_chars: int, batches: int, fanout: int) -> DataFrame:
+    """own with gone, the positions of lines that go (null: none)."""
+    spark = own.sparkSession
     keys = F.transform(lines_of(F.col("text")), line_key)
     long_enough = (lambda k: F.octet_length(k) > 0) if min_chars == 1 else (lambda k: F.char_length(k) >= min_chars)
     marks = F.transform(keys, lambda k, i: F.struct(F.when(long_enough(k), F.xxhash64(k)).alias("h"), F.hash(k).alias("g"), i.alias("i")))
@@ -102,13 +119,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
         runs.ingest(lines.where(F.col("batch") == b).select("h", "g", "key"), min_docs)
     gone = lines.select("h", "g", "key", "at").join(runs.frequent(min_docs), ["h", "g"], "left_semi")
     gone = gone.groupBy("key").agg(F.flatten(F.collect_list("at")).alias("gone"))
-    text = F.coalesce("text", F.lit(""))
-    return own.join(gone.hint("shuffle_hash"), "key", "left").select(
-        F.col("id").alias(id_col),
-        F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(lines_of(F.col("text")), lambda x, i: ~F.array_contains("gone", i)), "\n")).alias("kept_text"),
-    )
+    return own.join(gone.hint("shuffle_hash"), "key", "left")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

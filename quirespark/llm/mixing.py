@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirespark.llm.order import ranked
-from quirespark.llm.rows import keyed
+from quirespark.llm.rows import keyed, whole_rows
 from quirespark.shared import freeze, table
 
 
@@ -52,9 +52,23 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs:
     hash is of the id and the seed, so reruns agree.
     """
     own = keyed(docs.withColumn(text_col, F.struct(F.col(text_col).alias("t"), F.col(source_col).alias("s"))), id_col, text_col)
-    source = F.col("text.s")
+    picked = _picked(own.select("key", "id", F.col("text.t").alias("text"), F.col("text.s").alias("source")), weights, max_epochs, share, seed)
+    return picked.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+def mixture(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, share: float = 1.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mix itself: each row of docs as often as mix_sources takes it."""
+    own = whole_rows(docs, id_col, text_col)
+    picked = _picked(own.select("key", "id", "text", F.col("rest")[source_col].alias("source")), weights, max_epochs, share, seed)
+    often = own.join(picked.where("repeats > 0").select("key", "repeats"), "key")
+    often = often.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+    return often.select(*(F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns))
+
+
+def _picked(own: DataFrame, weights: Sequence[int], max_epochs: int, share: float, seed: int) -> DataFrame:
+    """key, id, size, source_size, target and repeats for own: key, id, text, source."""
     u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key").cast("string"))), 1, 8), 16, 10).cast("long")
-    sizes = freeze(own.select("key", "id", source.alias("source"), _no_null(source).alias("sk"), word_count(F.col("text.t")).alias("size"), u.alias("u")), "sizes")
+    sizes = freeze(own.select("key", "id", "source", _no_null(F.col("source")).alias("sk"), word_count(F.col("text")).alias("size"), u.alias("u")), "sizes")
     sizes = sizes.withColumn("b", F.shiftright("u", 20))  # 4096 parts of a source, of which one holds the edge
     targets = source_targets(sizes, weights, max_epochs, share)
     times = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("long")
@@ -66,8 +80,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs:
     inside = F.sum("size").over(Window.partitionBy("sk", "b").orderBy("u", "key")) - F.col("size")
     picked = sizes.withColumn("inside", inside).join(plan, "sk")
     more = (F.col("b") < F.col("edge")) | ((F.col("b") == F.col("edge")) & (F.col("before") + F.col("inside") + F.col("size") / 2 <= F.col("rest")))
-    taken = F.col("size") * (F.col("times") + F.coalesce(more, F.lit(False)).cast("long"))
-    return picked.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
+    return picked.select("key", "id", "size", "source_size", "target", (F.col("times") + F.coalesce(more, F.lit(False)).cast("long")).alias("repeats"))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quirespark.llm import textkit as K
 from quirespark.llm.components import components
 from quirespark.llm.embedding_dedup import local_roots
-from quirespark.llm.rows import keys_of
+from quirespark.llm.rows import keys_of, whole_rows
 from quirespark.shared import freeze, table
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -166,6 +166,26 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, bands:
     id after all others). An empty table gives an empty result. Further columns are ignored.
     """
     own, clean = keys_of(docs, id_col, text_col)
+    out = _grouped(own, least, width, bands, rows, block_docs, block_chars)
+    names = own.select("key", "id")
+    if clean:
+        kind = dict(own.dtypes)["id"]
+        return out.select(*(F.col(c).cast(kind).alias(n) for c, n in (("key", id_col), ("class", "copy_of"), ("group", "group_id"))), (F.col("key") == F.col("group")).alias("kept"))
+    out = freeze(out, "grouped")
+    for c, n in (("key", id_col), ("class", "copy_of"), ("group", "group_id")):
+        out = out.join(names.select(F.col("key").alias(c), F.col("id").alias(f"_{n}")), c)
+    return out.select(F.col(f"_{id_col}").alias(id_col), F.col("_copy_of").alias("copy_of"), F.col("_group_id").alias("group_id"), (F.col("key") == F.col("group")).alias("kept"))
+
+
+def first_of_each_group(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = 28, rows: int = 5, block_docs: int = 1024, block_chars: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that near_duplicates keeps."""
+    own = whole_rows(docs, id_col, text_col)
+    first = _grouped(own.select("key", "id", "text"), least, width, bands, rows, block_docs, block_chars).where(F.col("key") == F.col("group")).select("key")
+    return own.join(first, "key", "left_semi").select(*(F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns))
+
+
+def _grouped(own: DataFrame, least: float, width: int, bands: int, rows: int, block_docs: int, block_chars: int) -> DataFrame:
+    """key, class (the smallest key with the same words) and group (the smallest key reachable)."""
     sketches = freeze(own.select("key", "text").mapInArrow(_sketch(width, bands, rows), "key long, h long, g long, bands array<long>"), "sketches")
     classes = freeze(sketches.groupBy("h", "g").agg(F.min("key").alias("class")), "classes")
     firsts = freeze(sketches.join(classes.select(F.col("class").alias("key")), "key").select("key", "bands"), "firsts")
@@ -183,15 +203,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, bands:
     links = meets.groupBy("grp", "p", "q").applyInArrow(_verify(width, least), "a long, b long")
     roots = components(links)
     grouped = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("h", "g", "class", F.coalesce("root", "class").alias("group"))
-    out = sketches.select("key", "h", "g").join(freeze(grouped, "groups"), ["h", "g"]).select("key", "class", "group")
-    names = own.select("key", "id")
-    if clean:
-        kind = dict(own.dtypes)["id"]
-        return out.select(*(F.col(c).cast(kind).alias(n) for c, n in (("key", id_col), ("class", "copy_of"), ("group", "group_id"))), (F.col("key") == F.col("group")).alias("kept"))
-    out = freeze(out, "grouped")
-    for c, n in (("key", id_col), ("class", "copy_of"), ("group", "group_id")):
-        out = out.join(names.select(F.col("key").alias(c), F.col("id").alias(f"_{n}")), c)
-    return out.select(F.col(f"_{id_col}").alias(id_col), F.col("_copy_of").alias("copy_of"), F.col("_group_id").alias("group_id"), (F.col("key") == F.col("group")).alias("kept"))
+    return sketches.select("key", "h", "g").join(freeze(grouped, "groups"), ["h", "g"]).select("key", "class", "group")
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
