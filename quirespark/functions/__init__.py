@@ -1 +1 @@
-"""Part of quirespark; see the README."""
+"""Column functions. None of them holds state or runs Python for each row."""

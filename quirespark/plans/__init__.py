@@ -1 +1 @@
-"""Part of quirespark; see the README."""
+"""Queries: operators bound to tables, each with the SQL that gives the same rows."""
