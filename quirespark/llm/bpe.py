@@ -1,7 +1,7 @@
 """Byte-level BPE through a global shuffle of distinct words.
 
 A word here is what lies between two separators together with the separators before it: no pre-token of the pattern
-reaches over its ends, so a text's ids are those of its words in turn. Each Arrow batch is a chunk. One pass sends the
+reaches over its ends, so a text's ids are those of its words in turn. A chunk is a slice of an Arrow batch. One pass sends the
 distinct words of each chunk to buckets by hash, where each distinct word of the corpus is encoded once; the other
 pass keeps, for each chunk, the words of its texts by position. Joined by chunk, the ids are put together again.
 """
@@ -88,7 +88,7 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _chunks(batches: Iterator[pa.RecordBatch], buckets: int):
     part = TaskContext.get().partitionId()
-    for k, batch in enumerate(batches):
+    for k, batch in enumerate(K.slices(batches, 1)):
         data, starts, ends, counts = split_units(batch.column(1))
         h = K.span_hashes(data, starts, ends)
         codes, first = distinct(h)
@@ -224,16 +224,14 @@ def decode(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", into: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_, at = token_bytes(content)
-        for big in batches:
-            for lo in range(0, len(big), 1000):
-                batch = big.slice(lo, 1000)
-                raw = batch.column(batch.schema.get_field_index(ids_col))
-                data, ends = K.buffers(raw)
-                got, sizes = K.ragged_take(table_, at, np.frombuffer(data.tobytes(), "<u4"))
-                decoded = K.binary_array(got, np.concatenate([[0], np.cumsum(sizes)])[ends // 4])
-                if raw.null_count:
-                    decoded = pa.compute.if_else(raw.is_valid(), decoded, pa.scalar(None, pa.binary()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, into])
+        for batch in K.slices(batches, ids_col, 4 << 20):
+            raw = batch.column(batch.schema.get_field_index(ids_col))
+            data, ends = K.buffers(raw)
+            got, sizes = K.ragged_take(table_, at, np.frombuffer(data.tobytes(), "<u4"))
+            decoded = K.binary_array(got, np.concatenate([[0], np.cumsum(sizes)])[ends // 4])
+            if raw.null_count:
+                decoded = pa.compute.if_else(raw.is_valid(), decoded, pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, into])
 
     return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(into, T.BinaryType())]))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 #: The separators of the contracts: space and \x09-\x0D. They are ASCII, so bytes of longer characters never match.
 SPACES = np.zeros(256, bool)
@@ -44,6 +46,17 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int | str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of about `most` bytes of a text or binary column, a longer one alone."""
+    for batch in batches:
+        lens = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, lo = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)]), 0
+        while lo < len(batch):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, "right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 @dataclass
 class Words:
     """Runs of non-separator bytes; words of document d are ptr[d]:ptr[d + 1]."""
