@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirespark.plans import books, conversations, jobs, names  # noqa: F401
+from quirespark.plans import books, clips, conversations, jobs, names  # noqa: F401
 from quirespark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
