@@ -9,6 +9,7 @@ can begin; checksums cover the coded words and the ids.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from quirespark.llm import textkit as K
 from quirespark.llm.bpe import distinct
@@ -107,82 +108,184 @@ class Coder:
         return out
 
 
+def _byte_signs() -> dict[int, int]:
+    """The sign that byte-level vocabularies write for each byte: itself where it can be seen, else one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(seen)]
+    return {b: b for b in seen} | {b: 256 + k for k, b in enumerate(hidden)}
+
+
+_SIGNS = _byte_signs()
+_SMALL = np.zeros(256, bool)
+_SMALL[97:123] = True
+_ALNUM = _SMALL.copy()
+_ALNUM[48:58] = True
+_STOPS = np.zeros(256, bool)
+_STOPS[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "|"]] = True  # not |, which special tokens hold
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+class WordEncoder:
+    """Encodes lists of distinct words as the tokenizer would. Words of small Latin letters, which its normaliser and
+    pre-tokenizer leave as they are, go to its model alone, which is several times quicker."""
+
+    def __init__(self, content: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.whole = Tokenizer.from_str(content)
+        self.bare = Tokenizer(self.whole.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.last = np.zeros(self.whole.get_vocab_size(), bool)
+        for token, i in self.whole.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
+        self.mark = self.whole.encode(_MARK, add_special_tokens=False).ids
+        steps = json.loads(content)
+        split = (steps.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.plain = (
+            steps["model"].get("end_of_word_suffix") == "</w>"
+            and [x["type"] for x in (steps.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+            and [x["type"] for x in split] == ["Split", "ByteLevel"]
+            and split[0].get("pattern", {}).get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        )
+
+    def split(self, w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes, starts and ends of the parts to encode: the words, lower-cased and cut before stops where the
+        tokenizer does both anyway. Marks that join letters, and special tokens, are left alone."""
+        data = w.data
+        if not self.plain or len(data) < 2 or ((data == 0xCC) | (data == 0xCD)).any() or ((data[:-1] == 60) & (data[1:] == 124)).any():
+            return data, w.starts, w.ends
+        data = _LOWER[data]
+        cut = np.flatnonzero(_ALNUM[data[:-1]] & _STOPS[data[1:]]) + 1
+        cut = cut[w.docs[np.searchsorted(w.docs, cut)] != cut]  # not between two texts
+        return data, np.sort(np.concatenate([w.starts, cut])), np.sort(np.concatenate([w.ends, cut]))
+
+    def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts one after another, and how many each has."""
+        n, lens = len(starts), ends - starts
+        data = data[K.ragged_range(starts, lens)]  # the distinct parts alone
+        ends = np.cumsum(lens)
+        starts = ends - lens
+        quick = np.zeros(n, bool)
+        if self.plain and len(data):
+            after, before = np.append(data[1:], 0), np.concatenate([[0], data[:-1]])
+            tail = lambda x: (x >= 0x9F) & (x <= 0xBF) & (x != 0xB7)  # noqa: E731  ß to ÿ without the division sign
+            good = _SMALL[data] | (data == 0xC3) & tail(after) | (before == 0xC3) & tail(data)
+            bad = np.concatenate([[0], np.cumsum(~good)])
+            quick = (bad[ends] == bad[starts]) & (ends > starts)
+        parts = [(np.flatnonzero(quick), self._quick), (np.flatnonzero(~quick), self._slow)]
+        ids, sizes = [], np.zeros(n, np.int64)
+        for which, how in parts:
+            got, sizes[which] = how(data, starts[which], ends[which])
+            ids.append(got)
+        order = np.concatenate([x for x, _ in parts])
+        ptr = np.concatenate([[0], np.cumsum(sizes[order])])
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        return K.ragged_take(np.concatenate(ids), ptr, back)
+
+    def _quick(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out, spaced = [np.zeros(0, np.uint32)], np.append(data, np.uint8(32))
+        for lo in range(0, len(starts), 256):
+            s, e = starts[lo : lo + 256], ends[lo : lo + 256]
+            at = K.ragged_range(s, e - s + 1)
+            at[np.cumsum(e - s + 1) - 1] = len(spaced) - 1
+            text = spaced[at].tobytes().decode("latin-1").translate(_SIGNS | {32: 32})
+            out.append(np.array(self.bare.encode(text, add_special_tokens=False).ids, np.uint32))
+        ids = np.concatenate(out)
+        return ids, np.diff(np.concatenate([[-1], np.flatnonzero(self.last[ids])]))
+
+    def _slow(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lens = ends - starts
+        words = K.binary_array(data[K.ragged_range(starts, lens)], np.concatenate([[0], np.cumsum(lens)])).cast(pa.string()).to_pylist()
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(words), 256):
+            part = words[lo : lo + 256]
+            got = np.array(self.whole.encode(f" {_MARK} ".join([*part, ""]), add_special_tokens=False).ids, np.uint32)
+            at = np.flatnonzero(got == self.mark[0]) if len(self.mark) == 1 else ()
+            if len(at) != len(part):  # a word holds the mark itself
+                each = [x.ids for x in self.whole.encode_batch(part, add_special_tokens=False)]
+                ids.append(np.array([i for x in each for i in x], np.uint32))
+                sizes.append(np.array([len(x) for x in each]))
+                continue
+            sizes.append(np.diff(np.concatenate([[-1], at])) - 1)
+            ids.append(np.delete(got, at))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+
 @functools.lru_cache(maxsize=2)
-def _tokenizer(content: str) -> Tokenizer:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Tokenizer.from_str(content)
-
-
-def _encode_words(t: Tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words one after another, and how many each has."""
-    mark = t.encode(_MARK, add_special_tokens=False).ids
-    ids, lens = [], []
-    for lo in range(0, len(words), 4096):
-        part = words[lo : lo + 4096]
-        got = np.array(t.encode(f" {_MARK} ".join([*part, ""]), add_special_tokens=False).ids, np.uint32)
-        ends = np.flatnonzero(got == mark[0]) if len(mark) == 1 else ()
-        if len(ends) != len(part):  # a word holds the mark itself
-            each = [x.ids for x in t.encode_batch(part, add_special_tokens=False)]
-            ids.append(np.array([i for x in each for i in x], np.uint32))
-            lens.append(np.array([len(x) for x in each]))
-            continue
-        lens.append(np.diff(np.concatenate([[-1], ends])) - 1)
-        ids.append(np.delete(got, ends))
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none.astype(np.uint32), *ids]), np.concatenate([none, *lens])
-
-
-def _tokens(content: str, end_id: int | None):
+def _encoder(content: str) -> WordEncoder:
+    return WordEncoder(content)
+
+
+def _kind(id_bytes: int) -> np.dtype:
+    return np.dtype({2: "<u2", 4: "<u4"}[id_bytes])
+
+
+def _tokens(content: str, end_id: int | None, id_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(content)
-        for batch in batches:
+        encoder = _encoder(content)
+        for batch in K.slices(batches, 1, 6 << 20):
             w = K.words(batch.column(1))  # no pre-token reaches over white space, so distinct words are enough
-            codes, first = distinct(w.hashes())
-            lens = w.ends[first] - w.starts[first]
-            text = K.binary_array(w.data[K.ragged_range(w.starts[first], lens)], np.concatenate([[0], np.cumsum(lens)])).cast(pa.string())
-            ids, sizes = _encode_words(t, text.to_pylist())
-            ptr = np.concatenate([[0], np.cumsum(sizes)])
+            data, starts, ends = encoder.split(w)
+            codes, first = distinct(K.span_hashes(data, starts, ends))
+            ids, sizes = encoder.encode(data, *_in_order(starts, ends, first))
+            back = np.empty(len(first), np.int64)
+            back[np.argsort(first, kind="stable")] = np.arange(len(first))
+            codes, ptr = back[codes], np.concatenate([[0], np.cumsum(sizes)])
+            doc = np.searchsorted(starts, w.docs)
             out, lo = [], 0
             while lo < len(batch):
-                hi = max(lo + 1, int(np.searchsorted(w.ptr, w.ptr[lo] + (1 << 20), "right")) - 1)
-                got, n = K.ragged_take(ids, ptr, codes[w.ptr[lo] : w.ptr[hi]])
-                ends = np.concatenate([[0], np.cumsum(n)])[w.ptr[lo : hi + 1] - w.ptr[lo]]
+                hi = max(lo + 1, int(np.searchsorted(doc, doc[lo] + (1 << 20), "right")) - 1)
+                got, n = K.ragged_take(ids, ptr, codes[doc[lo] : doc[hi]])
+                edges = np.concatenate([[0], np.cumsum(n)])[doc[lo : hi + 1] - doc[lo]]
                 if end_id is not None:
-                    got = np.insert(got, ends[1:], end_id)
-                    ends = ends + np.arange(len(ends))
-                out.append(K.binary_array(got.astype("<u4").view(np.uint8), ends * 4))
+                    got = np.insert(got, edges[1:], end_id)
+                    edges = edges + np.arange(len(edges))
+                out.append(K.binary_array(got.astype(_kind(id_bytes)).view(np.uint8), edges * id_bytes))
                 lo = hi
             yield from pa.Table.from_arrays([pa.chunked_array([batch.column(0)]), pa.chunked_array(out, pa.binary())], names=["id", "ids"]).combine_chunks().to_batches()
 
     return run
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and ids (little-endian uint32) of each text, by a file of the tokenizers library, without special tokens
-    but end_id at the end. Its pre-tokenizer must drop white space. Null and empty texts have only the end id."""
+def _in_order(starts: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    which = np.sort(which)
+    return starts[which], ends[which]
+
+
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None = None, id_bytes: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id and ids (little-endian, id_bytes each: 4, or 2 for vocabularies of up to 65536) of each text, by a file of
+    the tokenizers library, without special tokens but end_id at the end. Its pre-tokenizer must drop white space.
+
+    Null and empty texts have only the end id. Very long texts are encoded whole. Rows that repeat an id, or have none,
+    are encoded each on its own. An empty table gives an empty result. Further columns are ignored.
+    """
     content = open(tokenizer, encoding="utf-8").read()
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return own.mapInArrow(_tokens(content, end_id), f"id {dict(own.dtypes)['id']}, ids binary").withColumnRenamed("id", id_col)
+    return own.mapInArrow(_tokens(content, end_id, id_bytes), f"id {dict(own.dtypes)['id']}, ids binary").withColumnRenamed("id", id_col)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        data, _ = K.buffers(batch.column(0))
-        here = np.bincount(np.frombuffer(data.tobytes(), "<u4"))
-        if len(here) > len(total):
-            here[: len(total)] += total
-            total = here
-        else:
-            total[: len(here)] += here
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["token", "n"])
+def _counted(id_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in K.slices(batches, 0):
+            data, _ = K.buffers(batch.column(0))
+            here = np.bincount(np.frombuffer(data.tobytes(), _kind(id_bytes)))
+            if len(here) > len(total):
+                here[: len(total)] += total
+                total = here
+            else:
+                total[: len(here)] += here
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["token", "n"])
+
+    return run
 
 
 _BLOCK = "part int, block int, first long, n long, lanes int, lens array<long>, payload binary, points binary, crc long, ids_crc long, start long"
 
 
-def _blocks(freq: np.ndarray, block_tokens: int):
+def _blocks(freq: np.ndarray, block_tokens: int, id_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, state = Coder(freq), TaskContext.get().partitionId(), {"block": 0, "start": 0, "first": 0}
 
@@ -198,10 +301,10 @@ def _blocks(freq: np.ndarray, block_tokens: int):
             return pa.RecordBatch.from_arrays(row, names=["ids", *(x.split()[0] for x in _BLOCK.split(", "))])
 
         ids, docs, lens, held = [], [], [], 0
-        for batch in batches:
+        for batch in K.slices(batches, 1):
             data, ends = K.buffers(batch.column(1))
-            ends = ends // 4
-            every, lo = np.frombuffer(data.tobytes(), "<u4"), 0
+            ends = ends // id_bytes
+            every, lo = np.frombuffer(data.tobytes(), _kind(id_bytes)).astype(np.uint32), 0
             while lo < len(batch):
                 hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + block_tokens - held, "right")) - 1)
                 ids.append(every[ends[lo] : ends[hi]])
@@ -218,14 +321,14 @@ def _blocks(freq: np.ndarray, block_tokens: int):
     return run
 
 
-def write_tokens(tokens: DataFrame, path: str, block_tokens: int = 1 << 19, id_col: str = "doc_id") -> None:
+def write_tokens(tokens: DataFrame, path: str, id_bytes: int = 4, block_tokens: int = 1 << 19, id_col: str = "doc_id") -> None:
     """Write the ids of each row (see tokenize) in ascending order of id_col (nulls last; equal ids by their tokens).
 
     path gets two tables: frequencies (token, freq) and blocks, a row each, one file for each range of ids.
     """
     spark = tokens.sparkSession
     stored = freeze(tokens.select(F.col(id_col).alias("id"), "ids"), "tokens")
-    counts = stored.select("ids").mapInArrow(_counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the vocabulary
+    counts = stored.select("ids").mapInArrow(_counted(id_bytes), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the vocabulary
     seen = np.zeros(int(counts["token"].to_numpy().max(initial=-1)) + 1, np.int64)
     seen[counts["token"].to_numpy()] = counts["n"].to_numpy()
     freq = scaled(seen)
@@ -233,7 +336,7 @@ def write_tokens(tokens: DataFrame, path: str, block_tokens: int = 1 << 19, id_c
     order = [F.col("id").asc_nulls_last(), F.col("ids").asc()]
     spread = stored.repartitionByRange(partitions(spark), F.col("id").asc_nulls_last()).sortWithinPartitions(*order)
     kind = dict(stored.dtypes)["id"]
-    spread.select("id", "ids").mapInArrow(_blocks(freq, block_tokens), f"ids array<{kind}>, {_BLOCK}").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    spread.select("id", "ids").mapInArrow(_blocks(freq, block_tokens, id_bytes), f"ids array<{kind}>, {_BLOCK}").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -266,5 +369,5 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
-    write_tokens(tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1), path)
+    write_tokens(tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, id_bytes=2), path, id_bytes=2)
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
