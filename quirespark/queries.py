@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirespark.plans import books, clips, conversations, desk, jobs, names, sources  # noqa: F401
+from quirespark.plans import books, clips, conversations, desk, jobs, names, sounds, sources  # noqa: F401
 from quirespark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
