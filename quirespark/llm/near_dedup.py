@@ -153,7 +153,7 @@ def _verify(width: int, least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = 28, rows: int = 5, block_docs: int = 1024, block_chars: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = 28, rows: int = 5, block_docs: int = 256, block_chars: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group documents whose sets of word shingles have a Jaccard similarity of at least `least`.
 
     Returns one row per input row: the id, copy_of (the smallest id with the same words), group_id (the smallest id
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, bands:
     return out.select(F.col(f"_{id_col}").alias(id_col), F.col("_copy_of").alias("copy_of"), F.col("_group_id").alias("group_id"), (F.col("key") == F.col("group")).alias("kept"))
 
 
-def first_of_each_group(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = 28, rows: int = 5, block_docs: int = 1024, block_chars: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def first_of_each_group(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = 28, rows: int = 5, block_docs: int = 256, block_chars: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that near_duplicates keeps."""
     own = whole_rows(docs, id_col, text_col)
     first = _grouped(own.select("key", "id", "text"), least, width, bands, rows, block_docs, block_chars).where(F.col("key") == F.col("group")).select("key")
