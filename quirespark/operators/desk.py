@@ -186,3 +186,48 @@ def recent_context(rows: DataFrame, by: str, order: str, mentions: str, back: in
     w = Window.partitionBy(by).orderBy(order).rowsBetween(-back, -1)
     latest = F.reverse(F.flatten(F.collect_list(mentions).over(w)))
     return rows.withColumn("recent", F.slice(F.array_distinct(latest), 1, most))
+
+
+def without_headings(paragraphs: DataFrame, by: str, order: str, title: str, most: int = 3) -> DataFrame:
+    """paragraphs without up to three first ones that are headings: equal to or part of the title, or of its form."""
+    same = lambda c: F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    text, own = same(F.col("text")), same(F.col(title))
+    short = (F.char_length("text") <= 100) & (F.regexp_count("text", F.lit(r"\.")) <= 2)
+    heading = short & (((text != "") & (own != "") & (own.contains(text) | text.contains(own))) | F.lower("text").rlike(r"^(?:chapter|book|part|section|act|scene)\s+(?:[0-9]+|[ivxlc]+)\b"))
+    w = Window.partitionBy(by).orderBy(order)
+    lead = F.min(heading.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1
+    return paragraphs.withColumn("_lead", lead & (F.row_number().over(w) <= most)).where("NOT _lead").drop("_lead")
+
+
+def likeliest(words: DataFrame, frequencies: DataFrame, margin: float, least: float, home: str) -> DataFrame:
+    """word and lang: the language in which a word is most frequent, if it is by a margin more so than at home."""
+    j = words.join(frequencies, "word", "left")
+    own = F.max(F.when(F.col("lang") == home, F.col("zipf")))
+    s = j.groupBy("word").agg(F.max_by("lang", F.struct("zipf", "lang")).alias("lang"), F.max("zipf").alias("zipf"), F.coalesce(own, F.lit(0.0)).alias("home"))
+    ok = (F.char_length("word") >= 4) & (F.col("zipf") >= least) & (F.col("zipf") >= F.col("home") + margin)
+    return s.select("word", F.when(ok, F.col("lang")).alias("lang"))
+
+
+def choices(clones: DataFrame, engines: DataFrame, presets: DataFrame) -> DataFrame:
+    """All voices to choose from: every clone with every engine (both are short lists), and the presets."""
+    made = clones.join(engines, how="cross").select(F.concat(F.lit("clone:"), F.col("name"), F.lit("@"), F.col("engine")).alias("key"))
+    return made.unionByName(presets.select(F.concat(F.lit("preset:"), F.col("name")).alias("key")))
+
+
+def best_option(scores: DataFrame, option: str, item: str, score: str) -> DataFrame:
+    """The option of the highest mean score over items, ties to the first by name."""
+    m = scores.groupBy(option).agg(F.avg(score).alias("mean"), F.count_distinct(item).alias("items"))
+    return m.orderBy(F.desc("mean"), option).limit(1)
+
+
+def staleness(now: DataFrame, stamped: DataFrame, by: str) -> DataFrame:
+    """For each `by` whether its fingerprint is the one that was stamped: fresh, stale or never."""
+    s = stamped.select(by, F.col("fingerprint").alias("_was"))
+    status = F.when(F.col("_was").isNull(), "never").when(F.col("_was") == F.col("fingerprint"), "fresh").otherwise("stale")
+    return now.join(s, by, "left").select(by, status.alias("status"))
+
+
+def grouped_setting(lexicon: DataFrame, known: list[str]) -> DataFrame:
+    """lexicon with its setting as screens group it: known ones, other, and not placed."""
+    setting = F.coalesce("setting", F.lit(""))
+    return lexicon.withColumn("grouped", F.when(setting.isin(known), setting).when(setting == "", "not placed").otherwise("other"))

@@ -288,3 +288,57 @@ def supplied_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filled_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = spark.createDataFrame([("ain't", 4, "eɪnt"), ("goin'", 2, "ɡoʊɪn")], "token string, count long, ipa string")
     return desk.filled(counts, spark.createDataFrame([("ain't", ""), ("jes'", "dʒɛs")], "token string, ipa string"), "token", "ipa").select("token", F.coalesce("count", F.lit(0)).alias("count"), "ipa")
+
+
+@query("SELECT * FROM (VALUES ('b', 2, 'It began.'), ('c', 1, 'No heading here.'), ('c', 2, 'Chapter 3 of my life.')) AS t(book, pos, text)")
+def without_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("b", 0, "CHAPTER IV", "The Storm"), ("b", 1, "The storm", "The Storm"), ("b", 2, "It began.", "The Storm"), ("c", 1, "No heading here.", "X Y"), ("c", 2, "Chapter 3 of my life.", "X Y")]
+    return desk.without_headings(spark.createDataFrame(rows, "book string, pos int, text string, title string"), "book", "pos", "title").drop("title")
+
+
+@query("SELECT * FROM (VALUES ('chateau', 'fr'), ('home', NULL), ('haus', 'de'), ('xyzt', NULL)) AS t(word, lang)")
+def word_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spark.createDataFrame([("chateau",), ("home",), ("haus",), ("xyzt",)], "word string")
+    freq = [("chateau", "fr", 4.5), ("chateau", "en", 2.9), ("home", "en", 5.9), ("home", "de", 4.0), ("haus", "de", 5.5), ("haus", "en", 3.0)]
+    return desk.likeliest(words, spark.createDataFrame(freq, "word string, lang string, zipf double"), 1.0, 2.5, "en")
+
+
+@query("SELECT 'clone:' || r_name || '@' || n AS key FROM region, (VALUES ('f5'), ('higgs')) AS e(n) UNION ALL SELECT 'preset:' || n_name FROM nation")
+def voice_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engines = spark.createDataFrame([("f5",), ("higgs",)], "engine string")
+    return desk.choices(table(spark, sf_dir, "region").select(F.col("r_name").alias("name")), engines, table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")))
+
+
+@query("SELECT p_brand, round(avg(p_retailprice), 6) AS mean, count(DISTINCT p_partkey) AS items FROM part GROUP BY p_brand ORDER BY avg(p_retailprice) DESC, p_brand LIMIT 1")
+def best_option(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return desk.best_option(table(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_retailprice").select("p_brand", F.round("mean", 6).alias("mean"), "items")
+
+
+@query("SELECT source, CASE WHEN n % 3 = 0 THEN 'never' WHEN n % 3 = 1 THEN 'fresh' ELSE 'stale' END AS status FROM (SELECT DISTINCT source, replace(source, 'src', '')::INTEGER AS n FROM documents)")
+def stale_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirespark.operators import books
+
+    now = books.fingerprint(table(spark, sf_dir, "documents"), "source", ["text"], "doc_id")
+    n = F.regexp_extract("source", "([0-9]+)", 1).cast("int") % 3
+    stamped = now.where(n > 0).withColumn("fingerprint", F.when(n == 1, F.col("fingerprint")).otherwise("old"))
+    return desk.staleness(now, stamped, "source")
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_mktsegment ELSE 'other' END AS grouped FROM customer")
+def grouped_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").withColumn("setting", F.col("c_mktsegment"))
+    return desk.grouped_setting(c, ["BUILDING", "MACHINERY"]).select("c_custkey", "grouped")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def ticked_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ticked = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return table(spark, sf_dir, "lineitem").join(ticked, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT * FROM (VALUES ('Ann', 'An', 0.9::DOUBLE, true), ('Bob', 'Bahb', 0.7::DOUBLE, false)) AS t(name, spelling, score, adopt)")
+def adopted_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirespark.operators import clips
+
+    rows = [("Ann", "An", 0.9, 0.6), ("Ann", "Ahn", 0.8, 0.6), ("Bob", "Bahb", 0.7, 0.5)]
+    return clips.adopted(spark.createDataFrame(rows, "name string, spelling string, score double, plain double"), "name", "plain", "score").drop("plain")
