@@ -6,7 +6,8 @@ total weight W takes the darts up to time t / W, about k (ln k + 3) in all, deal
 the earliest of each. Two coordinates agree with a probability equal to the weighted Jaccard similarity.
 
 Bands of equal coordinates give coarse groups, by stars to the smallest document of each bucket; the pairs of a bucket
-are never listed. Each group is verified exactly, in blocks of bounded size that meet within one task.
+are never listed. Each group is verified exactly, in blocks of bounded size that meet within one task. In a group of more than one
+block, documents similar to its most connected member are one component already and do not meet each other again.
 """
 
 from __future__ import annotations
@@ -153,6 +154,31 @@ def _verify(width: int, least: float):
     return run
 
 
+def _against(width: int, least: float):
+    """Rows (grp, key, centre) whose text is similar enough to that of their group's centre."""
+    share = Fraction(least).limit_denominator(1000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.slices(batches, 3, 4 << 20):
+            sets = []
+            for column in (3, 4):
+                element, owner = shingles(K.words(batch.column(column)), width)
+                order = np.lexsort((element, owner))
+                element, owner = element[order], owner[order]
+                once = np.ones(len(element), bool)
+                once[1:] = (element[1:] != element[:-1]) | (owner[1:] != owner[:-1])
+                sets.append((element[once], owner[once]))
+            element, owner = (np.concatenate(x) for x in zip(*sets, strict=True))
+            order = np.lexsort((element, owner))
+            element, owner = element[order], owner[order]
+            twice = (element[1:] == element[:-1]) & (owner[1:] == owner[:-1])
+            common = np.bincount(owner[1:][twice], minlength=len(batch))
+            union = np.bincount(owner, minlength=len(batch)) - common
+            yield batch.select([0, 1, 2]).filter(pa.array((common * share.denominator >= union * share.numerator) & (union > 0)))
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = 28, rows: int = 5, block_docs: int = 256, block_chars: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group documents whose sets of word shingles have a Jaccard similarity of at least `least`.
 
@@ -190,17 +216,27 @@ def _grouped(own: DataFrame, least: float, width: int, bands: int, rows: int, bl
     classes = freeze(sketches.groupBy("h", "g").agg(F.min("key").alias("class")), "classes")
     firsts = freeze(sketches.join(classes.select(F.col("class").alias("key")), "key").select("key", "bands"), "firsts")
     banded = firsts.select("key", F.explode("bands").alias("band"))
-    full = banded.groupBy("band").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "least")
+    full = banded.groupBy("band").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     full = freeze(full, "buckets")
     near = banded.join(full, "band").where("key != least").select(F.col("key").alias("a"), F.col("least").alias("b"))
     coarse = components(near)
     coarse = freeze(coarse.select(F.col("node").alias("key"), F.col("root").alias("grp")).unionByName(coarse.select(F.col("root").alias("key"), F.col("root").alias("grp")).distinct()), "coarse")
     members = freeze(own.select("key", "text").join(coarse, "key"), "members")
-    parts = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum(F.char_length("text")) / block_chars)).cast("int").alias("parts"))
-    placed = members.join(freeze(parts, "parts"), "grp").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    meets = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum(F.char_length("text")) / block_chars)).cast("int")
+    large = freeze(members.groupBy("grp").agg(size.alias("blocks")).where("blocks > 1"), "large").select("grp")
+    # in a large group most documents are copies of one: what that one settles need not meet again
+    weight = banded.join(full, "band").groupBy("key").agg(F.sum("n").alias("weight"))
+    central = members.select("key", "grp").join(large, "grp").join(weight, "key").groupBy("grp").agg(F.max_by("key", F.struct("weight", -F.col("key"))).alias("centre"))
+    centres = freeze(members.select(F.col("key").alias("centre"), F.col("text").alias("like")).join(central, "centre"), "centres")
+    near = freeze(members.join(centres, "grp").select("grp", "key", "centre", "text", "like").mapInArrow(_against(width, least), "grp long, key long, centre long"), "settled")
+    placed = members.join(near.select("key", F.lit(True).alias("settled")), "key", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    parts = freeze(placed.groupBy("grp").pivot("settled", [False, True]).agg(size.alias("n")).select("grp", F.coalesce("false", F.lit(0)).alias("open"), F.coalesce("true", F.lit(0)).alias("shut")), "parts")
+    placed = placed.join(parts, "grp").where("open > 0")
+    slot = F.when(F.col("settled"), F.col("open") + F.pmod(F.xxhash64("key"), F.greatest("shut", F.lit(1)))).otherwise(F.pmod(F.xxhash64("key"), F.greatest("open", F.lit(1)))).cast("int")
+    others = F.when(F.col("settled"), F.col("open")).otherwise(F.col("open") + F.col("shut"))
+    meets = placed.withColumn("part", slot).withColumn("with", F.explode(F.sequence(F.lit(0), others - 1)))
     meets = meets.select("grp", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "key", "text")
-    links = meets.groupBy("grp", "p", "q").applyInArrow(_verify(width, least), "a long, b long")
+    links = meets.groupBy("grp", "p", "q").applyInArrow(_verify(width, least), "a long, b long").unionByName(near.select(F.col("key").alias("a"), F.col("centre").alias("b")))
     roots = components(links)
     grouped = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("h", "g", "class", F.coalesce("root", "class").alias("group"))
     return sketches.select("key", "h", "g").join(freeze(grouped, "groups"), ["h", "g"]).select("key", "class", "group")
