@@ -38,7 +38,15 @@ def freeze(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    back = df.sparkSession.read.schema(schema).parquet(path)
+    back._written_at = path
+    return back
+
+
+def release(*frozen: DataFrame) -> None:
+    """Delete tables of freeze() that nothing will read any more, not even to make up for lost tasks."""
+    for df in frozen:
+        discard(df.sparkSession, df._written_at)
 
 
 def discard(spark: SparkSession, path: str) -> None:
