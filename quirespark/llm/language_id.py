@@ -31,18 +31,18 @@ def plain(text: str) -> bytes:
     return text.lower().encode("utf-8").translate(_PLAIN)
 
 
-def learn(docs: DataFrame, dictionary_bytes: int = 110 << 10, max_docs: int = 400, max_doc_chars: int = 4096, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+def learn(docs: DataFrame, dictionary_bytes: int = 110 << 10, max_docs: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A dictionary for each language: parts of about max_docs texts of documents outside fold 2, chosen by hash.
 
-    For each language at most dictionary_bytes are kept. Languages are few; their number is not bounded otherwise.
+    For each language about four times dictionary_bytes come to the driver and at most dictionary_bytes are kept.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col), FOLDS) != HELD))
     known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("u"))
     counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return {}
-    share = docs.sparkSession.createDataFrame([(lang, int(min(1.0, 2 * max_docs / n) * (1 << 30))) for lang, n in counts.items()], "lang string, most long")
-    sample = known.join(F.broadcast(share), "lang").where("u < most").select("lang", "u", id_col, F.substring("text", 1, max_doc_chars).alias("text"))
+    share = docs.sparkSession.createDataFrame([(lang, int(min(1.0, 2 * max_docs / n) * (1 << 30)), max(256, 2 * dictionary_bytes // min(n, max_docs))) for lang, n in counts.items()], "lang string, most long, chars int")
+    sample = known.join(F.broadcast(share), "lang").where("u < most").select("lang", "u", id_col, F.left("text", F.col("chars")).alias("text"))
     texts: dict[str, list] = {lang: [] for lang in counts}
     rows = sample.toArrow().to_pylist()
     for r in sorted(rows, key=lambda r: (r["u"], r[id_col])):
