@@ -9,7 +9,7 @@ from quirespark.operators import clips, stats
 from quirespark.plans.registry import query
 from quirespark.shared import table
 
-_CLIPS_SQL = """(SELECT l_orderkey * 10 + l_linenumber AS clip, l_returnflag AS engine, p_name || CASE WHEN l_linenumber = 1 THEN ' — and on' ELSE '' END AS text, (l_extendedprice / 100)::BIGINT AS chars, l_quantity AS seconds, l_quantity * 0.8 AS speech,
+_CLIPS_SQL = """(SELECT l_orderkey * 10 + l_linenumber AS clip, l_returnflag AS engine, p_name || CASE WHEN l_linenumber = 1 THEN ' — and on' ELSE '' END AS text, floor(l_extendedprice / 100)::BIGINT AS chars, l_quantity AS seconds, l_quantity * 0.8 AS speech,
  l_discount * 40 AS longest_gap, l_tax * 9 AS silent_share, CASE WHEN l_shipdate < TIMESTAMP '1993-01-01' THEN 'silent' END AS broken FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
@@ -18,7 +18,7 @@ def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     return l.join(p, "l_partkey").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("clip"), F.col("l_returnflag").alias("engine"),
-        F.concat("p_name", F.when(F.col("l_linenumber") == 1, " — and on").otherwise("")).alias("text"), F.round(F.col("l_extendedprice") / 100).cast("long").alias("chars"),
+        F.concat("p_name", F.when(F.col("l_linenumber") == 1, " — and on").otherwise("")).alias("text"), F.floor(F.col("l_extendedprice") / 100).cast("long").alias("chars"),
         F.col("l_quantity").alias("seconds"), (F.col("l_quantity") * 0.8).alias("speech"), (F.col("l_discount") * 40).alias("longest_gap"), (F.col("l_tax") * 9).alias("silent_share"),
         F.when(F.col("l_shipdate") < F.lit("1993-01-01").cast("timestamp_ntz"), "silent").alias("broken"),
     )
