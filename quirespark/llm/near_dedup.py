@@ -24,7 +24,7 @@ from quirespark.llm import textkit as K
 from quirespark.llm.components import components
 from quirespark.llm.embedding_dedup import local_roots
 from quirespark.llm.rows import keys_of, whole_rows
-from quirespark.shared import freeze, table
+from quirespark.shared import freeze, release, table
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -223,7 +223,7 @@ def _grouped(own: DataFrame, least: float, width: int, bands: int, rows: int, bl
     coarse = freeze(coarse.select(F.col("node").alias("key"), F.col("root").alias("grp")).unionByName(coarse.select(F.col("root").alias("key"), F.col("root").alias("grp")).distinct()), "coarse")
     members = freeze(own.select("key", "text").join(coarse, "key"), "members")
     size = F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum(F.char_length("text")) / block_chars)).cast("int")
-    large = freeze(members.groupBy("grp").agg(size.alias("blocks")).where("blocks > 1"), "large").select("grp")
+    large = freeze(members.groupBy("grp").agg(size.alias("blocks")).where("blocks > 1").select("grp"), "large")
     # in a large group most documents are copies of one: what that one settles need not meet again
     weight = banded.join(full, "band").groupBy("key").agg(F.sum("n").alias("weight"))
     central = members.select("key", "grp").join(large, "grp").join(weight, "key").groupBy("grp").agg(F.max_by("key", F.struct("weight", -F.col("key"))).alias("centre"))
@@ -238,6 +238,7 @@ def _grouped(own: DataFrame, least: float, width: int, bands: int, rows: int, bl
     meets = meets.select("grp", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "key", "text")
     links = meets.groupBy("grp", "p", "q").applyInArrow(_verify(width, least), "a long, b long").unionByName(near.select(F.col("key").alias("a"), F.col("centre").alias("b")))
     roots = components(links)
+    release(firsts, full, coarse, members, large, centres, near, parts)
     grouped = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("h", "g", "class", F.coalesce("root", "class").alias("group"))
     return sketches.select("key", "h", "g").join(freeze(grouped, "groups"), ["h", "g"]).select("key", "class", "group")
 

@@ -5,8 +5,8 @@ share a run of n words from positions i and j, some k < v has both (i + k) % v a
 n - v + 1 words, hashed only at positions whose residue is in D, are bound to meet: any run of n shared words holds a
 shared anchor. Windows of n words are then looked at only around anchors that two documents share.
 
-Within each Arrow batch equal hashes are settled first, so that one key never brings more rows to the shuffle than
-there are batches, however many documents share it.
+Within each slice of an Arrow batch equal hashes are settled first, so that one key never brings more rows to the
+shuffle than there are slices, however many documents share it.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def _anchors(width: int, period: int):
     cover[difference_cover(period)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.slices(batches, 1):
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             w = K.words(batch.column(1))
             at = K.within(w.ptr, width)
@@ -82,7 +82,7 @@ def _anchors(width: int, period: int):
 
 def _windows(words: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.slices(batches, 1):
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             w = K.words(batch.column(1))
             lists = batch.column(2)
@@ -119,7 +119,7 @@ def _windows(words: int, width: int):
 
 def _cover(words: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.slices(batches, 1, 8 << 20):
             w = K.words(batch.column(1))
             spans = batch.column(2)
             counts = np.diff(spans.offsets.to_numpy())
