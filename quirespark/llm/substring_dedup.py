@@ -80,7 +80,26 @@ def _anchors(width: int, period: int):
     return run
 
 
+def _all_alike(w: K.Words, at: np.ndarray, doc: np.ndarray, h: np.ndarray, width: int, cover: np.ndarray) -> np.ndarray:
+    """All cover positions of each document that hold the same window as one of its positions in at; of a document's
+    equal anchors only the first may have been sent."""
+    hit = np.unique(doc)
+    if not len(hit):
+        return at
+    n = np.maximum(w.counts[hit] - width + 1, 0)
+    inside = K.ragged_range(w.ptr[hit], n)
+    owner = np.repeat(hit, n)
+    here = cover[(inside - w.ptr[owner]) % len(cover)]
+    inside, owner = inside[here], owner[here]
+    apart = np.uint64(0x9E3779B97F4A7C15)
+    return inside[np.isin(h[inside] ^ owner.astype(np.uint64) * apart, h[at] ^ doc.astype(np.uint64) * apart)]
+
+
 def _windows(words: int, width: int):
+    period = words - width + 1
+    cover = np.zeros(period, bool)
+    cover[difference_cover(period)] = True
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches, 1):
             keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -88,7 +107,9 @@ def _windows(words: int, width: int):
             lists = batch.column(2)
             counts = np.diff(lists.offsets.to_numpy())
             doc = np.repeat(np.arange(len(keys)), counts)
-            anchor = w.ptr[doc] + lists.flatten().to_numpy()
+            h = w.hashes()
+            anchor = _all_alike(w, w.ptr[doc] + lists.flatten().to_numpy(), doc, K.window_hashes(h, width), width, cover)
+            doc = np.searchsorted(w.ptr, anchor, "right") - 1
             look = np.zeros(len(w.starts) + 1, np.int64)
             lo = np.maximum(anchor - (words - width), w.ptr[doc])
             hi = np.minimum(anchor, w.ptr[doc + 1] - words)
@@ -97,7 +118,6 @@ def _windows(words: int, width: int):
             np.add.at(look, hi + 1, -1)
             at = np.flatnonzero(np.cumsum(look[:-1]) > 0)
             owner = np.searchsorted(w.ptr, at, "right") - 1
-            h = w.hashes()
             first, second = K.window_hashes(h, words)[at], K.window_hashes(h, words, 0x9FB21C651E98DF25)[at] >> np.uint64(32)
             order, new, later = _first_of_each([second, first], owner, keys)
             ask = order[new]

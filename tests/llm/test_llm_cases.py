@@ -123,6 +123,18 @@ def test_substrings_against_brute_force(spark, words, period):
     assert [got[i] for i in range(60)] == brute_substrings(texts, words)
 
 
+@pytest.mark.parametrize("twice", [1, 2])
+def test_substrings_around_a_run_that_stands_twice_in_one_document(spark, twice):
+    run = [f"r{i}" for i in range(20)]
+    passage = [f"a{i}" for i in range(15)] + run + [f"b{i}" for i in range(15)]
+    # the run stands at 1 and 65 of one document and at 31 of the other: residues 1, 3 and 0 of the cover
+    texts = {twice: ["x"] + run + [f"y{i}" for i in range(29)] + passage, 3 - twice: [f"z{i}" for i in range(16)] + passage}
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([(i, " ".join(t)) for i, t in texts.items()], 2), "doc_id long, text string")
+    got = {r.doc_id: r.kept_text for r in substring_dedup.remove_repeated(docs).collect()}
+    assert [got[1], got[2]] == brute_substrings([texts[1], texts[2]], 50)
+    assert len(got[2].split()) == len(texts[2]) - 50
+
+
 def test_dart_minhash_estimates_weighted_similarity():
     rng = np.random.default_rng(2)
     a = {i: rng.uniform(0.1, 3) for i in range(200)}
