@@ -5,10 +5,11 @@ from __future__ import annotations
 import bisect
 from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirespark.shared import freeze
+
 
 def text_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.replace(text, F.lit("’"), F.lit("'"))), F.lit("([a-z0-9]+(?:'[a-z]+)?)"), 1)
@@ -27,7 +28,7 @@ def grams(rows: DataFrame, id_col: str, text_col: str = "text", k: int = 3) -> D
 
 
 def shared_grams(asked: DataFrame, asked_id: str, books: DataFrame, book_id: str, most: int = 8, k: int = 3) -> DataFrame:
-    """asked_id, book_id, apos and bpos of equal grams, without grams that stand in more than `most` places."""
+    """asked_id, book_id, apos and bpos of equal grams, without grams that stand in more than `most` places of all books."""
     b = grams(books, book_id, k=k).withColumnRenamed("pos", "bpos")
     rare = b.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("gram")
     # only grams that are asked for go on to be counted
@@ -35,6 +36,17 @@ def shared_grams(asked: DataFrame, asked_id: str, books: DataFrame, book_id: str
     return a.join(rare, "gram").join(b, "gram").select(asked_id, book_id, "apos", "bpos")
 
 
+def grams_within_books(asked: DataFrame, asked_id: str, books: DataFrame, book_id: str, most: int = 8, k: int = 3, salts: int = 16) -> DataFrame:
+    """As shared_grams, without grams that stand in more than `most` places of the one book; how many books have a gram
+    does not matter. Every gram is dealt over `salts` tasks, so a frequent one is not joined in one."""
+    # only grams that are asked for go on to be counted
+    wanted = grams(asked, asked_id, k=k).select("gram")
+    b = grams(books, book_id, k=k).join(wanted, "gram", "left_semi").groupBy(book_id, "gram").agg(F.collect_list("pos").alias("bpos")).where(F.size("bpos") <= most)
+    b = b.withColumn("salt", F.pmod(F.xxhash64(book_id), F.lit(salts)))
+    a = grams(asked, asked_id, k=k).withColumnRenamed("pos", "apos").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return a.join(b, ["gram", "salt"]).select(asked_id, book_id, "apos", F.explode("bpos").alias("bpos"))
+
+
 def longest_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of pairs that rises in both numbers."""
     pairs = sorted(pairs, key=lambda p: (p[0], -p[1]))
@@ -55,14 +67,23 @@ def longest_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def best_passages(asked: DataFrame, asked_id: str, books: DataFrame, book_id: str, slack: int = 6) -> DataFrame:
     """For each asked text of four words or more the best passage of a book: the book with the longest chain of shared
     grams, similarity (matched words over asked words) and coverage (matched words over the passage)."""
-    hits = shared_grams(asked, asked_id, books, book_id)
+    hits = grams_within_books(asked, asked_id, books, book_id).repartition(asked_id, book_id)
     kinds = dict(hits.dtypes)
+    # hits of one offset are a chain, and no chain is longer than all hits or the asked grams: most books lose without a look
+    offsets = hits.groupBy(asked_id, book_id, (F.col("bpos") - F.col("apos")).alias("offset")).agg(F.count(F.lit(1)).alias("n"), F.collect_list("apos").alias("at"))
+    pairs = offsets.groupBy(asked_id, book_id).agg(F.max("n").alias("least"), F.sum("n").alias("most"), F.collect_list(F.struct("offset", "at")).alias("hits"))
+    size = asked.select(asked_id, F.greatest(F.size(text_tokens(F.col("text"))) - 2, F.lit(0)).alias("size"))
+    pairs = freeze(pairs.join(size, asked_id).withColumn("most", F.least("most", F.col("size").cast("long"))).drop("size"), "aligned")
+    sure = pairs.groupBy(asked_id).agg(F.max(F.struct(F.col("least").alias("n"), (-F.col(book_id)).alias("b"))).alias("sure"))
+    open_ = pairs.join(sure, asked_id).where(F.struct(F.col("most").alias("n"), (-F.col(book_id)).alias("b")) >= F.col("sure")).select(asked_id, book_id, "hits")
+
+    def chain(batches):
+        for p in batches:
+            found = [longest_chain([(a, a + h["offset"]) for h in row for a in h["at"]]) for row in p["hits"]]
+            ends = [(len(c), c[0][1] - c[0][0], c[-1][1] + 3) for c in found]
+            yield p[[asked_id, book_id]].assign(length=[e[0] for e in ends], first=[e[1] for e in ends], last=[e[2] for e in ends])
 
-    def chain(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        c = longest_chain(list(zip(rows["apos"].tolist(), rows["bpos"].tolist(), strict=True)))
-        return pd.DataFrame({asked_id: [key[0]], book_id: [key[1]], "length": [len(c)], "first": [c[0][1] - c[0][0]], "last": [c[-1][1] + 3]})
-
-    chains = hits.groupBy(asked_id, book_id).applyInPandas(chain, f"{asked_id} {kinds[asked_id]}, {book_id} {kinds[book_id]}, length int, first int, last int")
+    chains = open_.mapInPandas(chain, f"{asked_id} {kinds[asked_id]}, {book_id} {kinds[book_id]}, length int, first int, last int")
     best = chains.groupBy(asked_id).agg(F.max_by(F.struct(book_id, "length", "first", "last"), F.struct("length", -F.col(book_id))).alias("b")).select(asked_id, "b.*")
     a = asked.select(asked_id, text_tokens(F.col("text")).alias("asked")).where(F.size("asked") >= 4)
     b = books.select(book_id, text_tokens(F.col("text")).alias("words"))

@@ -1,6 +1,7 @@
 """Operators on small fixtures: what queries over the driver's tables cannot show."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,27 @@ def test_passages_are_found(spark):
     assert [(r.item_id, r.doc_id) for r in rows] == [(7, 1)] and rows[0].similarity > 0.8
 
 
+def test_passages_that_many_books_hold_are_found_in_each(spark):
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(12)]
+    books = [[rng.choice("abcdef") for _ in range(rng.randrange(60))] + (passage[rng.randrange(5) :] if i < 20 else []) + [rng.choice("abcdef") for _ in range(30)] for i in range(30)]
+    asked = [passage] + [[rng.choice("abcdef") for _ in range(9)] for _ in range(6)]
+    want = set()
+    for i, a in enumerate(asked):
+        best = []
+        for d, b in enumerate(books):
+            hits = []
+            for j in range(len(a) - 2):
+                at = [k for k in range(len(b) - 2) if b[k : k + 3] == a[j : j + 3]]
+                hits += [(j, k) for k in at] if len(at) <= 8 else []
+            best.append((len(align.longest_chain(hits)), -d))
+        if max(best)[0]:
+            want.add((i, -max(best)[1], max(best)[0]))
+    frames = [spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], f"{name} int, text string") for name, rows in (("item_id", asked), ("doc_id", books))]
+    got = align.best_passages(frames[0], "item_id", frames[1], "doc_id").collect()
+    assert {(r.item_id, r.doc_id, r.length) for r in got} == want and any(r.item_id == 0 for r in got)
+
+
 def test_clip_problems(spark):
     kind = "clip string, text string, chars long, seconds double, speech double, longest_gap double, silent_share double, broken string, median_pace double"
     words = "a plain sentence of words that is long enough"
