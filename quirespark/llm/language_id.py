@@ -31,9 +31,16 @@ def plain(text: str) -> bytes:
     return text.lower().encode("utf-8").translate(_PLAIN)
 
 
+def _cut(data: bytes, at: int, most: int) -> bytes:
+    """At most so many bytes, from a place that the number at chooses."""
+    start = at % (max(len(data) - most, 0) + 1)
+    return data[start : start + most]
+
+
 def learn(docs: DataFrame, dictionary_bytes: int = 110 << 10, max_docs: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A dictionary for each language: parts of about max_docs texts of documents outside fold 2, chosen by hash.
 
+    Where in a text its part lies is chosen by the text's hash, so all of it can be learnt from, and copies give one part.
     For each language about four times dictionary_bytes come to the driver and at most dictionary_bytes are kept.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col), FOLDS) != HELD))
@@ -42,16 +49,22 @@ def learn(docs: DataFrame, dictionary_bytes: int = 110 << 10, max_docs: int = 40
     if not counts:
         return {}
     share = docs.sparkSession.createDataFrame([(lang, int(min(1.0, 2 * max_docs / n) * (1 << 30)), max(256, 2 * dictionary_bytes // min(n, max_docs))) for lang, n in counts.items()], "lang string, most long, chars int")
-    sample = known.join(F.broadcast(share), "lang").where("u < most").select("lang", "u", id_col, F.left("text", F.col("chars")).alias("text"))
+    sample = known.join(F.broadcast(share), "lang").where("u < most").select("lang", "u", id_col, "text", "chars", *(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)).alias(v) for seed, v in ((1, "v"), (2, "w"))))
+    start = F.pmod("v", F.greatest(F.char_length("text") - F.col("chars"), F.lit(0)) + 1) + 1
+    sample = sample.select("lang", "u", id_col, F.substring("text", start.cast("int"), F.col("chars").cast("int")).alias("text"), "w")
     texts: dict[str, list] = {lang: [] for lang in counts}
     rows = sample.toArrow().to_pylist()
     for r in sorted(rows, key=lambda r: (r["u"], r[id_col])):
-        texts[r["lang"]].append(plain(r["text"]))
+        texts[r["lang"]].append((plain(r["text"]), r["w"]))
     out = {}
     for lang, parts in sorted(texts.items()):
-        seen = list(dict.fromkeys(parts))[:max_docs]  # copies teach nothing
-        each = max(256, dictionary_bytes // max(len(seen), 1))
-        out[lang] = b" ".join(p[:each] for p in seen)[:dictionary_bytes]
+        each = max(256, dictionary_bytes // max(min(len(parts), max_docs), 1))
+        seen: dict[bytes, tuple] = {}
+        for part in parts:
+            seen.setdefault(_cut(*part, each), part)  # repeats teach nothing
+        kept = list(seen.values())[:max_docs]
+        each = max(256, dictionary_bytes // max(len(kept), 1))
+        out[lang] = b" ".join(dict.fromkeys(_cut(*part, each) for part in kept))[:dictionary_bytes]
     return out
 
 

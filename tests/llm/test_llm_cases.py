@@ -262,3 +262,17 @@ def test_words_and_units_cover_texts():
     assert joined == ["ab cd  ef", "", "", " x ", "no sp é\tq", "abc"]
     long = textkit.span_hashes(np.frombuffer(b"x" * 1000 + b"y", np.uint8), np.array([0, 0]), np.array([1000, 1001]))
     assert long[0] != long[1]
+
+
+def test_language_dictionaries_hold_more_than_beginnings(spark):
+    banner = " ".join(f"banner{'abcdefghijklmnopqrstuvwxyz'[i % 26]}" for i in range(40))  # over 281 bytes
+    rng = random.Random(4)
+    body = lambda: " ".join("w" + "".join(rng.choices("aeiou", k=6)) for _ in range(100))
+    short = lambda: " ".join(["start"] * 50 + ["".join(rng.choices("xyz", k=6)) for _ in range(20)])
+    same = body()
+    rows = [("hot", f"{banner} {body()}") for _ in range(1600)] + [("short", short()) for _ in range(1600)] + [("copies", same) for _ in range(1600)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string")
+    learnt = language_id.learn(docs)
+    assert len(learnt["hot"]) > 90_000 and 2 * learnt["hot"].count(b" w") > 3 * learnt["hot"].count(b"banner")
+    assert sum(set(w) <= set(b"xyz") for w in learnt["short"].split()) > 1000
+    assert len(learnt["copies"]) < 1000
