@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -158,13 +159,57 @@ def test_a_chain_of_near_copies_is_one_group_whatever_the_block(spark):
 
 
 def test_line_runs_compact_and_skip_what_is_frequent(spark):
-    runs = line_dedup.LineRuns(spark, fanout=2)
-    for batch in range(5):
+    runs = line_dedup.LineRuns(spark)
+    for batch in range(7):
         rows = [(h, 0, batch * 10 + k) for h in range(3) for k in range(h + 1)]
         runs.ingest(spark.createDataFrame(rows, "h long, g int, key long"), at_least=4)
-    assert sum(map(len, runs.levels)) <= 3 and {r.h for r in runs.frequent(4).collect()} == {0, 1, 2}
-    assert {r.h: r.n for r in runs.counts().collect()} == {0: 4, 1: 4, 2: 6}
-    assert line_dedup.LineRuns(spark).counts() is None
+        assert len(runs.runs()) == bin(batch + 1).count("1")
+    # a run knows keys 1 and 2 to be frequent once it holds two batches, key 0 once it holds four; then they count no more
+    assert {r.h: r.n for r in runs.frequent(4).collect()} == {0: 4, 1: 4, 2: 6}
+    assert len(runs.runs()) == 1
+    runs.close()
+    assert line_dedup.LineRuns(spark).frequent(1) is None and not spark.sql("SHOW TABLES LIKE 'line_run_*'").collect()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_runs_are_neither_shuffled_nor_sorted(spark):
+    runs = line_dedup.LineRuns(spark)
+    rows = spark.range(5000).selectExpr("xxhash64(id % 700) AS h", "hash(id % 700) AS g", "id AS key")
+    for batch in range(3):
+        runs.ingest(rows.where(F.col("key") % 3 == batch), at_least=10**6)
+    with line_dedup._run_scans(spark):
+        merge, anti = plan_of(runs.merged(*runs.runs())), plan_of(runs.unsettled(rows, 10))
+    assert merge.count("SortMergeJoin") == 1 and "Exchange" not in merge and "Sort [" not in merge
+    assert anti.count("SortMergeJoin") == 2 and anti.count("Exchange") == 1 and anti.count("Sort [") == 1
+    assert anti.index("HashAggregate") > anti.index("SortMergeJoin"), "counted before the join"
+    assert {r.h: r.n for r in runs.frequent(1).collect()} == {r.h: r.n for r in rows.groupBy("h").agg(F.count("*").alias("n")).collect()}
+    runs.close()
+
+
+def test_lines_in_many_batches(spark):
+    rng = random.Random(8)
+    texts = ["\n".join(rng.choice("abcdefgh") * rng.randint(0, 3) for _ in range(rng.randint(0, 6))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = collections.Counter(x for t in texts for x in set(t.split("\n")))
+    for task_lines in (25, 1 << 14):
+        got = {r.doc_id: r.kept_text for r in line_dedup.drop_frequent_lines(docs, min_docs=20, task_lines=task_lines).collect()}
+        assert got == {i: "\n".join(x for x in t.split("\n") if not x or held[x] < 20) for i, t in enumerate(texts)}
+
+
+def test_a_document_of_many_dropped_lines_takes_linear_time(spark):
+    docs = spark.createDataFrame([(i, "\n".join(f"line {k}" if k % 2 else f"own {i} {k}" for k in range(64_000))) for i in range(2)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = line_dedup.drop_frequent_lines(docs, min_docs=2, task_lines=1 << 20).collect()
+    assert time.perf_counter() - began < 30  # looking through all dropped lines for each line took a minute for one document
+    assert all((r.n_lines, r.n_dropped) == (64_000, 32_000) and r.kept_text == "\n".join(f"own {r.doc_id} {k}" for k in range(0, 64_000, 2)) for r in got)
+
+
+def test_flags_at_positions(spark):
+    got = spark.createDataFrame([([0, 2, 3],), ([],), ([4],)], "at array<int>").select(line_dedup.flags_at(F.col("at")).alias("f")).collect()
+    assert [r.f for r in got] == [[True, False, True, True], [], [False] * 4 + [True]]
 
 
 def test_line_keys(spark):
