@@ -1,9 +1,10 @@
 """Byte-level BPE through a global shuffle of distinct words.
 
 A word here is what lies between two separators together with the separators before it: no pre-token of the pattern
-reaches over its ends, so a text's ids are those of its words in turn. A chunk is a slice of an Arrow batch. One pass sends the
-distinct words of each chunk to buckets by hash, where each distinct word of the corpus is encoded once; the other
-pass keeps, for each chunk, the words of its texts by position. Joined by chunk, the ids are put together again.
+reaches over its ends, so a text's ids are those of its words in turn. A chunk is a slice of an Arrow batch. One pass
+sends the distinct words of each chunk to buckets by hash; the tasks that hold a bucket read its rows as a stream and
+encode each distinct word once. The other pass keeps, for each chunk, the words of its texts by position. Joined by
+chunk, the ids are put together again. No task holds more than one chunk, or more of a bucket than an Arrow batch.
 """
 
 from __future__ import annotations
@@ -48,31 +49,32 @@ def token_bytes(content: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8), np.cumsum(ptr)
 
 
-def _odd_spaces(data: np.ndarray) -> np.ndarray:
-    """Where other white space than space and \\x09-\\x0D may begin; the pattern joins it to runs of those."""
+def _odd_space_ends(data: np.ndarray) -> np.ndarray:
+    """Where white space other than space and \\x09-\\x0D ends; the pattern joins it to runs of those."""
     lead = np.zeros(256, bool)
     lead[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
     at = np.flatnonzero(lead[data])
     padded = np.concatenate([data, np.zeros(2, np.uint8)])
     a, b, c = padded[at], padded[at + 1], padded[at + 2]
     wide = (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F)
-    return at[(a < 0x20) | (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & wide | (a == 0xE3) & (b == 0x80) & (c == 0x80)]
+    odd = (a < 0x20) | (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & wide | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    return at[odd] + np.where(a[odd] < 0x20, 1, np.where(a[odd] == 0xC2, 2, 3))
 
 
 def split_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of texts, starts and ends of their words, and how many each has. A text with odd spaces is one word."""
+    """The bytes of texts, starts and ends of their words, and how many each has. White space that is no separator may
+    stand inside a word; one that ends in it goes on to the end of the next, since the pattern may join the two."""
     w = K.words(texts)
     starts, ends, ptr = w.units()
-    odd = np.unique(np.searchsorted(w.docs, _odd_spaces(w.data), "right") - 1)
     counts = np.diff(ptr)
-    if len(odd):
-        owner = np.repeat(np.arange(len(counts)), counts)
-        plain = ~np.isin(owner, odd)
-        starts, ends = np.concatenate([starts[plain], w.docs[odd]]), np.concatenate([ends[plain], w.docs[odd + 1]])
-        order = np.argsort(starts, kind="stable")
-        starts, ends = starts[order], ends[order]
-        counts = counts.copy()
-        counts[odd] = 1
+    odd = _odd_space_ends(w.data)
+    if len(odd) and len(ends):
+        at = np.minimum(np.searchsorted(odd, ends), len(odd) - 1)
+        goes_on = odd[at] == ends
+        goes_on[ptr[1:][counts > 0] - 1] = False
+        owner = np.repeat(np.arange(len(counts)), counts)[~goes_on]
+        starts, ends = starts[np.concatenate([[True], ~goes_on[:-1]])], ends[~goes_on]
+        counts = np.bincount(owner, minlength=len(counts))
     return w.data, starts, ends, counts
 
 
@@ -134,26 +136,30 @@ def _words_to_buckets(buckets: int):
     return run
 
 
-def _encode_bucket(content: bytes, pattern: str):
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
+def _encode_words(content: bytes, pattern: str, remembered: int):
+    """Ids of the words of each row. A task sees all rows of its buckets, so a distinct word is encoded once, unless more
+    than `remembered` others came since the memory was last emptied."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(content, pattern).encode_ordinary
-        known: dict[bytes, int] = {}
-        lists, payload = [], []
-        for raw in rows["payload"].to_pylist():
-            lens, data = unsqueeze(raw, np.uint32, np.uint8)
-            ends = np.cumsum(lens, dtype=np.int64)
-            text, which, at = data.tobytes(), [], 0
-            for end in ends.tolist():
-                word = text[at:end]
-                at = end
-                k = known.get(word)
-                if k is None:
-                    k = known[word] = len(lists)
-                    lists.append(np.array(encode(word.decode("utf-8")), np.uint32))
-                which.append(k)
-            ids = [lists[k] for k in which]
-            payload.append(squeeze(np.fromiter(map(len, ids), np.uint32, len(ids)), np.concatenate(ids) if ids else np.zeros(0, np.uint32)))
-        return pa.table({"chunk": rows["chunk"], "bucket": rows["bucket"], "mark": rows["mark"], "payload": pa.array(payload, pa.binary())})
+        known: dict[bytes, np.ndarray] = {}
+        for batch in K.slices(batches, "payload", 4 << 20):
+            payload = []
+            for raw in batch["payload"]:
+                lens, data = unsqueeze(raw.as_py(), np.uint32, np.uint8)
+                text, ids, at = data.tobytes(), [], 0
+                for end in np.cumsum(lens, dtype=np.int64).tolist():
+                    word = text[at:end]
+                    at = end
+                    found = known.get(word)
+                    if found is None:
+                        found = np.array(encode(word.decode("utf-8")), np.uint32)
+                        if len(known) >= remembered:
+                            known.clear()
+                        known[word] = found
+                    ids.append(found)
+                payload.append(squeeze(np.fromiter(map(len, ids), np.uint32, len(ids)), np.concatenate(ids) if ids else np.zeros(0, np.uint32)))
+            yield pa.RecordBatch.from_arrays([batch["chunk"], batch["bucket"], batch["mark"], pa.array(payload, pa.binary())], names=["chunk", "bucket", "mark", "payload"])
 
     return run
 
@@ -198,10 +204,11 @@ def _reassemble(buckets: int):
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str = public_tokenizers.PATTERN, remembered: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token ids of each text as tiktoken's encode_ordinary gives them. Returns the id and ids (little-endian uint32).
 
-    vocabulary is the path of a rank file, read on the driver; its content goes to the tasks and is bounded.
+    vocabulary is the path of a rank file, read on the driver; its content goes to the tasks and is bounded. remembered
+    bounds the distinct words that a task keeps with their ids.
 
     Null and empty texts have no ids. Rows that repeat an id, or have none, are encoded each on its own. Very long
     texts are encoded whole. An empty table gives an empty result. Further columns are ignored. The input is read
@@ -212,7 +219,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str = public_tokenizers.PA
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = dict(own.dtypes)["id"]
     words = own.mapInArrow(_words_to_buckets(buckets), "bucket int, chunk long, mark long, payload binary")
-    encoded = words.groupBy("bucket").applyInArrow(_encode_bucket(content, pattern), "chunk long, bucket int, mark long, payload binary")
+    encoded = words.repartitionById(buckets, F.col("bucket")).mapInArrow(_encode_words(content, pattern, remembered), "chunk long, bucket int, mark long, payload binary")
     texts = own.mapInArrow(_positions(buckets), f"chunk long, mark long, ids array<{kind}>, payload binary")
     joined = texts.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_reassemble(buckets), f"id {kind}, ids binary")
     return joined.withColumnRenamed("id", id_col)
