@@ -1,6 +1,6 @@
 """Near-duplicate documents by DartMinHash signatures, banded joins and exact verification.
 
-DartMinHash: every element (a word shingle) with weight w owns a region [0, w) x [0, infinity). Darts fall on it as a
+DartMinHash: every element (a word shingle) with weight w (how often it occurs) owns a region [0, w) x [0, infinity). Darts fall on it as a
 Poisson process that depends on the element alone, so equal elements of two documents see the same darts. A document of
 total weight W takes the darts up to time t / W, about k (ln k + 3) in all, deals each to one of k coordinates and keeps
 the earliest of each. Two coordinates agree with a probability equal to the weighted Jaccard similarity.
@@ -33,14 +33,14 @@ _SALTS = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8F
 def dart_minhash(elements: np.ndarray, owner: np.ndarray, n: int, k: int, weights: np.ndarray | None = None) -> np.ndarray:
     """Signatures (n, k) of n weighted sets: elements[i] with weights[i] (1 if None) belongs to set owner[i].
 
-    A set without elements of positive weight has a row of the largest value. Repeated elements of one set count once
-    if their weights are equal.
+    A set without elements of positive weight has a row of the largest value. The elements of one set must differ.
     """
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     sig = np.full((n, k), empty)
     w = np.ones(len(elements)) if weights is None else np.asarray(weights, np.float64)
     total = np.bincount(owner, w, n)
     cells = np.ceil(w).astype(np.int64)  # regions are thrown at in strips of width 1
+    partly = bool((cells != w).any())
     which = np.repeat(np.arange(len(elements)), cells)
     strip = K.ragged_range(np.zeros(len(elements), np.int64), cells)
     part = np.minimum(w[which] - strip, 1.0)
@@ -59,7 +59,7 @@ def dart_minhash(elements: np.ndarray, owner: np.ndarray, n: int, k: int, weight
             inside = time <= until[set_of[at]]
             at, time, r = at[inside], time[inside], r[inside]
             hit = slice(None)
-            if weights is not None:
+            if partly:
                 hit = (K.mix(r ^ _SALTS[1]) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < part[at]
             face = K.mix(r[hit] ^ _SALTS[2])
             value = time[hit].astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32) | face & np.uint64(0xFFFFFFFF)
@@ -80,6 +80,23 @@ def shingles(w: K.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([K.window_hashes(h, width)[at], whole]), owner
 
 
+def counted(element: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different elements of each owner and how often it has them: weighted sets."""
+    order = np.lexsort((element, owner))
+    element, owner = element[order], owner[order]
+    new = np.ones(len(element), bool)
+    new[1:] = (element[1:] != element[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(new)
+    return element[at], owner[at], np.diff(np.append(at, len(element)))
+
+
+def unrolled(element: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted sets as plain ones: each repeat is an element of its own, so common ones count min(weight, weight)."""
+    which = np.repeat(np.arange(len(element)), counts)
+    repeat = K.ragged_range(np.zeros(len(element), np.int64), counts)
+    return element[which] + repeat.astype(np.uint64) * _GOLD, owner[which]
+
+
 def text_hashes(h: np.ndarray, ptr: np.ndarray, base: int = 0xA24BAED4963EE407) -> np.ndarray:
     """A hash of all words of each document."""
     counts = np.diff(ptr)
@@ -101,8 +118,8 @@ def _sketch(width: int, bands: int, rows: int):
                 first, second = text_hashes(h, w.ptr), text_hashes(h, w.ptr, 0x9FB21C651E98DF25)
                 none = w.counts == 0
                 first[none] = K.mix(keys[none].astype(np.uint64))  # texts without words are nobody's copies
-                element, owner = shingles(w, width)
-                sig = dart_minhash(element, owner, len(batch), bands * rows).reshape(len(batch), bands, rows)
+                element, owner, weight = counted(*shingles(w, width))
+                sig = dart_minhash(element, owner, len(batch), bands * rows, weight).reshape(len(batch), bands, rows)
                 band = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(batch), bands)) * _GOLD
                 for r in range(rows):
                     band = K.mix(band * _SALTS[3] + sig[:, :, r])
@@ -121,12 +138,9 @@ def _verify(width: int, least: float):
         left = np.ones(len(rows), bool) if same else rows["part"].to_numpy() == key[1].as_py()
         right = left if same else ~left
         keys = rows["key"].to_numpy()
-        element, owner = shingles(K.words(rows["text"]), width)
-        order = np.lexsort((owner, element))
+        element, owner = unrolled(*counted(*shingles(K.words(rows["text"]), width)))
+        order = np.argsort(element, kind="stable")
         element, owner = element[order], owner[order]
-        once = np.ones(len(element), bool)
-        once[1:] = (element[1:] != element[:-1]) | (owner[1:] != owner[:-1])
-        element, owner = element[once], owner[once]
         sizes = np.bincount(owner, minlength=len(rows)).astype(np.int64)
         start = K.groups(element)
         held = np.diff(np.append(start, len(element)))
@@ -162,12 +176,7 @@ def _against(width: int, least: float):
         for batch in K.slices(batches, 3, 4 << 20):
             sets = []
             for column in (3, 4):
-                element, owner = shingles(K.words(batch.column(column)), width)
-                order = np.lexsort((element, owner))
-                element, owner = element[order], owner[order]
-                once = np.ones(len(element), bool)
-                once[1:] = (element[1:] != element[:-1]) | (owner[1:] != owner[:-1])
-                sets.append((element[once], owner[once]))
+                sets.append(unrolled(*counted(*shingles(K.words(batch.column(column)), width))))
             element, owner = (np.concatenate(x) for x in zip(*sets, strict=True))
             order = np.lexsort((element, owner))
             element, owner = element[order], owner[order]
@@ -180,7 +189,10 @@ def _against(width: int, least: float):
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, bands: int = 28, rows: int = 5, block_docs: int = 256, block_chars: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Group documents whose sets of word shingles have a Jaccard similarity of at least `least`.
+    """Group documents whose word shingles have a weighted Jaccard similarity of at least `least`.
+
+    A shingle weighs as often as its document has it: the similarity of two is the sum of the smaller weights over that
+    of the larger. Without repeats that is the similarity of sets.
 
     Returns one row per input row: the id, copy_of (the smallest id with the same words), group_id (the smallest id
     reachable by links) and kept (whether that is the row's own). Words are runs of other characters than space and
