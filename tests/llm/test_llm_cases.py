@@ -309,6 +309,27 @@ def test_words_and_units_cover_texts():
     assert long[0] != long[1]
 
 
+def test_texts_with_other_white_space_are_cut_into_words(spark):
+    rng = random.Random(3)
+    signs = [" ", "\n", "\t", "\u00a0", "\u3000", "\u2003", "\u0085", "\x1c", "\x1f", "\u1680", "\u200b", "\u205f", "a", "b", "é", "1", ".", "'s", "!", "中"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(20_000)] + [f"word\u00a0{i} another\u3000 word" for i in range(50)]
+    own = bpe._encoding(open(BPE, "rb").read(), public_tokenizers.PATTERN)
+    want = [own.encode_ordinary(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for remembered in (1, 500_000):
+        got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode(docs, BPE, remembered=remembered).collect()}
+        assert got == dict(enumerate(want))
+    counts = bpe.split_units(pa.array(texts[-50:]))[3]
+    assert (counts == 2).all()
+
+
+def test_shingles_weigh_as_often_as_they_occur(spark):
+    verse = "one two three four five six seven eight nine ten "
+    docs = spark.createDataFrame([(1, verse * 20), (2, verse * 17), (3, verse * 10), (4, verse)], "doc_id long, text string")
+    got = {r.doc_id: r.group_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}  # as plain sets the first three would be equal
+
+
 def test_language_dictionaries_hold_more_than_beginnings(spark):
     banner = " ".join(f"banner{'abcdefghijklmnopqrstuvwxyz'[i % 26]}" for i in range(40))  # over 281 bytes
     rng = random.Random(4)
