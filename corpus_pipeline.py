@@ -48,7 +48,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it; rows as they are.
 
-    Documents without words (null, empty or blank) have no size and are not taken. A null source is a source of its own.
+    Documents without words (null, empty or blank) have size 0: they weigh nothing and are repeated as others of their
+    source, three times at most. A null source is a source of its own.
     Rows that repeat an id, or have none, are further documents. Reruns take the same. An empty table stays empty.
     """
     return mixing.mixture(docs)
