@@ -8,7 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that open a question, and their subjects.
-AUXILIARIES = "am is are was were do does did have has had can could will would shall should may might must art hast dost wilt shalt canst isn't aren't wasn't weren't don't doesn't didn't can't won't wouldn't shouldn't couldn't haven't hasn't ain't".split()
+AUXILIARIES = (
+    "is are was were am art do does did dost didst can could canst will wilt would shall shalt should may might must has have had hast hath "
+    "isn't aren't wasn't weren't don't doesn't didn't can't won't wouldn't shouldn't couldn't haven't hasn't ain't"
+).split()  # typed apostrophes count as these
 QUESTION_WORDS = "who whom whose what where when why how which".split()
 SUBJECTS = "you thou ye he she it they we i there this that these those the a an my your thy his her our their".split()
 PRONOUNS = "you thou ye he she it they we i".split()
@@ -21,9 +24,10 @@ COMPASS = {"N": "north", "S": "south", "E": "east", "W": "west"}
 def looks_like_question(sentence: Column) -> Column:
     """Whether a sentence has the form of a question: an auxiliary and a subject, or a question word soon followed by an
     auxiliary without a pronoun before it."""
-    raw = F.slice(F.regexp_extract_all(F.replace(sentence, F.lit("’"), F.lit("'")), F.lit("([A-Za-z0-9_']+)"), 1), 1, 5)
+    bare = F.ltrim(F.replace(sentence, F.lit("’"), F.lit("'")), F.lit("\"“‘'([ "))
+    raw = F.slice(F.regexp_extract_all(bare, F.lit(r"([\p{L}\p{N}_']+)"), 1), 1, 5)
     w = lambda i: F.lower(F.get(raw, i))
-    asks = w(0).isin(AUXILIARIES) & (w(1).isin(SUBJECTS) | F.get(raw, 1).rlike("^[A-Z]"))
+    asks = w(0).isin(AUXILIARIES) & (w(1).isin(SUBJECTS) | F.get(raw, 1).rlike(r"^\p{Lu}"))
     later = F.lit(False)
     for k in (1, 2, 3):
         clear = reduce(lambda a, j: a & ~w(j).isin(PRONOUNS), range(1, k), F.lit(True))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,19 +25,50 @@ def say(n: int) -> str:
     return f"{NUMBER_WORDS[n // 100]} hundred" + (f" and {say(n % 100)}" if n % 100 else "")
 
 
-def say_ordinal(n: int) -> str:
-    head, dash, last = say(n).rpartition("-")
-    if not dash:
-        head, dash, last = say(n).rpartition(" ")
-    return head + dash + (ORDINALS.get(last) or (last[:-1] + "ieth" if last.endswith("y") else last + "th"))
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def said(n: Column) -> Column:
+    """0 to 999 999 in words, as say() has them."""
+    return bound(n.cast("int"), _said)
+
+
+def _said(n: Column) -> Column:
+    words = F.array(*[F.lit(w) for w in NUMBER_WORDS])
+    tens = F.array(*[F.lit(w) for w in TENS])
+    over = lambda n, k: F.floor(n / k).cast("int")
+    rest = lambda n, k: F.pmod(n, F.lit(k)).cast("int")
+
+    def to_99(n: Column) -> Column:
+        low = F.when(rest(n, 10) > 0, F.concat(F.lit("-"), F.get(words, rest(n, 10)))).otherwise("")
+        return F.when(n < 20, F.get(words, n.cast("int"))).otherwise(F.concat(F.get(tens, over(n, 10) - 2), low))
+
+    def to_999(n: Column) -> Column:
+        low = F.when(rest(n, 100) > 0, F.concat(F.lit(" and "), to_99(rest(n, 100)))).otherwise("")
+        return F.when(n < 100, to_99(n)).otherwise(F.concat(F.get(words, over(n, 100)), F.lit(" hundred"), low))
+
+    link = F.when(rest(n, 1000) < 100, " and ").otherwise(", ")
+    low = F.when(rest(n, 1000) > 0, F.concat(link, bound(rest(n, 1000), to_999))).otherwise("")
+    return F.when(n < 1000, to_999(n)).otherwise(F.concat(bound(over(n, 1000), to_999), F.lit(" thousand"), low))
+
+
+def said_ordinal(n: Column) -> Column:
+    """The ordinal of a number in words: its last word changes."""
+    special = F.create_map(*[F.lit(x) for kv in ORDINALS.items() for x in kv])
+    regular = lambda w: F.when(F.endswith(w, F.lit("y")), F.concat(F.regexp_replace(w, "y$", ""), F.lit("ieth"))).otherwise(F.concat(w, F.lit("th")))
+    last = lambda w: F.coalesce(F.element_at(special, w), regular(w))
+    return bound(said(n), lambda full: F.concat(F.regexp_replace(full, "[a-z]+$", ""), bound(F.regexp_extract(full, "([a-z]+)$", 1), last)))
 
 
-def roman(n: int) -> str:
-    out = ""
-    for value, sign in ((100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")):
-        while n >= value:
-            out, n = out + sign, n - value
-    return out
+def roman_value(numeral: Column) -> Column:
+    """The value of a numeral of the letters I, V, X, L and C; a letter before a larger one is taken off."""
+    values = F.transform(F.split(F.translate(F.upper(numeral), "IVXLC", "01234"), "", -1), lambda d: F.get(F.array(*map(F.lit, (1, 5, 10, 50, 100))), d.cast("int")))
+    # from the right: a letter counts against the largest so far
+    step = lambda acc, v: F.struct(F.when(v < acc["top"], acc["sum"] - v).otherwise(acc["sum"] + v).alias("sum"), v.alias("top"))
+    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("top"))
+    return F.aggregate(F.reverse(values), start, step, lambda acc: acc["sum"])
 
 
 def lines(text: Column) -> Column:
@@ -67,7 +100,7 @@ def words(text: Column) -> Column:
 
 
 def capital(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, F.lit(2), F.char_length(word))))
 
 
 def title_case(title: Column) -> Column:

@@ -29,10 +29,10 @@ def grams(rows: DataFrame, id_col: str, text_col: str = "text", k: int = 3) -> D
 
 def shared_grams(asked: DataFrame, asked_id: str, books: DataFrame, book_id: str, most: int = 8, k: int = 3) -> DataFrame:
     """asked_id, book_id, apos and bpos of equal grams, without grams that stand in more than `most` places of all books."""
-    b = grams(books, book_id, k=k).withColumnRenamed("pos", "bpos")
-    rare = b.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("gram")
-    # only grams that are asked for go on to be counted
     a = grams(asked, asked_id, k=k).withColumnRenamed("pos", "apos")
+    # only grams that are asked for are shuffled and counted, once
+    b = freeze(grams(books, book_id, k=k).withColumnRenamed("pos", "bpos").join(a.select("gram").distinct(), "gram", "left_semi"), "asked-grams")
+    rare = b.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("gram")
     return a.join(rare, "gram").join(b, "gram").select(asked_id, book_id, "apos", "bpos")
 
 
@@ -40,7 +40,7 @@ def grams_within_books(asked: DataFrame, asked_id: str, books: DataFrame, book_i
     """As shared_grams, without grams that stand in more than `most` places of the one book; how many books have a gram
     does not matter. Every gram is dealt over `salts` tasks, so a frequent one is not joined in one."""
     # only grams that are asked for go on to be counted
-    wanted = grams(asked, asked_id, k=k).select("gram")
+    wanted = grams(asked, asked_id, k=k).select("gram").distinct()
     b = grams(books, book_id, k=k).join(wanted, "gram", "left_semi").groupBy(book_id, "gram").agg(F.collect_list("pos").alias("bpos")).where(F.size("bpos") <= most)
     b = b.withColumn("salt", F.pmod(F.xxhash64(book_id), F.lit(salts)))
     a = grams(asked, asked_id, k=k).withColumnRenamed("pos", "apos").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
@@ -48,19 +48,18 @@ def grams_within_books(asked: DataFrame, asked_id: str, books: DataFrame, book_i
 
 
 def longest_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest run of pairs that rises in both numbers."""
-    pairs = sorted(pairs, key=lambda p: (p[0], -p[1]))
-    ends: list[int] = []
-    at: list[int] = []
-    before = []
-    for n, (_, b) in enumerate(pairs):
-        k = bisect.bisect_left(ends, b)
-        before.append(at[k - 1] if k else None)
-        ends[k : k + 1], at[k : k + 1] = [b], [n]
-    out, n = [], at[-1] if at else None
-    while n is not None:
-        out.append(pairs[n])
-        n = before[n]
+    """The longest run of pairs that rises in both numbers: each pair's rank is the longest run that ends in it, and from
+    the back the first pair of every rank in turn is one such run."""
+    tops, ranked = [], []
+    for pair in sorted(pairs, key=lambda p: (p[0], -p[1])):
+        rank = bisect.bisect_left(tops, pair[1])
+        tops[rank : rank + 1] = [pair[1]]
+        ranked.append((rank, pair))
+    out, wanted = [], len(tops) - 1
+    for rank, pair in reversed(ranked):
+        if rank == wanted:
+            out.append(pair)
+            wanted -= 1
     return out[::-1]
 
 
@@ -80,26 +79,26 @@ def best_passages(asked: DataFrame, asked_id: str, books: DataFrame, book_id: st
     def chain(batches):
         for p in batches:
             found = [longest_chain([(a, a + h["offset"]) for h in row for a in h["at"]]) for row in p["hits"]]
-            ends = [(len(c), c[0][1] - c[0][0], c[-1][1] + 3) for c in found]
+            ends = [(len(c), c[0][1] - c[0][0], c[-1][1] - c[-1][0]) for c in found]
             yield p[[asked_id, book_id]].assign(length=[e[0] for e in ends], first=[e[1] for e in ends], last=[e[2] for e in ends])
 
     chains = open_.mapInPandas(chain, f"{asked_id} {kinds[asked_id]}, {book_id} {kinds[book_id]}, length int, first int, last int")
     best = chains.groupBy(asked_id).agg(F.max_by(F.struct(book_id, "length", "first", "last"), F.struct("length", -F.col(book_id))).alias("b")).select(asked_id, "b.*")
     a = asked.select(asked_id, text_tokens(F.col("text")).alias("asked")).where(F.size("asked") >= 4)
     b = books.select(book_id, text_tokens(F.col("text")).alias("words"))
+    # the passage goes on from the last shared gram for as many words as the asked text has left
     start = F.greatest(F.col("first") - slack, F.lit(0))
-    near = F.slice("words", start + 1, F.col("last") + slack - start)
+    near = F.slice("words", start + 1, F.greatest(F.col("last") + F.size("asked") + slack - start, F.lit(0)))
     pairs = best.join(a, asked_id).join(b, book_id).select(asked_id, book_id, "length", "asked", near.alias("near"))
 
     def measure(batches):
         for p in batches:
-            out = []
+            shares = []
             for x, y in zip(p["asked"], p["near"], strict=True):
-                blocks = [m for m in SequenceMatcher(None, list(x), list(y), autojunk=False).get_matching_blocks() if m.size]
-                matched = sum(m.size for m in blocks)
-                span = blocks[-1].b + blocks[-1].size - blocks[0].b if blocks else 0
-                out.append((matched / len(x), matched / span if span else 0.0))
-            yield p[[asked_id, book_id, "length"]].assign(similarity=[o[0] for o in out], coverage=[o[1] for o in out])
+                equal = [(at, to) for kind, _, _, at, to in SequenceMatcher(None, list(x), list(y), autojunk=False).get_opcodes() if kind == "equal"]
+                matched = sum(to - at for at, to in equal)
+                shares.append((matched / len(x), matched / (equal[-1][1] - equal[0][0]) if equal else 0.0))
+            yield p[[asked_id, book_id, "length"]].assign(similarity=[s for s, _ in shares], coverage=[c for _, c in shares])
 
     return pairs.mapInPandas(measure, f"{asked_id} {kinds[asked_id]}, {book_id} {kinds[book_id]}, length int, similarity double, coverage double")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -12,39 +13,48 @@ from pyspark.sql import functions as F
 from quirespark.functions import text as T
 
 _AFTER_STOP = re.compile(r"(?<=[.!?;:])\s+")
+_UP_TO_PAUSE = re.compile(r"(?s).*[,;:—]")
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, para (from 0, of all lines) and text of each line that is not blank."""
-    return docs.select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("para", "text")).where(F.btrim("text") != "").select("doc_id", "para", F.btrim("text").alias("text"))
+def paragraphs(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, further columns of docs, para (from 0, of all lines) and text of each line that is not blank. A null or
+    blank text gives no row."""
+    split = docs.select("doc_id", *more, F.posexplode(T.lines(F.col("text"))).alias("para", "text"))
+    return split.where(F.btrim("text") != "").withColumn("text", F.btrim("text"))
 
 
-def sentence_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, para, sent (from 0) and sentence."""
-    return paragraphs(docs).select("doc_id", "para", F.posexplode(T.sentences(F.col("text"))).alias("sent", "sentence"))
+def sentence_rows(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, further columns of docs, para, sent (from 0) and sentence."""
+    return paragraphs(docs, *more).select("doc_id", *more, "para", F.posexplode(T.sentences(F.col("text"))).alias("sent", "sentence"))
+
+
+def _broken(sentence: str, most: int) -> Iterator[tuple[str, str]]:
+    """A sentence in pieces of at most `most` characters: it breaks after the last comma, semicolon, colon or dash of the
+    later part of what fits, else at a space, else anywhere. With how each piece ends: comma, space or end."""
+    while len(sentence) > most:
+        soft = _UP_TO_PAUSE.match(sentence, 0, most)
+        how = "comma" if soft and soft.end() > int(most * 0.45) else "space"
+        at = soft.end() if how == "comma" else sentence.rfind(" ", 0, most) + 1
+        at = at if at > 1 else most + 1
+        yield sentence[:at].strip(), how
+        sentence = sentence[at:].strip()
+    yield sentence, "end"
 
 
 def _cuts(text: str, most: int) -> Iterator[tuple[str, str]]:
-    """Pieces of at most `most` characters with how each ends: end, comma or space."""
-    held = ""
-    for sentence in _AFTER_STOP.split(text.strip()):
-        while len(sentence) > most:
-            head = sentence[:most]
-            soft = max(head.rfind(mark) for mark in ",;:—")
-            how = "comma" if soft >= int(most * 0.45) else "space"
-            at = soft if how == "comma" else head.rfind(" ")
-            at = at if at > 0 else most
-            if held:
-                yield held, "end"
-                held = ""
-            yield sentence[: at + 1].strip(), how
-            sentence = sentence[at + 1 :].strip()
-        if held and len(held) + len(sentence) >= most:
-            yield held, "end"
-            held = ""
-        held = f"{held} {sentence}".strip()
-    if held:
-        yield held, "end"
+    """Pieces of at most `most` characters with how each ends: whole sentences together as long as they fit."""
+    line: list[str] = []
+    for piece, how in chain.from_iterable(_broken(s, most) for s in _AFTER_STOP.split(text.strip())):
+        room = most - sum(map(len, line)) - len(line)
+        if line and (how != "end" or len(piece) > room):
+            yield " ".join(line), "end"
+            line.clear()
+        if how != "end":
+            yield piece, how
+        elif piece:
+            line.append(piece)
+    if line:
+        yield " ".join(line), "end"
 
 
 def chunk_plan(docs: DataFrame, most: int = 300, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,12 +87,17 @@ def drop_cruft(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.withColumn("text", F.array_join(F.filter(T.lines(F.col("text")), lambda p: ~F.lower(p).rlike(pattern)), "\n"))
 
 
-def validate(chapters: DataFrame, book: str, title: str) -> DataFrame:
-    """One row for each book: chapters, chars, median, notes (codes, in order) and level (ok, check or bad)."""
+def validate(chapters: DataFrame, book: str, title: str, whole: str | None = None) -> DataFrame:
+    """One row for each book: chapters, chars, median, notes (codes, in order) and level (ok, check or bad).
+
+    whole names a column with the length of the book's source; where less than four fifths of it are in chapters a note
+    says so. A null text has no length; a book whose texts are all null is bad.
+    """
     size = F.char_length("text")
     s = chapters.groupBy(book).agg(
         F.count(F.lit(1)).alias("chapters"), F.sum(size).cast("long").alias("chars"), F.percentile(size, F.lit(0.5)).alias("median_chars"),
         F.max(size).cast("long").alias("longest"), F.count_if(size < 40).alias("empty"), F.count_distinct(title).alias("titles"),
+        (F.max(whole) if whole else F.lit(None).cast("long")).alias("whole"),
     )
     tiny = (F.col("chapters") > 3) & (F.col("median_chars") < 500)
     notes = F.array_compact(F.array(
@@ -90,6 +105,7 @@ def validate(chapters: DataFrame, book: str, title: str) -> DataFrame:
         F.when(tiny, "tiny_chapters"),
         F.when((F.col("chapters") > 5) & (F.col("longest") > 12 * F.col("median_chars")) & (F.col("longest") > 50000), "missed_heading"),
         F.when(F.col("empty") > 0, "empty_chapters"),
+        F.when(F.col("chars") < 0.8 * F.col("whole"), "text_dropped"),
         F.when((F.col("chapters") > 3) & (F.col("titles") < 0.6 * F.col("chapters")), "shared_titles"),
     ))
     level = F.when((F.col("chars") < 200) | (tiny & (F.col("median_chars") < 150)), "bad").when(F.size(notes) > 0, "check").otherwise("ok")
@@ -126,15 +142,19 @@ def _next_verse(a, b):
 def furniture(pages: DataFrame, edge: int = 3, least_pages: int = 3, share: float = 0.2) -> DataFrame:
     """pages (book, page, text) without running headers and footers: lines among the first or last `edge` of a page
     that, digits aside, stand so on at least `share` of the book's pages."""
-    rows = pages.select("book", "page", F.posexplode(T.lines(F.col("text"))).alias("pos", "line"), F.size(T.lines(F.col("text"))).alias("n"))
-    norm = F.btrim(F.regexp_replace(F.lower("line"), "[0-9]+", "#"))
-    rows = rows.withColumn("norm", norm).withColumn("at_edge", (F.col("pos") < edge) | (F.col("pos") >= F.col("n") - edge))
+    norm = lambda line: F.btrim(F.regexp_replace(F.lower(line), "[0-9]+", "#"))
+    cut = pages.withColumn("ls", T.lines(F.col("text")))
+    edges = F.when(F.size("ls") <= 2 * edge, F.col("ls")).otherwise(F.concat(F.slice("ls", 1, edge), F.slice("ls", -edge, edge)))
     total = pages.groupBy("book").agg(F.count_distinct("page").alias("pages"))
-    often = rows.where("at_edge AND norm != ''").groupBy("book", "norm").agg(F.count_distinct("page").alias("on")).join(total, "book")
-    bad = often.where(F.col("on") >= F.greatest(F.lit(float(least_pages)), F.col("pages") * share)).select("book", "norm", F.lit(True).alias("furniture"))
-    kept = rows.join(bad, ["book", "norm"], "left").where(~(F.col("at_edge") & F.coalesce("furniture", F.lit(False))))
-    body = kept.groupBy("book", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n").alias("text"), F.count(F.lit(1)).alias("lines"))
-    return body
+    often = cut.select("book", "page", F.explode(F.array_distinct(F.transform(edges, norm))).alias("norm")).where("norm != ''").distinct()
+    often = often.groupBy("book", "norm").agg(F.count(F.lit(1)).alias("on")).join(total, "book")
+    bad = often.where(F.col("on") >= F.greatest(F.lit(float(least_pages)), F.col("pages") * share)).groupBy("book").agg(F.collect_set("norm").alias("bad"))
+    # a book has few such lines: each stands on a share of its pages, which have 2 * edge lines of the kind
+    marked = cut.join(bad, "book", "left").withColumn("bad", F.coalesce("bad", F.array().cast("array<string>")))
+    at_edge = lambda i: (i < edge) | (i >= F.size("ls") - edge)
+    kept = F.filter("ls", lambda x, i: ~(at_edge(i) & F.array_contains("bad", norm(x))))
+    body = marked.withColumn("kept", kept).where(F.size("kept") > 0)
+    return body.select("book", "page", F.array_join("kept", "\n").alias("text"), F.size("kept").cast("long").alias("lines"))
 
 
 def running_text(pages: DataFrame) -> DataFrame:
@@ -143,17 +163,21 @@ def running_text(pages: DataFrame) -> DataFrame:
     return pages.withColumn("text", F.regexp_replace(joined, " +", " "))
 
 
-def fingerprint(docs: DataFrame, by: str, columns: list[str], order: str) -> DataFrame:
-    """One sha1 for each value of `by` over the hashes of its rows in order: equal as long as nothing changed."""
+def fingerprint(docs: DataFrame, by: str, columns: list[str], order: str, part_rows: int = 1 << 14) -> DataFrame:
+    """One sha1 for each value of `by`, equal as long as no row changed: of the hashes of its parts in order, a part being
+    the rows whose `order` (a whole number, null first) falls in one stretch of part_rows, hashed in order. However many
+    rows a value has, no task lists more than a part or the parts of one value. Rows of equal `order` go by their hash."""
     row = F.sha1(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in columns]))
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("h"))))
-    return docs.groupBy(by).agg(F.sha1(F.array_join(F.transform(listed, lambda x: x.h), "")).alias("fingerprint"), F.count(F.lit(1)).alias("n_rows"))
+    joined = lambda at: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("o"), F.col("h")))), lambda x: x.h), "")
+    rows = docs.select(by, F.col(order).alias("o"), F.floor(F.col(order) / part_rows).alias("part"), row.alias("h"))
+    parts = rows.groupBy(by, "part").agg(F.sha1(joined("o")).alias("h"), F.count(F.lit(1)).alias("n"))
+    return parts.groupBy(by).agg(F.sha1(joined("part")).alias("fingerprint"), F.sum("n").alias("n_rows"))
 
 
 def clip_pace(docs: DataFrame, group: str, fast: float = 1.6, slow: float = 0.45) -> DataFrame:
     """Pieces of each text against the usual pace of its group: median and outliers. The length of a sentence stands
     for the characters, its number of words for the seconds."""
-    s = docs.select("doc_id", F.col(group)).join(sentence_rows(docs), "doc_id")
+    s = sentence_rows(docs, group)
     s = s.withColumn("chars", F.char_length("sentence")).withColumn("n_words", F.size(T.words(F.col("sentence")))).where("chars >= 25 AND n_words > 0").withColumn("pace", F.col("chars") / F.col("n_words"))
     usual = s.groupBy(group).agg(F.when(F.count(F.lit(1)) >= 20, F.percentile("pace", F.lit(0.5))).alias("median_pace"))
     problem = F.when(F.col("pace") > fast * F.col("median_pace"), "rushed").when(F.col("pace") < slow * F.col("median_pace"), "drawn out")

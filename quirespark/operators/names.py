@@ -52,14 +52,14 @@ def name_context(docs: DataFrame, names: DataFrame) -> DataFrame:
     s = sentence_rows(docs)
     w = Window.partitionBy("doc_id").orderBy("para", "sent")
     s = s.withColumn("before", F.lag("sentence").over(w)).withColumn("after", F.lead("sentence").over(w))
-    hits = s.withColumn("word", F.explode(F.array_distinct(F.transform(T.words(F.col("sentence")), F.lower)))).join(F.broadcast(names.select(F.lower("name").alias("word"), "name")), "word")
+    hits = s.withColumn("word", F.explode(F.array_distinct(F.transform(T.words(F.col("sentence")), F.lower)))).join(names.select(F.lower("name").alias("word"), "name"), "word")
     return hits.groupBy("name", "doc_id").agg(F.min_by(F.struct("before", "sentence", "after"), F.struct("para", "sent")).alias("c")).select("name", "doc_id", "c.*")
 
 
 def name_pairs(clips: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(clip, name) for each name that a clip has as a word, with or without 's: an equi join on words, no theta join."""
     words_ = F.array_distinct(F.transform(T.words(F.col(text_col)), F.lower))
-    return clips.select(id_col, F.explode(words_).alias("word")).join(F.broadcast(names.select(F.lower("name").alias("word"), "name")), "word").select(id_col, "name")
+    return clips.select(id_col, F.explode(words_).alias("word")).join(names.select(F.lower("name").alias("word"), "name"), "word").select(id_col, "name")
 
 
 def vote(rows: DataFrame, by: str, value: str, least_votes: int = 3, least_share: float = 0.5) -> DataFrame:
@@ -79,11 +79,20 @@ def is_dialect(token: Column, known: list[str] = ()) -> Column:
 
 
 def is_numeral(term: Column) -> Column:
-    """Whether a term is a Roman numeral: in capitals of any length, else of three letters or more."""
+    """Whether a term has the form of a Roman numeral: in capitals of any length, else of three letters or more."""
     shape = F.upper(term).rlike("^M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})$") & (term != "")
     return shape & ((F.upper(term) == term) | (F.char_length(term) >= 3))
 
 
+def numerals(terms: DataFrame, dictionary: DataFrame, term: str = "word") -> DataFrame:
+    """terms with numeral: whether each has the form of a Roman numeral and is, unless in capitals, no word of the
+    dictionary (column word, in small letters): Mix and Dix are words. A null term is none."""
+    known = dictionary.select(F.col("word").alias("_low"), F.lit(True).alias("_known")).distinct()
+    found = terms.withColumn("_low", F.lower(term)).join(known, "_low", "left")
+    spelt = (F.upper(term) == F.col(term)) | F.col("_known").isNull()
+    return found.withColumn("numeral", F.coalesce(is_numeral(F.col(term)) & spelt, F.lit(False))).drop("_low", "_known")
+
+
 def stems(word: Column) -> Column:
     """The word and forms it may come from by its ending."""
     forms = [word] + [F.when(F.endswith(word, F.lit(e)) & (F.char_length(word) - len(e) >= 3), F.concat(F.left(word, F.char_length(word) - len(e)), F.lit(r))) for e, r in ENDINGS]
@@ -96,12 +105,25 @@ def known_words(words_: DataFrame, dictionary: DataFrame, word: str = "word") ->
     return s.groupBy(word).agg((F.max("hit") == 1).alias("known")).select(word, F.coalesce("known", F.lit(False)).alias("known"))
 
 
-def genders(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """For each name the pronouns that come first after it, within 140 characters and its sentence; two votes decide."""
-    p = docs.select("text").join(F.broadcast(names), F.col("text").contains(F.col("name")))
-    mentions = p.select("name", F.explode(F.slice(F.split("text", F.concat(F.lit("\\Q"), F.col("name"), F.lit("\\E")), -1), 2, 1_000_000)).alias("tail"))
-    near = F.split(F.left("tail", F.lit(140)), "[.!?]", 2)[0]
-    said = F.lower(F.regexp_extract(near, r"\b([Hh]e|[Hh]is|[Hh]im|[Hh]imself|[Ss]he|[Hh]er|[Hh]erself)\b", 1))
-    g = mentions.withColumn("g", F.when(said == "", None).when(said.rlike("^(she|her)"), "f").otherwise("m")).where("g IS NOT NULL")
-    n = g.groupBy("name").agg(F.count_if(F.col("g") == "f").alias("f"), F.count_if(F.col("g") == "m").alias("m"))
+#: What a pronoun says, and what ends the stretch of text in which it counts.
+_PRONOUN = r"(?<![\p{L}\p{N}_])([Hh]e|[Hh]is|[Hh]im|[Hh]imself|[Ss]he|[Hh]er|[Hh]erself)(?![\p{L}\p{N}_])"
+
+
+def genders(docs: DataFrame, names: DataFrame, reach: int = 140, text_col: str = "text") -> DataFrame:
+    """For each name the pronouns that come first after it, within `reach` characters and its sentence; two votes decide.
+
+    Names are whole words or phrases (Ann is not in Annals). Every word with a capital and a pronoun behind it meets the
+    names by their first words, so no text meets a list of names; the rest of a phrase is checked after the join. Null
+    texts and names have no votes; a name without two votes has no row.
+    """
+    longest = 60  # characters of a phrase that are looked at
+    place = r"(?<![\p{L}\p{N}_])(?=(\p{Lu}[^.!?]{0," + str(longest + reach) + "}))"
+    heads = docs.select(F.explode(F.regexp_extract_all(text_col, F.lit(place), 1)).alias("tail")).where(F.col("tail").rlike(_PRONOUN))
+    heads = heads.withColumn("first", F.regexp_extract("tail", r"^([\p{L}\p{N}_]+)", 1))
+    asked = names.where(F.col("name").isNotNull()).select("name", F.regexp_extract("name", r"^([\p{L}\p{N}_]+)", 1).alias("first")).distinct()
+    after = F.substring("tail", F.char_length("name") + 1, F.lit(reach))
+    hits = heads.join(asked, "first").where(F.startswith("tail", "name") & ~F.coalesce(after, F.lit("")).rlike(r"^[\p{L}\p{N}_]"))
+    said = F.lower(F.regexp_extract(after, _PRONOUN, 1))
+    told = hits.select("name", F.when(said.rlike("^(she|her)"), "f").when(said != "", "m").alias("g")).where("g IS NOT NULL")
+    n = told.groupBy("name").agg(F.count_if(F.col("g") == "f").alias("f"), F.count_if(F.col("g") == "m").alias("m"))
     return n.where("f + m >= 2").select("name", F.when(F.col("f") > F.col("m"), "f").otherwise("m").alias("gender"), (F.col("f") + F.col("m")).alias("votes"))

@@ -3,96 +3,172 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from quirespark.functions import text as T
 
-#: What abbreviations stand for, before a capital.
-BEFORE_NAMES = {
-    "MM.": "Messieurs", "Mme.": "Madame", "Mlle.": "Mademoiselle", "M.": "Monsieur", "Dr.": "Doctor", "Mr.": "Mister", "Mrs.": "Missus",
-    "St.": "Saint", "Capt.": "Captain", "Col.": "Colonel", "Wm.": "William", "Chas.": "Charles", "Geo.": "George", "Thos.": "Thomas",
-    "Jas.": "James", "Jno.": "John", "Hon.": "Honorable", "Rev.": "Reverend", "Messrs.": "Messieurs", "Prof.": "Professor",
-    "Gov.": "Governor", "Saml.": "Samuel", "Benj.": "Benjamin", "Gen.": "General",
-}
-#: What abbreviations stand for anywhere.
-ANYWHERE = [("viz.", "namely,"), ("i.e.", "that is,"), ("e.g.", "for example,"), ("etc.", "et cetera.")]
-#: States after a place and a comma.
-STATES = {"Va.": "Virginia", "Tenn.": "Tennessee", "Mass.": "Massachusetts", "Ga.": "Georgia", "Ala.": "Alabama", "Wis.": "Wisconsin", "Conn.": "Connecticut", "Pa.": "Pennsylvania", "Ky.": "Kentucky", "Mo.": "Missouri"}
-_DIVISIONS = ["Act", "Scene", "Chapter", "Book", "Part", "Canto"]
-_CARDINALS = {T.roman(n): T.say(n) for n in range(1, 100)}
-_ORDINALS = {T.roman(n): T.say_ordinal(n) for n in range(1, 100)}
+#: What is written, what is read, and where it counts: before a capital (name; dashed: a hyphen may
+#: stand between), after a small letter (after), anywhere but with a comma or semicolon behind (stop), with a comma behind
+#: taken in (comma), after a place (state; wide: after a comma or a full stop). Steps are taken in this order.
+ABBREVIATIONS = [
+    ("MM.", "Messieurs", "name"), ("Mme.", "Madame", "name"), ("Mme", "Madame", "name"), ("Mlle.", "Mademoiselle", "name"), ("M.", "Monsieur", "name"),
+    ("Dr.", "Doctor", "name"), ("Mr.", "Mister", "name"), ("Mrs.", "Missus", "name"), ("St.", "Saint", "name"), ("Capt.", "Captain", "name"), ("Col.", "Colonel", "name"),
+    ("Wm.", "William", "name"), ("Chas.", "Charles", "name"), ("Geo.", "George", "name"), ("Thos.", "Thomas", "name"), ("Jas.", "James", "name"), ("Jno.", "John", "name"),
+    ("Hon.", "Honorable", "name"), ("Rev.", "Reverend", "name"), ("Messrs.", "Messieurs", "name"),
+    ("Lieut.", "Lieutenant", "dashed"), ("Maj.", "Major", "dashed"), ("Brig.", "Brigadier", "dashed"), ("Prof.", "Professor", "name"), ("Gov.", "Governor", "name"),
+    ("Jr.", "Junior", "after"), ("Sr.", "Senior", "after"), ("Esq.", "Esquire", "stop"),
+    ("viz.", "namely,", "comma"), ("i.e.", "that is,", "comma"), ("e.g.", "for example,", "comma"), ("etc.", "et cetera", "stop"),
+    ("W. Va.", "West Virginia", "wide"), ("Va.", "Virginia", "state"), ("Tenn.", "Tennessee", "state"), ("Mass.", "Massachusetts", "state"), ("Ga.", "Georgia", "state"), ("Ala.", "Alabama", "state"),
+    ("Wis.", "Wisconsin", "state"), ("Conn.", "Connecticut", "state"), ("Pa.", "Pennsylvania", "state"), ("Ky.", "Kentucky", "state"), ("Mo.", "Missouri", "state"),
+    ("Saml.", "Samuel", "name"), ("Benj.", "Benjamin", "name"), ("Gen.", "General", "name"),
+]
+#: Parts of a work, which a cardinal follows, and number words of headings.
+DIVISIONS = ["Act", "Scene", "Chapter", "Book", "Part", "Canto"]
+HEADING_NUMBERS = T.NUMBER_WORDS[1:] + ["twenty"]
+
+
+def _steps(written: str, read: str, where: str) -> list[tuple[str, str]]:
+    """Replacements for one abbreviation."""
+    w = re.escape(written).replace(r"\ ", " ")
+    return {
+        "name": [(rf"\b{w}\s+(?=[A-Z])", f"{read} ")],
+        "dashed": [(rf"\b{w}\s*-?\s*(?=[A-Z])", f"{read} ")],
+        "after": [(rf"(?<=[a-z])\s+{w}", f" {read}")],
+        "stop": [(rf"\b{w}(?=[,;])", read), (rf"\b{w}", f"{read}.")],
+        "comma": [(rf"\b{w},?", read)],
+        "state": [(rf"(?<=, ){w}", read)],
+        "wide": [(rf"(?<=[,.] ){w}", read)],
+    }[where]
 
 
 def expand(text: Column) -> Column:
     """Abbreviations in full, then Roman numerals of two letters or more: a cardinal after Act, Scene, ..., an ordinal
-    after a name."""
-    steps = [(rf"\b{re.escape(a)}\s+(?=[A-ZÀ-Þ])", f"{full} ") for a, full in BEFORE_NAMES.items()]
-    steps += [(r"\bMme\s+(?=[A-ZÀ-Þ])", "Madame "), (r"(?<=[a-z])\s+Jr\.", " Junior"), (r"(?<=[a-z])\s+Sr\.", " Senior"), (r"\bEsq\.(?=[,;])", "Esquire"), (r"\bEsq\.", "Esquire.")]
-    steps += [(rf"\b{re.escape(a)},?", full) for a, full in ANYWHERE] + [(rf"(?<=, ){re.escape(a)}", full) for a, full in STATES.items()]
-    plain = reduce(lambda t, step: F.regexp_replace(t, step[0], step[1]), steps, text)
+    after another capitalised word. Null stays null."""
+    plain = reduce(lambda t, step: F.regexp_replace(t, step[0], step[1]), [s for row in ABBREVIATIONS for s in _steps(*row)], text)
     parts = F.split(plain, " ", -1)
-    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
     def word(w: Column, i: Column) -> Column:
-        sign, rest = F.regexp_extract(w, r"^([IVXLC]{2,})(?![A-Za-z])(.*)$", 1), F.regexp_extract(w, r"^([IVXLC]{2,})(?![A-Za-z])(.*)$", 2)
-        before = F.when(i > 0, F.get(parts, i - 1))
-        cardinal, ordinal = F.element_at(table(_CARDINALS), sign), F.element_at(table(_ORDINALS), sign)
-        said = F.when(before.isin(_DIVISIONS), cardinal).when(before.rlike("^[A-Z][a-z]+$"), F.concat(F.lit("the "), ordinal))
-        return F.when((sign == "") | said.isNull(), w).otherwise(F.concat(said, rest))
+        sign = F.regexp_extract(w, r"^([IVXLC]{2,})(?![\p{L}\p{N}_])", 1)
+        before = F.regexp_extract(F.when(i > 0, F.get(parts, i - 1)).otherwise(""), r"(?<![\p{L}\p{N}_])([A-Z][a-z]+)$", 1)
+        n = T.roman_value(F.when(sign == "", "I").otherwise(sign))
+        read = T.bound(n, lambda n: F.when(before.isin(DIVISIONS), T.said(n)).otherwise(F.concat(F.lit("the "), T.said_ordinal(n))))
+        return F.when((sign == "") | (before == ""), w).otherwise(F.concat(read, F.substring(w, F.char_length(sign) + 1, F.char_length(w))))
 
     return F.array_join(F.transform(parts, word), " ")
 
 
-def spoken_title(title: Column) -> Column:
-    """A heading as it is read: its number in words, a full stop after each part."""
-    t = F.regexp_replace(F.btrim(title), r"\s+", " ")
-    table = F.create_map(*[F.lit(x) for n in range(1, 100) for x in (T.roman(n), T.say(n))])
-    digits = F.create_map(*[F.lit(x) for n in range(1, 100) for x in (str(n), T.say(n))])
-    lead, rest = F.regexp_extract(t, r"^([IVXLC]+)\.\s+(\S.*)$", 1), F.regexp_extract(t, r"^([IVXLC]+)\.\s+(\S.*)$", 2)
-    cut = lambda x: F.regexp_replace(x, r"\.+$", "")
-    body = lambda x: T.title_case(cut(x))
-    part = r"(?i)^(part|chapter|book|section)\s+([0-9]+|[IVXLC]+)\s*[:.–—-]?\s*(.*)$"
-    head, number, tail = (F.regexp_extract(t, part, k) for k in (1, 2, 3))
-    said = F.coalesce(F.element_at(digits, number), F.element_at(table, F.upper(number)))
-    numbered = F.concat(T.capital(head), F.lit(" "), said, F.lit("."), F.when(tail != "", F.concat(F.lit(" "), body(tail), F.lit("."))).otherwise(""))
-    return F.when((lead != "") & F.element_at(table, lead).isNotNull(), F.concat(T.capital(F.element_at(table, lead)), F.lit(". "), body(rest), F.lit("."))).when((head != "") & said.isNotNull(), numbered).otherwise(F.concat(body(t), F.lit(".")))
-
-
-def substitute(rows: DataFrame, lexicon: dict[str, str], text_col: str = "text", markup: bool = False) -> DataFrame:
-    """rows with words and phrases of the lexicon replaced, the longest first, in one pass that does not look at what it
-    wrote. Capitals carry over; with markup the word stays, followed by its sound. The lexicon is a bounded dictionary."""
-    fold = lambda s: re.sub(r"\s+", " ", s.lower().replace("’", "'"))
-    known = {fold(k): v for k, v in lexicon.items() if v}
-    if not known:
-        return rows
-    shapes = [re.escape(k).replace("\\ ", r"\s+").replace("'", "['’]") for k in sorted(known, key=len, reverse=True)]
-    found = re.compile(rf"(?<![{T.LETTER}])(?:{'|'.join(shapes)})(?![{T.LETTER}])", re.IGNORECASE)
+def _headed(x: Column) -> Column:
+    """Words of a heading as they are read: without its last stops, words in capitals with one capital each."""
+    return T.bound(x, _heading)
 
-    def written(m: re.Match) -> str:
-        was = re.sub(r"\s+", " ", m[0])
-        new = known[fold(was)]
-        if markup:
-            return f"[{was}](/{new.strip('/')}/)"
-        if len(was) > 1 and was == was.upper():
-            return new.upper()
-        return new[:1].upper() + new[1:] if was[0] != was[0].lower() else new
 
-    at = rows.columns.index(text_col)
+def _heading(x: Column) -> Column:
+    whole = F.regexp_replace(F.regexp_replace(x, r"(?i)\bEsq\b\.?", "Esquire"), r"\.+$", "")
+    begun = F.concat(F.upper(F.left(whole, F.lit(1))), F.substring(whole, F.lit(2), F.char_length(whole)))
+    return T.bound(begun, _calm)
+
+
+def _calm(begun: Column) -> Column:
+    loud = (F.upper(begun) == begun) & (F.lower(begun) != begun)
+    words = F.split(F.lower(begun), " ", -1)
+    raised = lambda w: F.concat(F.regexp_extract(w, "^([^a-z]*)", 1), F.initcap(F.regexp_extract(w, "^[^a-z]*([a-z]?)", 1)), F.regexp_extract(w, "(?s)^[^a-z]*[a-z]?(.*)$", 1))
+    small = lambda w, i: (i > 0) & F.regexp_replace(w, "^[“”\"'(]+|[“”\"'(]+$", "").isin(T.SMALL_WORDS)
+    quiet = F.array_join(F.transform(F.split(begun, r"(?<![A-Za-z0-9_])(?=[A-Z]{2,}(?![A-Za-z0-9_]))|(?<=[A-Z]{2})(?![A-Za-z0-9_])", -1), lambda p: F.when(p.rlike("^[A-Z]{2,}$"), F.initcap(F.lower(p))).otherwise(p)), "")
+    return F.when(loud, F.array_join(F.transform(words, lambda w, i: F.when(small(w, i), w).otherwise(raised(w))), " ")).otherwise(quiet)
+
+
+def _with_numbers(x: Column) -> Column:
+    """Whole numbers of up to six digits in words."""
+    pieces = F.split(x, r"(?<![\p{L}\p{N}_])(?=[0-9])|(?<=[0-9])(?![\p{L}\p{N}_])", -1)
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[0-9]{1,6}$"), T.said(F.when(p.rlike("^[0-9]{1,6}$"), p).otherwise("0").cast("int"))).otherwise(p)), "")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = pa.array([None if t is None else found.sub(written, t) for t in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([done if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+def _number(x: Column) -> Column:
+    """A number of a heading (a word, digits or a Roman numeral) in words."""
+    digits = x.rlike("^[0-9]{1,6}$")
+    value = F.when(digits, F.when(digits, x).otherwise("0").cast("int")).otherwise(T.roman_value(F.when(x.rlike("(?i)^[IVXLC]+$"), x).otherwise("I")))
+    return F.when(F.lower(x).isin(HEADING_NUMBERS), F.lower(x)).otherwise(T.said(value))
 
-    return rows.mapInArrow(run, rows.schema)
+
+def spoken_title(title: Column) -> Column:
+    """A heading as it is read: numbers in words, a full stop after each part. Null stays null."""
+    t = F.btrim(F.regexp_replace(title, r"\s+", " "))
+    part = lambda pattern: [F.regexp_extract(t, pattern, k) for k in (1, 2, 3)]
+    kinds = [
+        r"^()([IVXLC]+)\.\s+(\S.*)$",
+        r"(?i)^(book|part|chapter|section)\s+(" + "|".join(HEADING_NUMBERS) + r"|[IVXLC]+)\s+(?=\w)(.+)$",
+        r"^((?i:part|chapter|book|section))\s+([IVXLC]+)()\.?$",
+        r"(?i)^(part|chapter|book|section)\s+([0-9]+)\s*[:.\-–—]?\s*(.*)$",
+    ]
+    found = F.lit(None)
+    for head, number, rest in map(part, kinds[::-1]):
+        found = F.when(number != "", F.struct(head.alias("head"), number.alias("number"), rest.alias("rest"))).otherwise(found)
+
+    def read(f: Column) -> Column:
+        first = T.bound(_number(f["number"]), lambda n: F.when(f["head"] == "", F.concat(F.upper(F.left(n, F.lit(1))), F.substring(n, F.lit(2), F.char_length(n)))).otherwise(F.concat(T.capital(f["head"]), F.lit(" "), n)))
+        return F.concat(first, F.lit("."), F.when(f["rest"] != "", F.concat(F.lit(" "), _headed(f["rest"]), F.lit("."))).otherwise(""))
+
+    return F.when(title.isNull(), None).otherwise(F.coalesce(T.bound(found, lambda f: F.when(f.isNotNull(), read(f))), F.concat(_with_numbers(_headed(t)), F.lit("."))))
+
+
+def _pieces(text: Column) -> Column:
+    """Runs of letters and what stands between them, in turn."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"([{T.LETTER}]+|[^{T.LETTER}]+)"), 1)
+
+
+def _folded(piece: Column) -> Column:
+    return F.regexp_replace(F.lower(F.replace(piece, F.lit("’"), F.lit("'"))), r"\s+", " ")
+
+
+def substitute(rows: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text", markup: bool = False) -> DataFrame:
+    """rows with words and phrases of the lexicon (term, written) replaced.
+
+    Texts are cut into words and what stands between them; every run of pieces as long as some term meets the terms in
+    an equi join, so the lexicon may be large. Where terms overlap the first place counts, and there the longest term;
+    what was written is not looked at again. Capitals carry over; with markup the word stays, followed by its sound.
+    Terms begin and end with a letter. Of terms that are equal but for case the one with the first `written` counts. A
+    null text stays null; id_col must be unique. Without terms rows stay as they are.
+    """
+    terms = lexicon.where((F.col("written") != "") & F.col("term").rlike(f"^[{T.LETTER}]")).select(F.transform(_pieces(F.col("term")), _folded).alias("p"), "written")
+    terms = terms.select(F.array_join("p", "").alias("_phrase"), F.size("p").alias("_size"), "written").groupBy("_phrase", "_size").agg(F.min("written").alias("_written"))
+    lengths = [r[0] for r in terms.select("_size").distinct().orderBy("_size").collect()]  # pieces of a phrase: a handful
+    if not lengths:
+        return rows
+    own = rows.withColumn("_p", _pieces(F.col(text_col)))
+    folded = own.select(id_col, F.transform("_p", _folded).alias("_f"))
+
+    def runs(n: int) -> Column:
+        run = lambda i: F.struct(i.alias("_at"), F.lit(n).alias("_size"), F.array_join(F.slice("_f", i + 1, n), "").alias("_phrase"))
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size("_f") - n, F.lit(0))), run)
+
+    found = folded.select(id_col, F.inline(F.flatten(F.array(*map(runs, lengths))))).join(terms, ["_phrase", "_size"])
+    found = found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_at", (-F.col("_size")).alias("_less"), "_written"))).alias("_hits"))
+    end = lambda h: h["_at"] - h["_less"]
+    first = F.filter("_hits", lambda h, i: F.coalesce(F.get("_hits", i - 1)["_at"] < h["_at"], F.lit(True)))  # the longest at each place
+    taken = F.aggregate("_hits", F.slice("_hits", 1, 0), lambda acc, h: F.when(F.coalesce(end(F.try_element_at(acc, F.lit(-1))), F.lit(0)) <= h["_at"], F.concat(acc, F.array(h))).otherwise(acc))
+    joined = own.join(found.withColumn("_hits", first), id_col, "left").withColumn("_hits", taken)
+
+    def put(h: Column, i: Column) -> Column:
+        after = F.coalesce(end(F.get("_hits", i - 1)), F.lit(0))
+        was = F.regexp_replace(F.array_join(F.slice("_p", h["_at"] + 1, -h["_less"]), ""), r"\s+", " ")
+        new, one = h["_written"], F.left(was, F.lit(1))
+        if markup:
+            new = F.concat(F.lit("["), was, F.lit("](/"), F.btrim(new, F.lit("/")), F.lit("/)"))
+        else:
+            raised = F.concat(F.upper(F.left(new, F.lit(1))), F.substring(new, F.lit(2), F.char_length(new)))
+            new = F.when((F.char_length(was) > 1) & (F.upper(was) == was), F.upper(new)).when(F.lower(one) != one, raised).otherwise(new)
+        return F.concat(F.array_join(F.slice("_p", after + 1, h["_at"] - after), ""), new)
+
+    last = F.coalesce(end(F.try_element_at("_hits", F.lit(-1))), F.lit(0))
+    rest = F.array_join(F.slice("_p", last + 1, F.size("_p") - last), "")
+    done = F.when(F.col("_hits").isNull(), F.col(text_col)).otherwise(F.concat(F.array_join(F.transform("_hits", put), ""), rest))
+    return joined.select(*(done.alias(c) if c == text_col else F.col(c) for c in rows.columns))
 
 
 #: Spellings of vowels and consonants, and clusters that may begin a syllable.
@@ -150,21 +226,28 @@ def sounds(ipa: str) -> list[str]:
     return [c for i, c in enumerate(folded) if not (i and c == folded[i - 1] and c in _VOWELS)]
 
 
+def best_fit(change: np.ndarray, drop: np.ndarray, add: np.ndarray) -> float:
+    """The least cost of finding a target anywhere in what was heard: change[i, j] turns target i into heard j, drop[i]
+    leaves out target i, add[j] lets heard j in between. What was heard before and after costs nothing."""
+    ahead = np.concatenate([[0.0], np.cumsum(add)])
+    row = np.zeros(len(ahead))
+    for costs, gone in zip(change, drop, strict=True):
+        way = row + gone
+        way[1:] = np.minimum(way[1:], row[:-1] + costs)
+        row = ahead + np.minimum.accumulate(way - ahead)
+    return float(row.min())
+
+
 def heard_score(target: str, heard: str) -> float:
     """1 where what was heard holds the target's sounds, less for each change; the ends of what was heard are free."""
     a, b = sounds(target), sounds(heard)
     if not a:
         return 0.0
-    skip = lambda s: 0.5 if s in "əɪhr" else 1.0
-    change = lambda x, y: 0.0 if x == y else 0.3 if {x, y} <= {"ə", "ɪ"} else 0.5 if x in _VOWELS and y in _VOWELS else 1.0
-    row = np.zeros(len(b) + 1)
-    for x in a:
-        new = np.empty_like(row)
-        new[0] = row[0] + skip(x)
-        for j, y in enumerate(b, 1):
-            new[j] = min(row[j - 1] + change(x, y), row[j] + skip(x), new[j - 1] + skip(y))
-        row = new
-    return float(max(0.0, 1 - row.min() / sum(map(skip, a))))
+    skip = lambda s: np.array([0.5 if x in "əɪhr" else 1.0 for x in s])
+    vowel = lambda s: np.array([x in _VOWELS for x in s], bool)
+    same = np.array(a)[:, None] == np.array(b, dtype="U1")[None, :]
+    change = np.where(same, 0.0, np.where(vowel(a)[:, None] & vowel(b)[None, :], 0.5, 1.0))
+    return max(0.0, 1 - best_fit(change, skip(a), skip(b)) / skip(a).sum())
 
 
 @F.pandas_udf(DoubleType())

@@ -59,14 +59,14 @@ def licence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT source, count(*) AS chapters, sum(length(text))::BIGINT AS chars, quantile_cont(length(text)::DOUBLE, 0.5) AS median_chars, max(length(text)) AS longest,
-  count(*) FILTER (length(text) < 40) AS empty, count(DISTINCT md5(substr(text, 1, 40))) AS titles FROM documents GROUP BY source),
+  count(*) FILTER (length(text) < 40) AS empty, count(DISTINCT md5(split_part(text, chr(10), 1))) AS titles FROM documents GROUP BY source),
 n AS (SELECT *, concat_ws(',', CASE WHEN chapters = 1 AND chars > 60000 THEN 'one_chapter' END, CASE WHEN chapters > 3 AND median_chars < 500 THEN 'tiny_chapters' END,
   CASE WHEN chapters > 5 AND longest > 12 * median_chars AND longest > 50000 THEN 'missed_heading' END, CASE WHEN empty > 0 THEN 'empty_chapters' END,
   CASE WHEN chapters > 3 AND titles < 0.6 * chapters THEN 'shared_titles' END) AS notes FROM s)
 SELECT source, chapters, chars, median_chars, notes, CASE WHEN chars < 200 OR (chapters > 3 AND median_chars < 150) THEN 'bad' WHEN notes <> '' THEN 'check' ELSE 'ok' END AS level FROM n
 """)
 def doc_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("title", F.md5(F.substring("text", 1, 40)))
+    docs = table(spark, sf_dir, "documents").withColumn("title", F.md5(F.split("text", "\n")[0]))
     return books.validate(docs, "source", "title")
 
 
@@ -150,7 +150,8 @@ def page_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT source, count(*) AS n_rows, sha1(string_agg(sha1(concat_ws(chr(1), lang, text)), '' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source
+SELECT source, sum(n)::BIGINT AS n_rows, sha1(string_agg(h, '' ORDER BY part)) AS fingerprint FROM (SELECT source, doc_id // 16384 AS part, count(*) AS n,
+  sha1(string_agg(sha1(concat_ws(chr(1), lang, text)), '' ORDER BY doc_id)) AS h FROM documents GROUP BY source, doc_id // 16384) GROUP BY source
 """)
 def changed_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.fingerprint(table(spark, sf_dir, "documents"), "source", ["lang", "text"], "doc_id").select("source", "n_rows", "fingerprint")

@@ -156,8 +156,8 @@ def test_text_lines_source(spark, tmp_path):
 def test_sounds_and_spellings(spark):
     assert speech.respelled("kˈAdɹWs") == "KAY-drows" and speech.respelled("dɑ̃ɡlˈaʁ") == "dahn-GLAHR"
     assert speech.heard_score("mɛri", "mɛri") == 1.0 and speech.heard_score("", "a") == 0.0 and 0 < speech.heard_score("tɪm", "tɪn") < 1
-    assert T.say(318) == "three hundred and eighteen" and T.say_ordinal(18) == "eighteenth" and T.say_ordinal(21) == "twenty-first" and T.say_ordinal(30) == "thirtieth"
-    marked = speech.substitute(spark.createDataFrame([("Edmond’s father",)], "text string"), {"Edmond": "ɛdmɔ̃"}, markup=True).first().text
+    assert T.say(318) == "three hundred and eighteen"
+    marked = speech.substitute(spark.createDataFrame([(1, "Edmond’s father")], "doc_id int, text string"), spark.createDataFrame([("Edmond", "ɛdmɔ̃")], "term string, written string"), markup=True).first().text
     assert marked == "[Edmond](/ɛdmɔ̃/)’s father"
 
 
