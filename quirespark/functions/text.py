@@ -17,7 +17,11 @@ ORDINALS = {"one": "first", "two": "second", "three": "third", "five": "fifth",
 
 
 def say(n: int) -> str:
-    """0 to 999 in words."""
+    """A number in words."""
+    for size, name in ((10**9, "billion"), (10**6, "million"), (1000, "thousand")):
+        if n >= size:
+            left = n % size
+            return f"{say(n // size)} {name}" + (f"{' and ' if left < 100 else ', '}{say(left)}" if left else "")
     if n < 20:
         return NUMBER_WORDS[n]
     if n < 100:

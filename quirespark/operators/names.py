@@ -106,7 +106,7 @@ def known_words(words_: DataFrame, dictionary: DataFrame, word: str = "word") ->
 
 
 #: What a pronoun says, and what ends the stretch of text in which it counts.
-_PRONOUN = r"(?<![\p{L}\p{N}_])([Hh]e|[Hh]is|[Hh]im|[Hh]imself|[Ss]he|[Hh]er|[Hh]erself)(?![\p{L}\p{N}_])"
+_PRONOUN = r"(?i)(?<![\p{L}\p{N}_])(he|his|him|himself|she|her|herself)(?![\p{L}\p{N}_])"
 
 
 def genders(docs: DataFrame, names: DataFrame, reach: int = 140, text_col: str = "text") -> DataFrame:
@@ -118,7 +118,8 @@ def genders(docs: DataFrame, names: DataFrame, reach: int = 140, text_col: str =
     """
     longest = 60  # characters of a phrase that are looked at
     place = r"(?<![\p{L}\p{N}_])(?=(\p{Lu}[^.!?]{0," + str(longest + reach) + "}))"
-    heads = docs.select(F.explode(F.regexp_extract_all(text_col, F.lit(place), 1)).alias("tail")).where(F.col("tail").rlike(_PRONOUN))
+    heads = docs.select(F.explode(F.regexp_extract_all(text_col, F.lit(place), 1)).alias("tail"))
+    heads = heads.where(F.col("tail").rlike(r"(?i)(?<![\p{L}\p{N}_])(he|his|him|she)"))  # the reach may end within a word
     heads = heads.withColumn("first", F.regexp_extract("tail", r"^([\p{L}\p{N}_]+)", 1))
     asked = names.where(F.col("name").isNotNull()).select("name", F.regexp_extract("name", r"^([\p{L}\p{N}_]+)", 1).alias("first")).distinct()
     after = F.substring("tail", F.char_length("name") + 1, F.lit(reach))

@@ -103,13 +103,10 @@ def known_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.known_words(counted.select("word"), counted.where("count >= 5").select("word"))
 
 
-_SAID_HE = "regexp_extract(tail, '^[^.!?]*?\\b([Hh]e|[Hh]is|[Hh]im|[Hh]imself|[Ss]he|[Hh]er|[Hh]erself)\\b', 1)"
-
-
-@query(f"""
-WITH n(name) AS (VALUES ('Is'), ('Thnd'), ('There'), ('It'), ('Was'), ('Er'), ('The')), d AS (SELECT translate(text, 'éèêàâáùûúôóíîïñäöüßçœæ', repeat('x', 22)) AS text FROM documents),
-t AS (SELECT name, left(tail, 140) AS tail FROM (SELECT name, unnest(string_split_regex(text, '\\b' || name || '\\b')[2:]) AS tail FROM d CROSS JOIN n)),
-g AS (SELECT name, lower({_SAID_HE}) AS said FROM t)
+@query("""
+WITH n(name) AS (VALUES ('Is'), ('Thnd'), ('There'), ('It'), ('Was'), ('Er'), ('The')), d AS (SELECT regexp_replace(text, '[À-ÖØ-öø-ÿœŒ]', 'x', 'g') AS text FROM documents),
+p AS (SELECT name, string_split_regex(text, '\\b' || name || '\\b') AS p FROM d CROSS JOIN n), t AS (SELECT name, unnest(list_transform(range(2, len(p) + 1), lambda i: left(list_reduce(p[i:], lambda a, b: a || name || b), 140))) AS tail FROM p),
+g AS (SELECT name, lower(regexp_extract(tail, '^[^.!?]*?\\b((?i)he|his|him|himself|she|her|herself)\\b', 1)) AS said FROM t)
 SELECT name, CASE WHEN count(*) FILTER (said LIKE 'she' OR said LIKE 'her%') > count(*) FILTER (said LIKE 'h%' AND said NOT LIKE 'her%') THEN 'f' ELSE 'm' END AS gender, count(*) AS votes
 FROM g WHERE said <> '' GROUP BY name HAVING count(*) >= 2
 """)

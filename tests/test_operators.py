@@ -172,3 +172,75 @@ def test_queue_windows_and_streaks(spark):
     rows = spark.createDataFrame([(1, "2026-01-01 23:30:00"), (2, "2026-01-01 06:30:00"), (3, "2026-01-01 06:29:00")], "id int, ts string").withColumn("ts", F.to_timestamp_ntz("ts"))
     assert [r.w for r in rows.orderBy("id").select(events.in_window(F.col("ts"), F.lit("23:00-06:30")).alias("w")).collect()] == [True, False, True]
     assert segments.islands(rows.withColumn("k", F.lit(1)), "k", "id", "ts").count() == 3
+
+
+def one(spark, f, *values, kind="string"):
+    return [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, x {kind}").orderBy("i").select(f(F.col("x"))).collect()]
+
+
+def test_abbreviations_and_numerals(spark):
+    given = {
+        "M. Morrel and Mme. Dantès": "Monsieur Morrel and Madame Dantès", "King Louis XVIII": "King Louis the eighteenth", "Act II, Scene III": "Act two, Scene three",
+        "Psalm CXIX": "Psalm the one hundred and nineteenth", "Lieut.-Col. Brown, etc., of Malden, W. Va.": "Lieutenant Colonel Brown, et cetera, of Malden, West Virginia",
+        "cats, etc. and Maj. Gen. Smith Jr.": "cats, et cetera. and Major General Smith Junior", "Part CXX": "Part one hundred and twenty", "“Louis XIV” and MIX": "“Louis the fourteenth” and MIX",
+    }
+    assert one(spark, speech.expand, *given, None, "") == [*given.values(), None, ""]
+
+
+def test_titles_are_read(spark):
+    given = {
+        "II. THE FALLING STAR.": "Two. The Falling Star.", "CHAPTER IV": "Chapter four.", "Part 12: Dawn": "Part twelve. Dawn.", "PREFACE": "Preface.", "Chapter 120": "Chapter one hundred and twenty.",
+        "BOOK ONE THE COMING OF THE MARTIANS": "Book one. The Coming of the Martians.", "The 39 Steps": "The thirty-nine Steps.", "CXX. THE END": "One hundred and twenty. The End.", "A HOUSE of the DEAD": "A House of the Dead.",
+    }
+    assert one(spark, speech.spoken_title, *given, None) == [*given.values(), None]
+
+
+def test_numbers_in_words(spark):
+    numbers = [0, 7, 13, 20, 21, 99, 100, 101, 120, 999, 1000, 1001, 1100, 1234, 120_045]
+    assert one(spark, T.said, *numbers, kind="int") == [T.say(n) for n in numbers]
+    assert one(spark, T.said_ordinal, 1, 3, 12, 20, 21, 100, 118, kind="int") == ["first", "third", "twelfth", "twentieth", "twenty-first", "one hundredth", "one hundred and eighteenth"]
+    assert one(spark, T.roman_value, "XIV", "CXIX", "iv", "CCCXCIX") == [14, 119, 4, 399]
+
+
+def test_questions_have_their_form(spark):
+    from quirespark.functions.script import looks_like_question
+
+    asked = {"Hath he come": True, "“Didst thou see": True, "Was Élodie there": True, "Are you there": True, "When I awoke": False, "What you will want we do not know": False, "": False}
+    assert one(spark, looks_like_question, *asked) == list(asked.values())
+
+
+def test_names_are_whole_words_and_phrases(spark):
+    from quirespark.operators import names
+
+    docs = spark.createDataFrame([("Annals said he. Annex: he left. Ann saw her. Mary Ann and HER dog. Ann, she said, and Ann said he.",), (None,)], "text string")
+    got = {r.name: (r.gender, r.votes) for r in names.genders(docs, spark.createDataFrame([("Ann",), ("Mary Ann",), (None,)], "name string")).collect()}
+    assert got == {"Ann": ("f", 4)}
+    words = spark.createDataFrame([("Mix",), ("MIX",), ("XVII",), ("Dix",), ("Xii",), ("Li",), (None,)], "word string")
+    told = {r.word: r.numeral for r in names.numerals(words, spark.createDataFrame([("mix",), ("dix",)], "word string")).collect()}
+    assert told == {"Mix": False, "MIX": True, "XVII": True, "Dix": False, "Xii": True, "Li": False, None: False}
+
+
+def test_substitution_takes_the_longest_term_once(spark):
+    rows = spark.createDataFrame([(1, "called Cephas, not cephasian."), (2, "CEPHAS and the ancient  mariner’s boat"), (3, None), (4, "ancient o’er Ancient Mariner ancient"), (5, "")], "doc_id int, text string")
+    lexicon = spark.createDataFrame([("Cephas", "seefus"), ("ancient mariner", "old seaman"), ("ancient", "very old"), ("o'er", "over"), ("old", "new"), ("x", "")], "term string, written string")
+    got = {r.doc_id: r.text for r in speech.substitute(rows, lexicon).collect()}
+    assert got == {1: "called Seefus, not cephasian.", 2: "SEEFUS and the old seaman’s boat", 3: None, 4: "very old over Old seaman very old", 5: ""}
+    assert speech.substitute(rows, lexicon.limit(0)).count() == 5
+
+
+def test_swaps_of_vowels_cost_half(spark):
+    assert speech.heard_score("tə", "tɪ") == pytest.approx(1 - 0.5 / 1.5)
+
+
+def test_a_passage_goes_on_for_the_rest_of_the_clip(spark):
+    book = [f"w{i}" for i in range(100)]
+    clip = book[40:45] + [book[45 + i] if i % 2 else f"x{i}" for i in range(17)]
+    found = align.best_passages(spark.createDataFrame([(1, " ".join(clip))], "item_id long, text string"), "item_id", spark.createDataFrame([(7, " ".join(book))], "doc_id long, text string"), "doc_id").first()
+    matched = 5 + sum(i % 2 for i in range(17))
+    assert (found.doc_id, found.length) == (7, 3) and found.similarity == pytest.approx(matched / 22)
+
+
+def test_text_that_was_dropped_is_noted(spark):
+    rows = spark.createDataFrame([("a", f"t{i}", "x" * 1000, 10_000) for i in range(5)] + [("b", "t", "y" * 900, 1000)], "book string, title string, text string, whole long")
+    got = {r.book: r.notes for r in books.validate(rows, "book", "title", "whole").collect()}
+    assert got == {"a": "text_dropped", "b": ""}
