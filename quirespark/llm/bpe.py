@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import functools
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,7 +143,7 @@ def _encode_words(content: bytes, pattern: str, remembered: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(content, pattern).encode_ordinary
-        known: dict[bytes, np.ndarray] = {}
+        known: dict[bytes, bytes] = {}
         for batch in K.slices(batches, "payload", 4 << 20):
             payload = []
             for raw in batch["payload"]:
@@ -153,12 +154,12 @@ def _encode_words(content: bytes, pattern: str, remembered: int):
                     at = end
                     found = known.get(word)
                     if found is None:
-                        found = np.array(encode(word.decode("utf-8")), np.uint32)
+                        found = array("I", encode(word.decode("utf-8"))).tobytes()
                         if len(known) >= remembered:
                             known.clear()
                         known[word] = found
                     ids.append(found)
-                payload.append(squeeze(np.fromiter(map(len, ids), np.uint32, len(ids)), np.concatenate(ids) if ids else np.zeros(0, np.uint32)))
+                payload.append(squeeze(np.fromiter(map(len, ids), np.uint32, len(ids)) // 4, np.frombuffer(b"".join(ids), np.uint32)))
             yield pa.RecordBatch.from_arrays([batch["chunk"], batch["bucket"], batch["mark"], pa.array(payload, pa.binary())], names=["chunk", "bucket", "mark", "payload"])
 
     return run
@@ -204,7 +205,7 @@ def _reassemble(buckets: int):
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str = public_tokenizers.PATTERN, remembered: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str = public_tokenizers.PATTERN, remembered: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token ids of each text as tiktoken's encode_ordinary gives them. Returns the id and ids (little-endian uint32).
 
     vocabulary is the path of a rank file, read on the driver; its content goes to the tasks and is bounded. remembered
