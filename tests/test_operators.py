@@ -244,3 +244,18 @@ def test_text_that_was_dropped_is_noted(spark):
     rows = spark.createDataFrame([("a", f"t{i}", "x" * 1000, 10_000) for i in range(5)] + [("b", "t", "y" * 900, 1000)], "book string, title string, text string, whole long")
     got = {r.book: r.notes for r in books.validate(rows, "book", "title", "whole").collect()}
     assert got == {"a": "text_dropped", "b": ""}
+
+
+def test_changed_chapters_block_the_later_steps(spark):
+    from quirespark.operators import stages
+
+    kind = ", ".join([f"{c} string, {c}_was string" for c in ("chapters", "voices", "speech", "build")] + [f"{c} int" for c in ("new_roles", "new_names", "open_names", "flagged", "weak_names")] + [f"{c} boolean" for c in ("one_narrator", "names_checked", "extras_set", "extras_lost", "queued", "built", "has_clips", "fixes_newer")])
+    row = lambda chapters_was: ("a", chapters_was, "v", None, "s", None, "b", None, *[None] * 13)
+    books_ = spark.createDataFrame([("fresh", *row("a")), ("changed", *row("x")), ("new", *row(None))], f"book string, {kind}")
+    got = {(r.book, r.step): (r.state, r.blocked_by) for r in stages.stage_states(books_, "book").collect()}
+    assert [got["fresh", s] for s in ("book", "voices", "make", "fix")] == [("done", None), ("recommended", None), ("required", None), ("optional", "make")]
+    assert [got["changed", s] for s in ("book", "voices", "make")] == [("stale", None), ("optional", "book"), ("required", "book")]
+    states = stages.stage_states(books_, "book")
+    assert {r.book: r.step for r in stages.next_step(states, "book").collect()} == {"fresh": "make", "changed": "book", "new": "book"}
+    assert {r.book: r.step for r in stages.next_step(states, "book", here="make").collect()} == {"fresh": "voices", "changed": "book", "new": "book"}
+    assert stages.stage_states(books_.limit(0), "book").count() == 0
