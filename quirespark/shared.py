@@ -61,8 +61,8 @@ def _discard_all() -> None:
     for spark, path in _written:
         try:
             discard(spark, path)
-        except Exception:  # the session may have ended
-            return
+        except Exception:  # the session may have ended, or the table be gone
+            continue
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -142,3 +142,18 @@ def zipped_blocks(files: DataFrame) -> DataFrame:
 
 def zipped_books(spark: SparkSession, path: str) -> DataFrame:
     return zipped_blocks(spark.read.format("binaryFile").load(path))
+
+
+def json_rows(spark: SparkSession, path: str, schema: str, defaults: dict | None = None) -> DataFrame:
+    """Rows of JSON files (arrays or lines of objects) in the given schema, with file.
+
+    A field that is missing, null or of another type takes its default, or null without one; what is no object gives no
+    row. Missing files and empty arrays give no rows; fields beyond the schema are ignored.
+    """
+    if not spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(path)):
+        return spark.createDataFrame([], f"file string, {schema}")
+    texts = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.btrim("value").alias("value"))
+    objects = F.when(F.startswith("value", F.lit("[")), F.from_json("value", "array<string>")).otherwise(F.split("value", r"\n"))
+    parsed = texts.select("file", F.explode(objects).alias("o")).where(F.startswith(F.btrim("o"), F.lit("{"))).select("file", F.from_json("o", schema).alias("r"))
+    rows = parsed.where("r IS NOT NULL").select("file", "r.*")
+    return rows.fillna(defaults) if defaults else rows

@@ -259,3 +259,12 @@ def test_changed_chapters_block_the_later_steps(spark):
     assert {r.book: r.step for r in stages.next_step(states, "book").collect()} == {"fresh": "make", "changed": "book", "new": "book"}
     assert {r.book: r.step for r in stages.next_step(states, "book", here="make").collect()} == {"fresh": "voices", "changed": "book", "new": "book"}
     assert stages.stage_states(books_.limit(0), "book").count() == 0
+
+
+def test_json_rows_take_defaults(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"name": "x", "n": 2}, {"name": null, "more": 1}, 7]', encoding="utf-8")
+    (tmp_path / "b.json").write_text('{"n": "three"}\n{"name": "z", "n": 4}\n', encoding="utf-8")
+    (tmp_path / "c.json").write_text("[]", encoding="utf-8")
+    got = readers.json_rows(spark, f"file://{tmp_path}/*.json", "name string, n int", {"name": "-", "n": 0})
+    assert sorted(tuple(r) for r in got.collect()) == [("a.json", "-", 0), ("a.json", "x", 2), ("b.json", "-", 0), ("b.json", "z", 4)]
+    assert readers.json_rows(spark, f"file://{tmp_path}/none*.json", "name string").count() == 0
