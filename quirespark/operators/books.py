@@ -179,7 +179,9 @@ def clip_pace(docs: DataFrame, group: str, fast: float = 1.6, slow: float = 0.45
     for the characters, its number of words for the seconds."""
     s = sentence_rows(docs, group)
     s = s.withColumn("chars", F.char_length("sentence")).withColumn("n_words", F.size(T.words(F.col("sentence")))).where("chars >= 25 AND n_words > 0").withColumn("pace", F.col("chars") / F.col("n_words"))
-    usual = s.groupBy(group).agg(F.when(F.count(F.lit(1)) >= 20, F.percentile("pace", F.lit(0.5))).alias("median_pace"))
+    # equal paces are counted first, so a group brings its different ones to one task, not all its sentences
+    counted = s.groupBy(group, "pace").agg(F.count(F.lit(1)).alias("n"))
+    usual = counted.groupBy(group).agg(F.when(F.sum("n") >= 20, F.percentile("pace", F.lit(0.5), F.col("n"))).alias("median_pace"))
     problem = F.when(F.col("pace") > fast * F.col("median_pace"), "rushed").when(F.col("pace") < slow * F.col("median_pace"), "drawn out")
     return s.join(usual, group).withColumn("problem", problem)
 
