@@ -90,17 +90,21 @@ def decode(quotes: list[dict], genders: dict[str, str]) -> tuple[list[str], list
     return [c[p] for c, p in zip(cast, picks, strict=True)], sure
 
 
-def attribute(quotes: DataFrame, genders: dict[str, str] | None = None) -> DataFrame:
-    """chapter, pos, speaker and probability for quotes (chapter, pos, para, explicit, pron, lead, split, cont, other,
-    addressed, recent, cands). Chapters are independent; within one the speakers depend on each other."""
+def attribute(quotes: DataFrame, genders: dict[str, str] | None = None, chapter: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """The columns of `chapter` and `order` (chapter and pos, if not given), speaker and probability for quotes (para,
+    explicit, pron, lead, split, cont, other, addressed, recent, cands besides). Chapters are independent; within one the
+    speakers depend on each other."""
+    chapter, order = chapter or ["chapter"], order or ["pos"]
+    kinds = dict(quotes.dtypes)
+    shape = ", ".join([*(f"`{c}` {kinds[c]}" for c in chapter + order), "speaker string, probability double"])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
+        rows = rows.sort_values(order)
         items = rows.to_dict("records")
         for q in items:
             q |= {k: list(q[k]) if q[k] is not None else [] for k in ("addressed", "recent", "cands")}
             q |= {k: q[k] if isinstance(q[k], str) and q[k] else None for k in ("explicit", "pron", "lead")}
         speakers, sure = decode(items, genders or {})
-        return pd.DataFrame({"chapter": rows["chapter"].to_numpy(), "pos": rows["pos"].to_numpy(), "speaker": speakers, "probability": sure})
+        return rows[chapter + order].assign(speaker=speakers, probability=sure)
 
-    return quotes.groupBy("chapter").applyInPandas(run, "chapter int, pos int, speaker string, probability double")
+    return quotes.groupBy(*chapter).applyInPandas(run, shape)
