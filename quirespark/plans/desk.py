@@ -142,16 +142,25 @@ def resolved_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return desk.voices(c, own, "default", F.when(F.col("c_nationkey") % 2 == 0, "even")).select("role", "voice")
 
 
-@query("SELECT * FROM (VALUES ('s:0', 'new'), ('s:1', 'changed since')) AS t(key, text)")
+@query("SELECT doc_id AS key, md5(CASE WHEN doc_id % 3 = 0 THEN 'new ' || text ELSE text END) AS digest FROM documents")
 def guarded_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = spark.createDataFrame([("s:0", "old"), ("s:1", "changed since")], "key string, text string")
-    return desk.guarded_fixes(chunks, spark.createDataFrame([("s:0", "old", "new"), ("s:1", "before", "lost")], "key string, was string, new string"), "key")
+    """Fixes for two thirds of all documents, half of them made for a text that is no longer there."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    fixes = d.where("key % 3 < 2").select("key", F.when(F.col("key") % 3 == 0, F.col("text")).otherwise(F.concat("text", F.lit("!"))).alias("was"), F.concat(F.lit("new "), "text").alias("new"))
+    return desk.guarded_fixes(d, fixes, "key").select("key", F.md5("text").alias("digest"))
 
 
-@query("SELECT * FROM (VALUES ('Ann', 'US'), ('Hans', 'DE'), ('Lee', 'US')) AS t(name, setting)")
+@query("""
+WITH e AS (SELECT o_custkey, o_orderpriority, o_totalprice % 97 / 100 AS a, o_totalprice % 31 / 100 AS b FROM orders),
+m AS (SELECT o_custkey, 'DE' AS setting, avg(a) AS p FROM e GROUP BY 1 UNION ALL SELECT o_custkey, 'US', avg(b) FROM e GROUP BY 1),
+t AS (SELECT o_custkey, arg_max(setting, p) AS setting, max(p) AS p FROM m GROUP BY 1)
+SELECT o_custkey AS name, CASE WHEN p >= CASE WHEN o_custkey % 2 = 0 THEN 0.55 ELSE 0.45 END THEN setting ELSE 'US' END AS setting FROM t
+""")
 def name_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("Ann", True, {"DE": 0.8, "US": 0.2}), ("Hans", False, {"DE": 0.9, "US": 0.1}), ("Hans", False, {"DE": 0.7, "US": 0.3}), ("Lee", False, {"DE": 0.5, "US": 0.5})]
-    return desk.origins(spark.createDataFrame(rows, "name string, in_dictionary boolean, probs map<string,double>"), "name", "probs").select("name", "setting")
+    """Orders as passages that name their customer, with chances of two settings."""
+    probs = F.create_map(F.lit("DE"), F.col("o_totalprice") % 97 / 100, F.lit("US"), F.col("o_totalprice") % 31 / 100)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name"), (F.col("o_custkey") % 2 == 0).alias("in_dictionary"), probs.alias("probs"))
+    return desk.origins(rows, "name", "probs", 0.45, 0.55).select("name", "setting")
 
 
 @query("SELECT l_orderkey, string_agg(f, ', ' ORDER BY n DESC, f) AS labels, round(sum(n), 2) AS total FROM (SELECT l_orderkey, l_returnflag AS f, sum(l_quantity) AS n FROM lineitem GROUP BY l_orderkey, l_returnflag) GROUP BY l_orderkey")
@@ -203,10 +212,14 @@ def new_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return desk.new_since(d, d.where("doc_id < 100"), "source", "lang").select("source", F.array_join("new", ",").alias("new"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'prepare'), ('b', 'listen')) AS t(book, next)")
+@query("""
+SELECT l_orderkey AS book, l_linenumber AS next FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag = 'N', l_linenumber) AS n FROM lineitem WHERE l_returnflag <> 'R') WHERE n = 1
+""")
 def next_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", 1, "read", "done"), ("a", 2, "cast", "recommended"), ("a", 3, "prepare", "stale"), ("b", 1, "read", "done"), ("b", 2, "listen", "recommended"), ("c", 1, "read", "done")]
-    return desk.next_step(spark.createDataFrame(rows, "book string, pos int, stage string, status string"), "book")
+    """Lineitems as stages of orders: A is stale, N recommended, R done."""
+    status = F.when(F.col("l_returnflag") == "A", "stale").when(F.col("l_returnflag") == "N", "recommended").otherwise("done")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book"), F.col("l_linenumber").alias("pos"), F.col("l_linenumber").alias("stage"), status.alias("status"))
+    return desk.next_step(rows, "book")
 
 
 @query("""
@@ -230,30 +243,45 @@ def passage_around(spark: SparkSession, sf_dir: str) -> DataFrame:
     return desk.around(table(spark, sf_dir, "documents"), "license")
 
 
-@query("SELECT * FROM (VALUES ('a', 7, 9), ('b', 1, 4)) AS t(job, done, total)")
+@query("""
+SELECT user_id AS job, (event_id % 9)::DOUBLE AS done, (event_id % 12)::DOUBLE AS total FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_type <> 'error') WHERE n = 1
+""")
 def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", 1, "clip 3/9"), ("a", 2, "clip 7/9"), ("a", 3, "saved"), ("b", 1, "1/4")]
-    return desk.last_progress(spark.createDataFrame(rows, "job string, n int, line string"), "job", "n", "line")
+    """Events as lines of their users' logs; errors say nothing of progress."""
+    k = F.col("event_id")
+    line = F.when(F.col("event_type") == "error", "it failed").otherwise(F.concat(F.lit("clip "), k % 9, F.lit("/"), k % 12, F.lit(" made")))
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), "event_id", line.alias("line"))
+    return desk.last_progress(log, "job", "event_id", "line").select("job", F.col("done").cast("double").alias("done"), F.col("total").cast("double").alias("total"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'level=3,mode=plain'), ('b', 'level=2,mode=plain')) AS t(book, settings)")
+@query("SELECT c_custkey AS book, CASE WHEN c_custkey % 4 = 0 OR c_custkey % 3 = 0 THEN 'level=2' ELSE 'level=' || c_nationkey END || ',mode=' || CASE WHEN c_custkey % 4 > 0 THEN c_mktsegment ELSE 'plain' END AS settings FROM customer")
 def overlaid_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("a", {"level": "3", "other": "x"}), ("b", None)], "book string, settings map<string,string>")
+    """Settings of customers over defaults: some have none, some a level that is null, all one that is not known."""
+    k = F.col("c_custkey")
+    own = F.create_map(F.lit("level"), F.when(k % 3 > 0, F.col("c_nationkey").cast("string")), F.lit("mode"), F.col("c_mktsegment"), F.lit("other"), F.col("c_name"))
+    rows = table(spark, sf_dir, "customer").select(k.alias("book"), F.when(k % 4 > 0, own).alias("settings"))
     kept = F.array_sort(F.transform(F.map_entries("settings"), lambda e: F.concat(e.key, F.lit("="), e.value)))
     return desk.overlaid(rows, {"level": "2", "mode": "plain"}).select("book", F.array_join(kept, ",").alias("settings"))
 
 
-@query("SELECT * FROM (VALUES ('b', 1, 'One'), ('b', 2, 'Credits'), ('b', 3, 'Two')) AS t(book, index, title)")
+@query("""
+SELECT conv_id AS book, row_number() OVER (PARTITION BY conv_id ORDER BY p)::INTEGER AS index, title FROM (
+ SELECT conv_id, turn::DOUBLE AS p, role || turn AS title FROM conversations WHERE turn % 3 <> 2 UNION ALL SELECT DISTINCT conv_id, 1.5, 'Credits' FROM conversations)
+""")
 def inserted_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = "book string, index int, title string, opening boolean"
-    c = spark.createDataFrame([("b", 1, "One", False), ("b", 2, "Old credits", True), ("b", 3, "Two", False)], kind)
-    return desk.inserted(c, spark.createDataFrame([("b", 0, "Credits", True)], kind), "book", 1).select("book", "index", "title")
+    """Turns as chapters of conversations; every third is an old opening, which goes."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("index"), F.concat("role", "turn").alias("title"), (F.col("turn") % 3 == 2).alias("opening"))
+    new = c.select("book", F.lit(0).cast("long").alias("index"), F.lit("Credits").alias("title"), F.lit(True).alias("opening")).distinct()
+    return desk.inserted(c, new, "book", 1).select("book", "index", "title")
 
 
-@query("SELECT * FROM (VALUES ('q1', 'yes', 0.6::DOUBLE), ('q2', 'no', 0.55::DOUBLE)) AS t(key, choice, p)")
+@query("""
+WITH m AS (SELECT l_orderkey AS key, l_returnflag AS option, avg(l_quantity) AS p FROM lineitem GROUP BY 1, 2)
+SELECT key, option AS choice, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY p DESC, option DESC) AS n FROM m) WHERE n = 1
+""")
 def debiased_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("q1", "yes", 0.9), ("q1", "no", 0.1), ("q1", "yes", 0.3), ("q1", "no", 0.7), ("q2", "yes", 0.5), ("q2", "no", 0.5), ("q2", "yes", 0.4), ("q2", "no", 0.6)]
-    return desk.debiased(spark.createDataFrame(rows, "key string, option string, p double"), "key", "option", "p").select("key", "choice", F.round("p", 6).alias("p"))
+    """Lineitems as answers to their order, each option's chance being the mean over the orders of asking."""
+    return desk.debiased(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", "l_quantity").select(F.col("l_orderkey").alias("key"), "choice", F.round("p", 6).alias("p"))
 
 
 @query("SELECT window_, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM (SELECT doc_id, unnest(range(greatest(ceil((doc_id - 39) / 37.0), 0)::BIGINT, (doc_id // 37) + 1)) AS window_ FROM documents) GROUP BY window_")
@@ -263,18 +291,25 @@ def overlapping_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy(F.col("window").cast("long").alias("window_")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
-@query("SELECT * FROM (VALUES (2, 'b')) AS t(pos, id)")
+@query("""
+SELECT o_orderkey AS pos, o_custkey AS id FROM orders WHERE o_orderstatus <> 'F' AND (o_orderkey % 3 = 0 OR o_orderdate <= TIMESTAMP '1997-01-01 00:00:00') ORDER BY o_orderkey LIMIT 1
+""")
 def next_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "a", "queued", "2026-05-01 00:00:00"), (2, "b", "queued", None), (3, "c", "queued", None)], "pos int, id string, status string, not_before string")
-    jobs = rows.withColumn("not_before", F.to_timestamp_ntz("not_before"))
-    return desk.first_due(jobs, F.lit("2026-04-01 00:00:00").cast("timestamp_ntz"), F.col("status") == "running").select("pos", "id")
+    """Orders that are not finished as jobs that wait for their date, or for nothing."""
+    status = F.when(F.col("o_orderstatus") == "F", "done").otherwise("queued")
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("id"), status.alias("status"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderdate")).alias("not_before"))
+    return desk.first_due(jobs, F.lit("1997-01-01 00:00:00").cast("timestamp_ntz"), F.col("status") == "running").select("pos", "id")
 
 
-@query("SELECT * FROM (VALUES (0, ''), (1, 'Ann'), (2, 'Bob,Ann'), (3, 'Ann,Bob'), (4, 'Carl,Ann,Bob')) AS t(para, recent)")
+@query("""
+WITH n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, coalesce(list_reverse(regexp_extract_all(text, '[A-Z][a-z]+')), []) AS names FROM conversations),
+b AS (SELECT a.conv_id, a.turn, flatten(list(b.names ORDER BY b.r DESC) FILTER (b.r IS NOT NULL)) AS names FROM n a LEFT JOIN n b ON a.conv_id = b.conv_id AND b.r BETWEEN a.r - 3 AND a.r - 1 GROUP BY ALL)
+SELECT conv_id AS chapter, turn AS para, coalesce(array_to_string(list_slice(list_transform(list_filter(list_transform(range(1, len(names) + 1), lambda i: CASE WHEN list_position(names, names[i]) = i THEN i END), lambda i: i IS NOT NULL), lambda i: names[i]), 1, 10), ','), '') AS recent FROM b
+""")
 def recent_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, 0, ["Ann"]), (1, 1, ["Bob"]), (1, 2, ["Ann"]), (1, 3, ["Carl"]), (1, 4, [])]
-    r = desk.recent_context(spark.createDataFrame(rows, "chapter int, para int, mentions array<string>"), "chapter", "para", "mentions")
-    return r.select("para", F.array_join("recent", ",").alias("recent"))
+    """The capitalised words of the three turns before each turn, the latest first."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chapter"), F.col("turn").alias("para"), F.coalesce(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"), 1), F.expr("cast(array() as array<string>)")).alias("mentions"))
+    return desk.recent_context(rows, "chapter", "para", "mentions").select("chapter", "para", F.array_join("recent", ",").alias("recent"))
 
 
 @query("SELECT doc_id, length(text)::DOUBLE AS score FROM documents WHERE lang = 'en'")
@@ -284,23 +319,40 @@ def supplied_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return desk.pipeline(table(spark, sf_dir, "documents"), steps).select("doc_id", "score")
 
 
-@query("SELECT * FROM (VALUES ('ain''t', 4::BIGINT, 'eɪnt'), ('goin''', 2::BIGINT, 'ɡoʊɪn'), ('jes''', 0, 'dʒɛs')) AS t(token, count, ipa)")
+@query("""
+WITH c AS (SELECT lower(l_shipdate::DATE::VARCHAR) AS token, count(*) AS count FROM lineitem WHERE l_linenumber > 1 GROUP BY 1), l AS (SELECT DISTINCT o_orderdate::DATE::VARCHAR AS token FROM orders)
+SELECT token, coalesce(count, 0) AS count, CASE WHEN l.token IS NOT NULL AND substr(l.token, 9, 1) = '1' THEN 'own' WHEN c.token IS NOT NULL THEN 'n' || count END AS ipa FROM c FULL JOIN l USING (token)
+""")
 def filled_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = spark.createDataFrame([("ain't", 4, "eɪnt"), ("goin'", 2, "ɡoʊɪn")], "token string, count long, ipa string")
-    return desk.filled(counts, spark.createDataFrame([("ain't", ""), ("jes'", "dʒɛs")], "token string, ipa string"), "token", "ipa").select("token", F.coalesce("count", F.lit(0)).alias("count"), "ipa")
+    """Days of shipping counted into a lexicon of days of orders, of which some have their own sounds."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    counts = table(spark, sf_dir, "lineitem").where("l_linenumber > 1").groupBy(day("l_shipdate").alias("token")).agg(F.count(F.lit(1)).alias("count")).withColumn("ipa", F.concat(F.lit("n"), "count"))
+    lex = table(spark, sf_dir, "orders").select(day("o_orderdate").alias("token")).distinct().withColumn("ipa", F.when(F.substring("token", 9, 1) == "1", "own").otherwise(""))
+    return desk.filled(counts, lex, "token", "ipa").select("token", F.coalesce("count", F.lit(0)).alias("count"), "ipa")
 
 
-@query("SELECT * FROM (VALUES ('b', 2, 'It began.'), ('c', 1, 'No heading here.'), ('c', 2, 'Chapter 3 of my life.')) AS t(book, pos, text)")
+@query("""
+SELECT conv_id AS book, turn AS pos, md5(CASE WHEN turn = 0 THEN 'CHAPTER IV' WHEN turn = 1 THEN 'The storm' ELSE 'It is so. ' || text END) AS digest FROM conversations
+WHERE turn > 1
+""")
 def without_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("b", 0, "CHAPTER IV", "The Storm"), ("b", 1, "The storm", "The Storm"), ("b", 2, "It began.", "The Storm"), ("c", 1, "No heading here.", "X Y"), ("c", 2, "Chapter 3 of my life.", "X Y")]
-    return desk.without_headings(spark.createDataFrame(rows, "book string, pos int, text string, title string"), "book", "pos", "title").drop("title")
+    """Conversations whose first two turns are headings: by their form, and as the title."""
+    turn = F.col("turn")
+    text = F.when(turn == 0, "CHAPTER IV").when(turn == 1, "The storm").otherwise(F.concat(F.lit("It is so. "), "text"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), turn.alias("pos"), text.alias("text"), F.lit("The Storm").alias("title"))
+    return desk.without_headings(rows, "book", "pos", "title").select("book", "pos", F.md5("text").alias("digest"))
 
 
-@query("SELECT * FROM (VALUES ('chateau', 'fr'), ('home', NULL), ('haus', 'de'), ('xyzt', NULL)) AS t(word, lang)")
+@query("""
+WITH f AS (SELECT lower(w) AS word, lang, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents WHERE lang IS NOT NULL) GROUP BY 1, 2),
+s AS (SELECT word, arg_max(lang, (n, lang)) AS lang, max(n) AS n, coalesce(max(CASE WHEN lang = 'en' THEN n END), 0) AS home FROM f GROUP BY word)
+SELECT word, CASE WHEN length(word) >= 4 AND n >= 5 AND n >= home + 3 THEN lang END AS lang FROM s
+""")
 def word_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.createDataFrame([("chateau",), ("home",), ("haus",), ("xyzt",)], "word string")
-    freq = [("chateau", "fr", 4.5), ("chateau", "en", 2.9), ("home", "en", 5.9), ("home", "de", 4.0), ("haus", "de", 5.5), ("haus", "en", 3.0)]
-    return desk.likeliest(words, spark.createDataFrame(freq, "word string, lang string, zipf double"), 1.0, 2.5, "en")
+    """The language of each word of the documents by its counts in their languages."""
+    words = table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("lang", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("w"))
+    counts = words.groupBy(F.lower("w").alias("word"), "lang").agg(F.count(F.lit(1)).cast("double").alias("zipf"))
+    return desk.likeliest(counts.select("word").distinct(), counts, 3.0, 5.0, "en")
 
 
 @query("SELECT 'clone:' || r_name || '@' || n AS key FROM region, (VALUES ('f5'), ('higgs')) AS e(n) UNION ALL SELECT 'preset:' || n_name FROM nation")

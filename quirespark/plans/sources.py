@@ -37,40 +37,74 @@ def html_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.chapters(web.blocks(table(spark, sf_dir, "pages"))).select("page_id", "chapter", "title", F.md5("text").alias("digest"))
 
 
-@query("SELECT * FROM (VALUES ('a', '2'), ('b', '9')) AS t(key, value)")
+@query("""
+SELECT key, value FROM (SELECT lower(trim(p_brand)) || (p_partkey % 50) AS key, p_name || '|' || p_partkey AS value, row_number() OVER (PARTITION BY lower(trim(p_brand)) || (p_partkey % 50) ORDER BY p_size DESC, p_partkey DESC) AS n
+ FROM part WHERE p_partkey % 7 > 0 AND p_partkey % 5 > 0) WHERE n = 1
+""")
 def key_value_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(0, 0, "A | 1"), (0, 1, "# B | 5"), (0, 2, "b|x"), (1, 0, "b | 9"), (0, 3, "a|2"), (1, 1, "no pair")]
-    return readers.pairs(spark.createDataFrame(rows, "priority int, line_no int, line string"))
+    """Parts as lines key|value, some of them comments or no pairs."""
+    pair = F.concat(F.lit(" "), "p_brand", F.pmod("p_partkey", F.lit(50)), F.lit(" | "), "p_name", F.lit("|"), "p_partkey", F.lit(" "))
+    line = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit(" # "), pair)).when(F.col("p_partkey") % 5 == 0, F.concat("p_brand", F.lit(" |  "))).otherwise(pair)
+    return readers.pairs(table(spark, sf_dir, "part").select(F.col("p_size").alias("priority"), F.col("p_partkey").alias("line_no"), line.alias("line")))
 
 
-@query("SELECT * FROM (VALUES ('chat', 'ʃa'), ('eau', 'o')) AS t(word, reading)")
+@query("""
+SELECT word, reading FROM (SELECT lower(p_name) AS word, p_type AS reading, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS n FROM part WHERE p_partkey % 6 > 0) WHERE n = 1
+""")
 def dictionary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(0, "chat\tʃa, tʃa"), (1, "Chat\tkat"), (2, "eau\to"), (3, "none")]
-    return readers.dictionary(spark.createDataFrame(rows, "line_no int, line string"))
+    """Parts as lines of a dictionary, each with two readings; some lines are none."""
+    line = F.concat("p_name", F.when(F.col("p_partkey") % 6 > 0, F.lit("\t")).otherwise(" "), "p_type", F.lit(", "), "p_brand")
+    return readers.dictionary(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line_no"), line.alias("line")))
 
 
-@query("SELECT * FROM (VALUES ('John', 1, 0, 'In the beginning. He was. All things.'), ('John', 1, 1, 'In him. The light. A man.'), ('John', 2, 0, 'And the third day.')) AS t(book, chapter, para, text)")
+@query("""
+WITH v AS (SELECT 'Second ' || l_returnflag AS book, (l_orderkey % 150)::INTEGER AS chapter, l_linenumber AS verse, 'at ' || l_orderkey || '. the end.' AS text, l_orderkey FROM lineitem),
+k AS (SELECT book, chapter, verse, text, row_number() OVER (PARTITION BY book, chapter, verse ORDER BY l_orderkey DESC) AS n FROM v),
+p AS (SELECT *, (row_number() OVER (PARTITION BY book, chapter ORDER BY verse) - 1) // 3 AS para FROM k WHERE n = 1)
+SELECT book, chapter, para::INTEGER AS para, string_agg(text, ' ' ORDER BY verse) AS text FROM p GROUP BY book, chapter, para
+""")
 def scripture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = [(1, 1, "In the start."), (1, 2, "He was."), (1, 1, "In the [beginning]."), (1, 3, "¶ All things."), (1, 4, "In him."), (1, 5, "The light."), (1, 6, "A man."), (2, 1, "And the third day.")]
-    rows = [(i, f"John {c}:{v} {t}") for i, (c, v, t) in enumerate(texts)] + [(99, "not a verse")]
-    return readers.scripture(spark.createDataFrame(rows, "line_no int, line string"), verses=3)
+    """Lineitems as lines of verses, three to a paragraph; of equal verses the last counts."""
+    line = F.concat(F.lit("Second "), "l_returnflag", F.lit(" "), F.pmod("l_orderkey", F.lit(150)), F.lit(":"), "l_linenumber", F.lit(" ¶ at "), "l_orderkey", F.lit(". the [end]."))
+    return readers.scripture(table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"), line.alias("line")), verses=3)
+
 
+_VERSE = "trim(regexp_replace(replace(text, ':', ' '), '[ \\n]+', ' ', 'g'), ' ')"
 
-@query("SELECT * FROM (VALUES ('b', 1, 'One.' || chr(10) || chr(10) || 'Two.'), ('b', 2, 'Three.')) AS t(doc_id, chapter, text)")
+
+@query(f"""
+SELECT doc_id, 1 AS chapter, md5(t || chr(10) || chr(10) || doc_id || ' ' || t) AS digest FROM (SELECT doc_id, {_VERSE} AS t FROM documents)
+UNION ALL SELECT doc_id, 2, md5('Last ' || t) FROM (SELECT doc_id, {_VERSE} AS t FROM documents)
+""")
 def verse_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.verse_chapters(spark.createDataFrame([("b", "1:1 One. 1:2 Two.\n2:1 Three.")], "doc_id string, text string"))
+    """Whole documents as three verses of two chapters."""
+    t = F.btrim(F.regexp_replace(F.replace("text", F.lit(":"), F.lit(" ")), r"[ \n]+", " "))
+    text = F.concat(F.lit("Before. 1:1 "), t, F.lit(" 1:2 "), "doc_id", F.lit(" "), t, F.lit("\n2:1 Last "), t)
+    return readers.verse_chapters(table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))).select("doc_id", "chapter", F.md5("text").alias("digest"))
 
 
-@query("SELECT * FROM (VALUES ('b', 1, 'CHAPTER I. The Start', 29), ('b', 2, 'Chapter 2', 26)) AS t(doc_id, chapter, title, chars)")
+@query("""
+WITH d AS (SELECT doc_id, trim(replace(text, chr(13), ''), ' ' || chr(10)) AS t FROM documents)
+SELECT doc_id, 1 AS chapter, 'CHAPTER I. The Start' AS title, length(t) AS chars FROM d WHERE length(t) >= 40
+UNION ALL SELECT doc_id, CASE WHEN length(t) >= 40 THEN 2 ELSE 1 END, 'Chapter 2', length(t) + 40 FROM d
+""")
 def headed_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = "Front matter\nCHAPTER I. The Start\n\nIt began on a quiet day then.\n\nChapter 2\nIt went on to another day.\nChapter 3\nToo short"
-    return readers.headed_chapters(spark.createDataFrame([("b", text)], "doc_id string, text string"), 20).select("doc_id", "chapter", "title", F.char_length("text").alias("chars"))
+    """Whole documents as two chapters, and a third that is too short."""
+    body = F.concat(F.lit("Front matter\nCHAPTER I. The Start\n\n"), F.btrim("text", F.lit(" \n")), F.lit("\n\nChapter 2\n"), F.lit("x" * 39 + "\n"), F.btrim("text", F.lit(" \n")), F.lit("\nChapter 3\nToo short"))
+    return readers.headed_chapters(table(spark, sf_dir, "documents").select("doc_id", body.alias("text"))).select("doc_id", "chapter", "title", F.char_length("text").alias("chars"))
 
 
-@query("SELECT * FROM (VALUES ('p', 'I', 'I', 'First Witch', 'When shall we meet? In thunder?'), ('p', 'I', 'I', 'Second Witch', 'When the day is done.'), ('p', 'I', 'II', 'Duncan', 'What man is that?')) AS t(doc_id, act, scene, role, text)")
+@query("""
+WITH t AS (SELECT conv_id, turn, upper(role) AS role, array_to_string(list_filter(list_transform(str_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') AS text FROM conversations WHERE trim(replace(text, chr(10), ' ')) <> ''),
+c AS (SELECT *, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS c FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), i AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM c)
+SELECT conv_id AS doc_id, n::BIGINT AS n, 'II' AS act, 'IV' AS scene, upper(role[1]) || lower(role[2:]) AS role, md5(string_agg(text, ' ' ORDER BY turn)) AS digest FROM i GROUP BY conv_id, n, role
+""")
 def play_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = "ACT I\nSCENE I. A place.\nFIRST WITCH.\nWhen shall we meet?\n[_Thunder._]\nIn thunder?\nSECOND WITCH.\nWhen the day is done.\nSCENE II. A camp.\nDUNCAN.\nWhat man is that?"
-    return readers.play_lines(spark.createDataFrame([("p", text)], "doc_id string, text string")).drop("n")
+    """Conversations as scenes of plays."""
+    said = F.concat(F.upper("role"), F.lit(".\n[_Rises._]\n"), F.coalesce("text", F.lit("")))
+    plays = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", said.alias("t")))).alias("ts"))
+    text = F.concat(F.lit("ACT II\nSCENE IV. A place.\n"), F.array_join(F.transform("ts", lambda x: x["t"]), "\n\n"))
+    return readers.play_lines(plays.select("doc_id", text.alias("text"))).select("doc_id", "n", "act", "scene", "role", F.md5("text").alias("digest"))
 
 
 @query("SELECT * FROM (VALUES ('m', 1, 'The Book'), ('m', 2, 'Part One'), ('m', 0, 'Some bold words and a link.'), ('m', 0, 'first item'), ('m', 0, 'second item')) AS t(doc_id, level, text)")

@@ -47,7 +47,7 @@ def scripture(lines: DataFrame, verses: int = 5) -> DataFrame:
 def verse_chapters(docs: DataFrame) -> DataFrame:
     """doc_id, chapter and text of books with marks `chapter:verse `; verses are set apart by an empty line."""
     marked = F.regexp_replace("text", r"(^|[^0-9])([0-9]{1,3}):([0-9]{1,3})\s+", "$1\u0001$2\u0002")
-    parts = docs.select("doc_id", F.posexplode(F.slice(F.split(marked, "\u0001", -1), 2, 1_000_000)).alias("pos", "part"))
+    parts = docs.select("doc_id", F.posexplode(F.split(marked, "\u0001", -1)).alias("pos", "part")).where("pos > 0")
     v = parts.select("doc_id", "pos", F.split("part", "\u0002")[0].cast("int").alias("chapter"), F.btrim(F.split("part", "\u0002")[1], F.lit(" \n")).alias("verse"))
     return v.groupBy("doc_id", "chapter").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "verse"))), lambda x: x.verse), "\n\n").alias("text"))
 
