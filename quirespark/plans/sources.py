@@ -119,6 +119,14 @@ def chapter_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.chapter_marks(c, "conv_id", "turn", "role", "seconds").select("conv_id", F.md5("marks").alias("digest"))
 
 
+@query("SELECT conv_id, md5(';FFMETADATA1' || chr(10) || 'title=Talk ' || conv_id || chr(10) || 'artist=' || CASE WHEN conv_id % 2 = 0 THEN 'Ann' ELSE '' END || chr(10) || 'album=Talk ' || conv_id || chr(10) || 'genre=Audiobook' || chr(10) || string_agg('[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || (e - ms) || chr(10) || 'END=' || e || chr(10) || 'title=' || role || chr(10), '' ORDER BY turn)) AS digest FROM (SELECT *, (sum(ms) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS e FROM (SELECT *, round(length(text) / 14.5::DOUBLE * 1000)::BIGINT AS ms FROM conversations)) GROUP BY conv_id")
+def titled_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapter marks with the title and the author of the book."""
+    c = table(spark, sf_dir, "conversations").withColumn("seconds", F.char_length("text") / F.lit(14.5))
+    c = c.withColumn("name", F.concat(F.lit("Talk "), "conv_id")).withColumn("author", F.when(F.col("conv_id") % 2 == 0, "Ann"))
+    return sinks.chapter_marks(c, "conv_id", "turn", "role", "seconds", "name", "author").select("conv_id", F.md5("marks").alias("digest"))
+
+
 @query()
 def epub_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as books: written as EPUB and read again."""
