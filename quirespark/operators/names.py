@@ -78,6 +78,33 @@ def is_dialect(token: Column, known: list[str] = ()) -> Column:
     return F.when(no, False).when(k.isin(list(known)), True).otherwise(looks) if known else F.when(no, False).otherwise(looks)
 
 
+def dialect_counts(docs: DataFrame, by: str, sounds: DataFrame) -> DataFrame:
+    """by, token, count and ipa of the dialect words of each book, in small letters with typed apostrophes: words that are
+    no ordinary contraction, possessive, quotation or name, and those of `sounds` (token, ipa; null where it has none).
+    Null texts have none. Words are counted before they meet the sounds."""
+    found = F.regexp_extract_all("text", F.lit(r"(['’]?[A-Za-zÀ-ÖØ-öø-ÿ]+(?:['’][A-Za-zÀ-ÖØ-öø-ÿ]+)*['’]?)"), 1)
+    token = F.lower(F.replace("raw", F.lit("’"), F.lit("'")))
+    raw = docs.select(by, F.explode(F.filter(found, lambda w: w.rlike("['’]"))).alias("raw")).groupBy(by, "raw").agg(F.count(F.lit(1)).alias("n"))
+    known = sounds.groupBy("token").agg(F.max("ipa").alias("ipa")).withColumn("listed", F.lit(True))
+    k = raw.withColumn("token", token).join(known, "token", "left")
+    word = is_dialect(F.col("raw")) | (F.col("listed").isNotNull() & ~F.col("token").rlike(STANDARD) & (F.regexp_replace("token", "'", "") != ""))
+    return k.where(word).groupBy(by, "token").agg(F.sum("n").alias("count"), F.max("ipa").alias("ipa"))
+
+
+def with_dialect(lexicon: DataFrame, found: DataFrame) -> DataFrame:
+    """lexicon (term, ipa, kind, source) with the dialect words that have sounds: missing ones are added, entries without
+    sounds get them unless a user made them, and what has its own stays."""
+    new = found.where("ipa IS NOT NULL").groupBy("token").agg(F.max("ipa").alias("_ipa"))
+    key = F.lower(F.replace("term", F.lit("’"), F.lit("'")))
+    both = lexicon.withColumn("_old", F.lit(True)).join(new, key == F.col("token"), "full")
+    fill = (F.col("_old").isNull() | ((F.coalesce("source", F.lit("")) != "user") & (F.coalesce("ipa", F.lit("")) == ""))) & F.col("_ipa").isNotNull()
+    return both.select(
+        F.coalesce("term", "token").alias("term"), F.when(fill, F.col("_ipa")).otherwise(F.col("ipa")).alias("ipa"),
+        F.when(fill & (F.coalesce("kind", F.lit("")) == ""), "dialect").otherwise(F.col("kind")).alias("kind"),
+        F.when(F.col("_old").isNull(), "auto").otherwise(F.col("source")).alias("source"),
+    )
+
+
 def is_numeral(term: Column) -> Column:
     """Whether a term has the form of a Roman numeral: in capitals of any length, else of three letters or more."""
     shape = F.upper(term).rlike("^M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})$") & (term != "")

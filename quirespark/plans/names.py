@@ -77,6 +77,16 @@ def dialect_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k,) for k in _APOSTROPHES], "token string").select("token", names.is_dialect(F.col("token"), ["jes'"]).alias("dialect"))
 
 
+@query("""
+SELECT source, token, count(*) AS count, ipa FROM documents, (VALUES ('runnin''', NULL), ('jes''', 'dʒɛs')) AS v(token, ipa) WHERE text <> '' GROUP BY source, token, ipa
+""")
+def dialect_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents with six words with apostrophes after them, of which two are dialect."""
+    text = F.concat(F.regexp_replace("text", "['’]", " "), F.lit(" runnin' don't jes' days' Anna's o'er"))
+    sounds = spark.createDataFrame([("jes'", "dʒɛs"), ("o'er", "ɔɹ")], "token string, ipa string")
+    return names.dialect_counts(_docs(spark, sf_dir).where("text <> ''").select("source", text.alias("text")), "source", sounds)
+
+
 _NUMERAL = "regexp_matches(upper(word), '^M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})$')"
 
 
@@ -203,6 +213,16 @@ def pair_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
+@query(f"""
+WITH b AS ({_GRAM.format(id="doc_id", table="documents")}), a AS ({_GRAM.format(id="item_id", table="benchmark")}), r AS (SELECT id, gram, count(*) AS n FROM b GROUP BY id, gram HAVING count(*) <= 8)
+SELECT a.id AS item_id, r.id AS doc_id, sum(n)::BIGINT AS hits FROM a JOIN r USING (gram) GROUP BY 1, 2
+""")
+def passage_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grams that passages share with each document, however many documents have them."""
+    hits = align.grams_within_books(table(spark, sf_dir, "benchmark"), "item_id", _docs(spark, sf_dir), "doc_id")
+    return hits.groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("hits"))
+
+
 @query()
 def passage_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.best_passages(table(spark, sf_dir, "benchmark"), "item_id", _docs(spark, sf_dir), "doc_id")

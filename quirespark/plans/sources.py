@@ -127,7 +127,11 @@ def titled_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.chapter_marks(c, "conv_id", "turn", "role", "seconds", "name", "author").select("conv_id", F.md5("marks").alias("digest"))
 
 
-@query()
+@query(r"""
+WITH p AS (SELECT conv_id, turn, role, regexp_split_to_array(text, '\n[ \t]*\n') AS ps FROM conversations WHERE trim(text, ' ' || chr(10)) <> ''),
+b AS (SELECT conv_id, turn, 0 AS k, 1 AS level, role AS text FROM p UNION ALL SELECT conv_id, turn, unnest(range(1, len(ps) + 1)), 0, unnest(ps) FROM p)
+SELECT conv_id || '.epub' AS path, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1)::INTEGER AS pos, level::INTEGER AS level, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM b WHERE trim(text, ' ' || chr(10)) <> ''
+""")
 def epub_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as books: written as EPUB and read again."""
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("index"), F.col("role").alias("title"), "text")

@@ -60,3 +60,29 @@ def test_choices(spark):
     assert rows(best.select("key", "choice", F.round("p", 6)), "key") == [("q1", "yes", 0.6), ("q2", "no", 0.55)]
     stages = [("a", 1, "read", "done"), ("a", 2, "cast", "recommended"), ("a", 3, "prepare", "stale"), ("b", 2, "listen", "recommended"), ("c", 1, "read", "done")]
     assert rows(desk.next_step(spark.createDataFrame(stages, "book string, pos int, stage string, status string"), "book"), "book") == [("a", "prepare"), ("b", "listen")]
+
+
+def test_dialect_words_go_into_the_lexicon(spark):
+    from quirespark.operators import names
+
+    docs = spark.createDataFrame([("b", "He's runnin' to Epps' place, jes’ so; ain't he? 'Many' jes' ran."), ("b", None)], "book string, text string")
+    sounds = spark.createDataFrame([("jes'", "dʒɛs"), ("jes'", None)], "token string, ipa string")
+    found = names.dialect_counts(docs, "book", sounds)
+    assert rows(found, "token") == [("b", "jes'", 2, "dʒɛs"), ("b", "runnin'", 1, None)]
+    lexicon = spark.createDataFrame([("Anna", "ana", "name", "auto"), ("Jes’", None, None, "auto")], "term string, ipa string, kind string, source string")
+    assert rows(names.with_dialect(lexicon, found), "term") == [("Anna", "ana", "name", "auto"), ("Jes’", "dʒɛs", "dialect", "auto")]
+    users = spark.createDataFrame([("jes'", "", "x", "user")], "term string, ipa string, kind string, source string")
+    assert rows(names.with_dialect(users, found), "term") == [("jes'", "", "x", "user")]
+    assert rows(names.with_dialect(users.limit(0), found), "term") == [("jes'", "dʒɛs", "dialect", "auto")]
+
+
+def test_queue_writes_on_odd_rows(spark):
+    from quirespark.operators import queue
+
+    new = spark.createDataFrame([("1", "/w/a/", None, "", None, True), ("2", "/w/b", "B", "2026-02-30 10:00", "", True), ("3", "/w/c", "C", "", "9-10", True), ("4", "/w/d", "D", "", "", None)], "id string, work string, title string, not_before string, window string, prepared boolean")
+    jobs = spark.createDataFrame([], "id string, work string, title string, not_before string, window string, status string, created string")
+    assert [(r.id, r.title, r.status) for r in queue.added(jobs, new, "2026-01-01 00:00").collect()] == [("1", "a", "queued")]
+    runs = spark.createDataFrame([("a", "e", 10, 0.0, 1), ("a", "e", 10, 5.0, 2), ("a", "e", 11, 6.0, 3), ("b", "e", 0, 5.0, 4), ("c", "e", 1, 1.0, None)], "id string, engine string, chars int, seconds double, n int")
+    assert [(r.id, r.chars) for r in queue.recorded(runs, ["id", "engine"], ["n"]).collect()][0] == ("a", 11)
+    voices = spark.createDataFrame([("b", "k", "m"), ("a", "k", None), ("c", "k", "f"), ("d", "x", "f")], "name string, engine string, gender string")
+    assert [r.name for r in queue.voices_for(voices, "k", "f").collect()] == ["c", "a", "b"] and [r.name for r in queue.voices_for(voices, "k", None).collect()] == ["a", "b", "c"]
