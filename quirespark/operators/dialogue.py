@@ -7,8 +7,6 @@ Null and empty texts have no paragraphs and give no rows. Repeated chapter ids a
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +37,10 @@ def _one_of(words: list[str]) -> str:
     return f"(?:{'|'.join(words)})"
 
 
-def paragraphs(chapters: DataFrame, key: list[str]) -> DataFrame:
-    """key, para, text: what stands between blank lines, with single spaces; empty ones do not count."""
+def paragraphs(chapters: DataFrame, key: list[str], *more: Column) -> DataFrame:
+    """key, more, para, text: what stands between blank lines, with single spaces; empty ones do not count."""
     clean = F.transform(F.split("text", r"\n\s*\n", -1), lambda p: F.btrim(F.regexp_replace(p, r"\s+", " ")))
-    return chapters.select(*key, F.posexplode(F.filter(clean, lambda p: p != "")).alias("para", "text"))
+    return chapters.select(*key, *more, F.posexplode(F.filter(clean, lambda p: p != "")).alias("para", "text"))
 
 
 def _names_in(text: Column, names: Column) -> Column:
@@ -90,11 +88,10 @@ def quote_evidence(chapters: DataFrame, book: str = "book", chapter: str = "chap
     in this chapter or an earlier one; where fewer than two are left, the four chief speakers so far stand in."""
     phrases = phrases or {}
     key, noted = [book, chapter], F.array(*map(F.lit, dict.fromkeys([*phrases.values(), *GROUPS.values()])))
-    cut = paragraphs(chapters, key)
     names = F.coalesce(F.col("names"), F.expr("cast(map() as map<string,string>)"))
     order = Window.partitionBy(*key).orderBy("para")
     told = F.regexp_replace("text", QUOTED, " ")
-    paras = cut.join(chapters.select(*key, names.alias("names")), key).withColumn("here", mentions(told, F.col("names"), phrases))
+    paras = paragraphs(chapters, key, names.alias("names")).withColumn("here", mentions(told, F.col("names"), phrases))
     plain = F.when(~F.col("text").rlike(QUOTED) & (F.size("here") > 0), F.get("here", 0))
     paras = (
         paras.withColumn("lead_here", plain)
@@ -155,10 +152,9 @@ def segments(chapters: DataFrame, book: str = "book", chapter: str = "chapter",
     """book, chapter, seg (from 0), para_start, speaker, kind and text of quoted prose, in the order of the text. Narration
     without a letter or digit between quotes is left out. Paragraphs without quotes are the narrator's."""
     key = [book, chapter]
-    evidence = quote_evidence(chapters, book, chapter, phrases)
-    spoken = attribution.attribute(evidence, genders, key, ["para", "place"]).select(*key, "para", "place", "speaker")
-    quoted = spoken.join(evidence.select(*key, "para", "place", "quote"), [*key, "para", "place"])
-    quoted = quoted.select(*key, "para", (2 * F.col("place") + 1).alias("piece"), "speaker", F.lit("dialogue").alias("kind"), F.col("quote").alias("text"))
+    # the quote goes along as the last of the columns of order, so that the speakers need no join to it
+    spoken = attribution.attribute(quote_evidence(chapters, book, chapter, phrases), genders, key, ["para", "place", "quote"])
+    quoted = spoken.select(*key, "para", (2 * F.col("place") + 1).alias("piece"), "speaker", F.lit("dialogue").alias("kind"), F.col("quote").alias("text"))
     gaps = paragraphs(chapters, key).select(*key, "para", F.posexplode(F.split("text", QUOTED, -1)).alias("place", "text")).where(F.col("text").rlike(r"(?U)\w"))
     told = gaps.select(*key, "para", (2 * F.col("place")).alias("piece"), F.lit(NARRATOR).alias("speaker"), F.lit("narration").alias("kind"), F.btrim("text").alias("text"))
     inside, whole = Window.partitionBy(*key, "para").orderBy("piece"), Window.partitionBy(*key).orderBy("para", "piece")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Engines whose clips are checked, and the two that decide which spellings are in use.
+#: The two modes of a book, which say which spellings are in use.
 CHECKED, VERIFIED = "checked", "verified"
 
 
