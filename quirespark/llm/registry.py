@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirespark.llm import bpe, embedding_dedup, exact_topk, language_id, line_dedup, mixing, near_dedup, substring_dedup, token_files, toxicity
+from quirespark.llm import bpe, embedding_dedup, exact_topk, language_id, line_dedup, mixing, near_dedup, periodic_runs, substring_dedup, token_files, toxicity, vector_codes, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_language_id": language_id.op9_language_id,
     "op10_embedding_near_dedup": embedding_dedup.op10_embedding_near_dedup,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_warc": warc.op13_warc,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE,
@@ -22,4 +25,7 @@ ORACLES = {
     "op6_exact_topk": exact_topk.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
     "op10_embedding_near_dedup": embedding_dedup.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op12_periodic_runs": periodic_runs.ORACLE,
+    "op13_warc": warc.ORACLE,
 }

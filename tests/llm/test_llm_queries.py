@@ -24,7 +24,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def frame(rows):
     columns = sorted(rows.columns)
-    return rows[columns].astype(str).sort_values(columns).reset_index(drop=True)
+    return rows[columns].convert_dtypes().astype(str).sort_values(columns).reset_index(drop=True)
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +35,7 @@ def documents():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = QUERIES[name](spark, SF).toPandas(), con.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and frame(got).equals(frame(want))
