@@ -59,7 +59,8 @@ def records_of(pages: DataFrame, least: int = 1000, date: str = "1970-01-01T00:0
     stored = freeze(stored, "repeated-payloads")
     total = stored.agg(F.sum("n")).first()[0] or 0
     again = joined_back(slim, stored, ["same"], "n", total).where("key < stored").select("key", "stored")
-    own = own.join(again, "key", "left")
+    # written, so that Spark knows its size: where it is small no payload is shuffled, else none is sorted
+    own = own.join(freeze(again, "revisits").hint("shuffle_hash") if total > 1 << 20 else freeze(again, "revisits"), "key", "left")
 
     url = F.when(F.col("url").rlike(r"[\x00-\x20\x7f]"), F.url_encode("url")).otherwise(F.col("url"))
     request, response, about = (_name(x, F.col("key"), seed) for x in ("request", "response", "metadata"))
@@ -216,8 +217,10 @@ def captures(records: DataFrame) -> DataFrame:
     A record belongs to the capture that it names by WARC-Concurrent-To, or that names it, or to the one of a record
     that stands so to it. Where that leaves several captures it is the one of the smallest id. Of several requests the one
     with the smallest id is taken. A capture without request or metadata has null and an empty list; records of no
-    capture, and records without an id, are left out. A capture's metadata are in one row, so in one task.
+    capture, and records without an id, are left out. A capture's metadata are in one row, so in one task. The records are
+    read several times; without their column payload the result has none either.
     """
+    body = ["payload"] if "payload" in records.columns else []
     named = records.where(F.col("record_id").isNotNull())
     anchor = named.where(F.col("type").isin(*ANCHORS))
     ids = anchor.select(F.col("record_id").alias("capture"))
@@ -228,10 +231,10 @@ def captures(records: DataFrame) -> DataFrame:
     near = first.withColumn("far", F.lit(0)).unionByName(second.withColumn("far", F.lit(1)))
     belongs = near.groupBy("record_id").agg(F.min(F.struct("far", "capture")).getField("capture").alias("capture"))
     parts = named.where(F.col("type").isin("request", "metadata")).join(belongs, "record_id")
-    request = parts.where("type = 'request'").groupBy("capture").agg(F.min_by(F.struct("record_id", "payload"), "record_id").alias("request"))
+    request = parts.where("type = 'request'").groupBy("capture").agg(F.min_by(F.struct("record_id", *body), "record_id").alias("request"))
     about = parts.where("type = 'metadata'").groupBy("capture").agg(F.array_sort(F.collect_list(F.struct("record_id", F.map_entries("fields").alias("fields")))).alias("metadata"))
     about = about.select("capture", F.transform("metadata", lambda m: F.struct(m.record_id.alias("record_id"), F.map_from_entries(m.fields).alias("fields"))).alias("metadata"))
-    answer = anchor.select(F.col("record_id").alias("capture"), "target_uri", "date", F.struct("type", "status", "payload", "payload_bytes", "payload_digest", "refers_to").alias("response"))
+    answer = anchor.select(F.col("record_id").alias("capture"), "target_uri", "date", F.struct("type", "status", *body, "payload_bytes", "payload_digest", "refers_to").alias("response"))
     whole = answer.join(request, "capture", "left").join(about, "capture", "left")
     empty = F.array().cast("array<struct<record_id: string, fields: map<string, string>>>")
     return whole.select(F.col("capture").alias("capture_id"), "target_uri", "date", "response", "request", F.coalesce("metadata", empty).alias("metadata"))
@@ -253,7 +256,9 @@ def resolved(found: DataFrame) -> DataFrame:
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pages = new_path(spark, "warc"), table(spark, sf_dir, "pages")
     write_warc(records_of(pages, least=1000), path)
-    c, kind = captures(read_warc(spark, path)), dict(pages.dtypes)["page_id"]
+    # payloads are checked and measured where they are read; what goes on is a row for each record
+    records = freeze(read_warc(spark, path).drop("payload"), "records")
+    c, kind = captures(records), dict(pages.dtypes)["page_id"]
     page = F.get("metadata", F.lit(0)).getField("fields").getItem("page-id").cast(kind)
     slim = c.select(F.col("capture_id").alias("capture"), page.alias("page"), "response.type", "response.refers_to", F.col("response.payload_bytes").alias("bytes"), F.col("response.payload_digest").alias("digest"))
     slim = freeze(slim, "captures")
