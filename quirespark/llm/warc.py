@@ -59,8 +59,8 @@ def records_of(pages: DataFrame, least: int = 1000, date: str = "1970-01-01T00:0
     stored = freeze(stored, "repeated-payloads")
     total = stored.agg(F.sum("n")).first()[0] or 0
     again = joined_back(slim, stored, ["same"], "n", total).where("key < stored").select("key", "stored")
-    # written, so that Spark knows its size: where it is small no payload is shuffled, else none is sorted
-    own = own.join(freeze(again, "revisits").hint("shuffle_hash") if total > 1 << 20 else freeze(again, "revisits"), "key", "left")
+    # written, so that Spark knows its size: where it is small no payload is shuffled
+    own = own.join(freeze(again, "revisits"), "key", "left")
 
     url = F.when(F.col("url").rlike(r"[\x00-\x20\x7f]"), F.url_encode("url")).otherwise(F.col("url"))
     request, response, about = (_name(x, F.col("key"), seed) for x in ("request", "response", "metadata"))
