@@ -93,7 +93,8 @@ def decode(quotes: list[dict], genders: dict[str, str]) -> tuple[list[str], list
 def attribute(quotes: DataFrame, genders: dict[str, str] | None = None, chapter: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """The columns of `chapter` and `order` (chapter and pos, if not given), speaker and probability for quotes (para,
     explicit, pron, lead, split, cont, other, addressed, recent, cands besides). Chapters are independent; within one the
-    speakers depend on each other."""
+    speakers depend on each other. `genders` gives roles m or f; where the quotes have a column of that name, a map, it holds
+    for the roles that are not given."""
     chapter, order = chapter or ["chapter"], order or ["pos"]
     kinds = dict(quotes.dtypes)
     shape = ", ".join([*(f"`{c}` {kinds[c]}" for c in chapter + order), "speaker string, probability double"])
@@ -104,7 +105,8 @@ def attribute(quotes: DataFrame, genders: dict[str, str] | None = None, chapter:
         for q in items:
             q |= {k: list(q[k]) if q[k] is not None else [] for k in ("addressed", "recent", "cands")}
             q |= {k: q[k] if isinstance(q[k], str) and q[k] else None for k in ("explicit", "pron", "lead")}
-        speakers, sure = decode(items, genders or {})
+        told = dict(items[0].get("genders") or {}) if items else {}
+        speakers, sure = decode(items, told | (genders or {}))
         return rows[chapter + order].assign(speaker=speakers, probability=sure)
 
     return quotes.groupBy(*chapter).applyInPandas(run, shape)

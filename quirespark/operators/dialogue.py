@@ -7,6 +7,9 @@ Null and empty texts have no paragraphs and give no rows. Repeated chapter ids a
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,7 @@ GROUPS = {"jews": "Jews", "disciples": "Disciples", "pharisees": "Pharisees", "w
 NO_NAMES = "Then And But The Now When So Verily Lord God Father Son Spirit Word He She They It I His Her Their Therefore Again While Jesus's".split()
 FIRST_PERSON = "I thou thee thy ye we you my me".split()
 OPENS_NARRATION = "(?:Then|Now|After|When|So|Jesus|And (?:he|they|Jesus|the|there|John)\\b)"
+ALIASES = {"John": "John the Baptist"}
 WOMEN = "girl woman lady maiden damsel mother wife bride daughter sister queen".split()
 MEN = "man gentleman boy youth fellow father husband bridegroom son brother lad king".split()
 
@@ -141,19 +145,47 @@ def quote_evidence(chapters: DataFrame, book: str = "book", chapter: str = "chap
 def cast_so_far(quotes: DataFrame, book: str, chapter: str) -> DataFrame:
     """book, chapter, cast: the roles named as speakers up to a chapter, those with most quotes first, then as they came."""
     here = quotes.where(F.col("explicit").isNotNull()).groupBy(book, chapter, "explicit").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("para", "place")).alias("at"))
-    here = here.select(F.col(book).alias("b"), F.col(chapter).alias("c"), "explicit", "n", F.struct(F.col(chapter).alias("c"), "at").alias("at"))
-    up_to = quotes.select(book, chapter).distinct().join(here, (F.col("b") == F.col(book)) & (F.col("c") <= F.col(chapter)))
-    roles = up_to.groupBy(book, chapter, "explicit").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "at", "explicit")))
-    return roles.groupBy(book, chapter).agg(F.transform(ranked, lambda r: r["explicit"]).alias("cast"))
+    # a role is listed from its first chapter on, so what is made is as large as the lists themselves
+    first = here.groupBy(book, "explicit").agg(F.min(F.struct(F.col(chapter).alias("c"), "at")).alias("at"))
+    listed = quotes.select(book, chapter).distinct().join(first, book).where(F.col(chapter) >= F.col("at.c"))
+    roles = listed.join(here.drop("at"), [book, chapter, "explicit"], "left")
+    so_far = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy(book, "explicit").orderBy(chapter))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("so_far")).alias("n"), "at", "explicit")))
+    return roles.withColumn("so_far", so_far).groupBy(book, chapter).agg(F.transform(ranked, lambda r: r["explicit"]).alias("cast"))
+
+
+def chapter_genders(chapters: DataFrame, book: str = "book", chapter: str = "chapter", phrases: dict[str, str] | None = None, reach: int = 140) -> DataFrame:
+    """book, chapter and genders, a map of roles to m or f: of the pronouns that come first after a mention of a role, within
+    `reach` characters and its sentence, most decide; of equal counts the one that came first. Two votes are needed, in
+    one chapter. Mentions are the names of the chapter's map `names`, and phrases (patterns with their roles)."""
+    key = [book, chapter]
+    tail = rf"(?=([^.!?]{{0,{reach}}}))"
+    found = [(rf"(?U)\b([A-Z][a-zà-ÿ]+)\b{tail}", 1, 2, None)]
+    found += [(f"(?U)({rx}){tail}", 1, re.compile(rx).groups + 2, role) for rx, role in (phrases or {}).items()]
+    known = F.col("names")
+
+    def heard(shape: str, name: int, rest: int, role: str | None) -> Column:
+        heads, tails = F.regexp_extract_all("text", F.lit(shape), name), F.regexp_extract_all("text", F.lit(shape), rest)
+        return F.zip_with(heads, tails, lambda w, t: F.struct((F.lit(role) if role else F.try_element_at(known, w)).alias("role"), t.alias("tail")))
+
+    own = chapters.select(*key, "text", F.coalesce("names", F.expr("cast(map() as map<string,string>)")).alias("names"))
+    each = F.filter(F.concat(*[heard(*x) for x in found]), lambda x: x["role"].isNotNull())
+    told = own.select(*key, F.posexplode(each).alias("at", "x")).select(*key, "at", "x.*")
+    said = F.lower(F.regexp_extract("tail", r"(?iU)\b(he|his|him|himself|she|her|herself)\b", 1))
+    votes = told.withColumn("g", F.when(said.rlike("^(?:she|her)"), "f").when(said != "", "m")).where("g IS NOT NULL")
+    n = votes.groupBy(*key, "role").agg(F.count_if(F.col("g") == "f").alias("f"), F.count_if(F.col("g") == "m").alias("m"), F.min_by("g", "at").alias("first"))
+    most = F.when(F.col("f") > F.col("m"), "f").when(F.col("m") > F.col("f"), "m").otherwise(F.col("first"))
+    return n.where("f + m >= 2").groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("role", most.alias("g")))).alias("genders"))
 
 
 def segments(chapters: DataFrame, book: str = "book", chapter: str = "chapter", phrases: dict[str, str] | None = None, genders: dict[str, str] | None = None) -> DataFrame:
     """book, chapter, seg (from 0), para_start, speaker, kind and text of quoted prose, in the order of the text. Narration
-    without a letter or digit between quotes is left out. Paragraphs without quotes are the narrator's."""
+    without a letter or digit between quotes is left out. Paragraphs without quotes are the narrator's. Genders are what the
+    chapter's own pronouns say of a role (see `chapter_genders`), unless `genders` gives them."""
     key = [book, chapter]
+    evidence = quote_evidence(chapters, book, chapter, phrases).join(chapter_genders(chapters, book, chapter, phrases), key, "left")
     # the quote goes along as the last of the columns of order, so that the speakers need no join to it
-    spoken = attribution.attribute(quote_evidence(chapters, book, chapter, phrases), genders, key, ["para", "place", "quote"])
+    spoken = attribution.attribute(evidence, genders, key, ["para", "place", "quote"])
     quoted = spoken.select(*key, "para", (2 * F.col("place") + 1).alias("piece"), "speaker", F.lit("dialogue").alias("kind"), F.col("quote").alias("text"))
     gaps = paragraphs(chapters, key).select(*key, "para", F.posexplode(F.split("text", QUOTED, -1)).alias("place", "text")).where(F.col("text").rlike(r"(?U)\w"))
     told = gaps.select(*key, "para", (2 * F.col("place")).alias("piece"), F.lit(NARRATOR).alias("speaker"), F.lit("narration").alias("kind"), F.btrim("text").alias("text"))
@@ -163,25 +195,50 @@ def segments(chapters: DataFrame, book: str = "book", chapter: str = "chapter",
     )
 
 
-def unquoted_segments(chapters: DataFrame, book: str = "book", chapter: str = "chapter") -> DataFrame:
+def _quoted_pieces(chapters: DataFrame, key: list[str], named: Callable[[Column], Column]) -> DataFrame:
+    """key, para, piece, quoted, named and text of the paragraphs with quotation marks: what the fragment with a verb after or
+    before a quote names, null where it names nobody."""
+    paras = paragraphs(chapters, key).where(F.col("text").rlike(QUOTED))
+    said, gaps = F.regexp_extract_all("text", F.lit(QUOTED), 1), F.split("text", QUOTED, -1)
+    paras = paras.select(*key, "para", said.alias("said"), gaps.alias("gaps"))
+    after = F.transform("said", lambda q, i: F.struct((2 * i + 1).alias("piece"), F.btrim(q).alias("text"), _first_sentence(F.get("gaps", i + 1)).alias("fa"), _last_sentence(F.get("gaps", i)).alias("fb")))
+    told = F.transform("gaps", lambda g, i: F.struct((2 * i).alias("piece"), F.btrim(g).alias("text"), F.lit("").alias("fa"), F.lit("").alias("fb")))
+    rows = paras.select(*key, "para", F.inline(F.concat(after, told)))
+    by = lambda c: F.when(F.col(c).rlike(VERB), named(F.col(c)))
+    return rows.select(*key, "para", "piece", (F.col("piece") % 2 == 1).alias("quoted"), F.when(F.col("piece") % 2 == 1, F.coalesce(by("fa"), by("fb"))).alias("named"), "text").where(F.col("text").rlike(r"(?U)\w"))
+
+
+def unquoted_segments(chapters: DataFrame, book: str = "book", chapter: str = "chapter", aliases: dict[str, str] | None = None) -> DataFrame:
     """The same rows for prose without quotation marks, where a clause with a verb of speech and a comma opens speech: "And
     Peter answered, ...". A pronoun means who was named last; a clause that names nobody opens none. A paragraph of speech
     that goes on in the next is still that speaker's, unless narration opens there. Neighbours of one speaker in a
-    paragraph are one segment."""
+    paragraph are one segment. `aliases` gives names their roles, besides those of ALIASES. In a paragraph that has quotation
+    marks all the same they bound its speech; a quote whose fragments name nobody is by who spoke last."""
     key = [book, chapter]
+    roles = F.create_map(*[F.lit(x) for pair in {**ALIASES, **(aliases or {})}.items() for x in pair])
     clause = rf"(?U)(?:^|(?<=[.?!]\s))((?:[^.?!;:]{{0,70}}?)\b{_one_of(VERBS)}\b[^.?!;:,]{{0,50}},\s+)"
     marked = F.split(F.regexp_replace(F.translate("text", "\u0001\u0002", ""), clause, "\u0001$1\u0002"), "\u0001", -1)
-    parts = paragraphs(chapters, key).select(*key, "para", F.posexplode(marked).alias("part", "text"))
+    parts = paragraphs(chapters, key).where(~F.col("text").rlike(QUOTED)).select(*key, "para", F.posexplode(marked).alias("part", "text"))
     parts = parts.withColumn("clause", F.when(F.col("part") > 0, F.substring_index("text", "\u0002", 1))).withColumn("rest", F.when(F.col("part") > 0, F.substring_index("text", "\u0002", -1)))
-    text = F.col("clause")
-    picked = lambda side: F.filter(F.regexp_extract_all(side, F.lit(f"({NAME})"), 1), lambda w: ~w.isin(NO_NAMES))
-    before, after = F.regexp_extract(text, f"(?s)^(.*?){VERB}", 1), F.regexp_extract(text, f"(?s){VERB}(.*)$", 1)
-    later = F.when(~after.rlike(r"(?iU)^\s*(?:he|she|they|the other)\b"), F.get(picked(after), 0))
+    picked = lambda side: F.get(F.filter(F.regexp_extract_all(side, F.lit(f"({NAME})"), 1), lambda w: ~w.isin(NO_NAMES)), 0)
+
+    def named(text: Column) -> Column:
+        """The role that a clause names, unless it is part of what is said."""
+        before, after = F.regexp_extract(text, f"(?s)^(.*?){VERB}", 1), F.regexp_extract(text, f"(?s){VERB}(.*)$", 1)
+        name = F.coalesce(picked(before), F.when(~after.rlike(r"(?iU)^\s*(?:he|she|they|the other)\b"), picked(after)))
+        return F.coalesce(F.get(_noted(text, {}), 0), F.try_element_at(roles, name), name)
+
+    text, quoted = F.col("clause"), _quoted_pieces(chapters, key, named)
     clear = text.isNotNull() & ~text.rlike(r"(?U)\b(?:I|thou|ye|we|thee)\b")
-    named = F.when(clear, F.coalesce(F.get(_noted(text, {}), 0), F.get(picked(before), 0), later))
-    along = Window.partitionBy(*key).orderBy("para", "part")
+    parts = parts.withColumn("named", F.when(clear, named(text)))
+    # quotes name speakers for pronouns of later clauses too
+    heard = parts.select(*key, "para", F.col("part").alias("piece"), "named", F.lit(False).alias("quoted"))
+    heard = heard.unionByName(quoted.select(*key, "para", "piece", "named", "quoted"))
+    along = Window.partitionBy(*key).orderBy("para", "piece")
     last = F.last("named", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.withColumn("named", named).withColumn("who", F.coalesce("named", F.when(clear & text.rlike(r"(?iU)\b(?:he|she|they|the other)\b"), last)))
+    heard = heard.withColumn("last", last)
+    parts = parts.join(heard.where("NOT quoted").select(*key, "para", F.col("piece").alias("part"), "last"), [*key, "para", "part"], "left")
+    parts = parts.withColumn("who", F.coalesce("named", F.when(clear & text.rlike(r"(?iU)\b(?:he|she|they|the other)\b"), F.col("last"))))
     here = Window.partitionBy(*key, "para").orderBy("part")
     parts = parts.withColumn("run", F.sum(F.col("who").isNotNull().cast("int")).over(here))
     whole = F.concat(F.coalesce("clause", F.lit("")), F.when(F.col("part") > 0, F.col("rest")).otherwise(F.col("text")))
@@ -198,6 +255,8 @@ def unquoted_segments(chapters: DataFrame, book: str = "book", chapter: str = "c
         )
     )
     rows = runs.withColumn("speech", F.btrim("speech")).withColumn("lead", lead).select(*key, "para", "run", F.posexplode(pieces).alias("half", "s")).select(*key, "para", "run", "half", "s.*").where(F.btrim("text") != "")
+    spoken = quoted.drop("quoted", "named").join(heard.where("quoted").select(*key, "para", "piece", F.coalesce("named", "last", F.lit("Speaker A")).alias("speaker")), [*key, "para", "piece"], "left")
+    rows = rows.unionByName(spoken.select(*key, "para", F.col("piece").cast("long").alias("run"), F.lit(0).alias("half"), F.coalesce("speaker", F.lit(NARRATOR)).alias("speaker"), "text"))
     # speech that goes on: a lone piece of narration in a paragraph takes the speaker who ended the one before
     para = Window.partitionBy(*key, "para")
     rows = rows.withColumn("alone", (F.count(F.lit(1)).over(para) == 1) & (F.col("speaker") == NARRATOR))

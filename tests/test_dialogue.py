@@ -51,3 +51,32 @@ def test_speech_without_quotes(spark):
         ("Narrator", "It was day. Jesus answered and said unto him,"), ("Jesus", "Verily I say unto thee."), ("Narrator", "He answered, saying,"), ("Jesus", "Go."), ("Jesus", "And ye shall see."),
         ("Narrator", "Then they went to the hill."), ("Narrator", "And I saw it."), ("Narrator", "The disciples said,"), ("Disciples", "We come."),
     ]
+
+
+OPENING = "Anna smiled as she sat. Bob stood as he waited. Anna nodded as she rose. Bob frowned as he turned.\n\n“I am here,” said Anna.\n\n“Good,” said Bob.\n\n“Come along,” he said."
+
+
+def test_genders_follow_from_the_chapter(spark):
+    swapped = OPENING.replace("she", "X").replace(" he ", " she ").replace("X", "he").replace("” she said", "” he said")
+    rows = [(1, 1, OPENING, NAMES), (1, 2, swapped, NAMES), (2, 1, OPENING.split(". Anna nodded")[0] + OPENING[OPENING.index("turned.") + 6 :], NAMES)]
+    chapters = spark.createDataFrame(rows, KIND)
+    said = [r.speaker for r in dialogue.segments(chapters).where("text = 'Come along,'").orderBy("book", "chapter").collect()]
+    assert said == ["Bob", "Anna", "Anna"]  # one vote each does not count
+    assert {(r.book, r.chapter): r.genders for r in dialogue.chapter_genders(chapters).collect()} == {(1, 1): {"Anna": "f", "Bob": "m"}, (1, 2): {"Anna": "m", "Bob": "f"}}
+    own = dialogue.segments(chapters.where("book = 1 AND chapter = 1"), genders={"Anna": "m", "Bob": "f"})
+    assert [r.speaker for r in own.where("text = 'Come along,'").collect()] == ["Anna"]
+
+
+def test_genders_of_phrases_and_ties(spark):
+    text = "The old sailor took his hat. An old sailor lost her hat.\n\nAnna and he. Anna and she. Annals of his. Bob waited for long. He ran."
+    got = dialogue.chapter_genders(spark.createDataFrame([(1, 1, text, NAMES), (1, 2, None, None)], KIND), phrases={"old (sailor|tar)": "Sailor"}).collect()
+    assert [r.genders for r in got] == [{"Sailor": "m", "Anna": "m"}]
+
+
+def test_unquoted_speech_has_aliases_and_quotes(spark):
+    text = "John answered and said unto him, Verily I say.\n\n“Go home,” said Anna. “Now.”\n\nShe asked again, Why?\n\nSimon replied, No."
+    rows = told(dialogue.unquoted_segments(spark.createDataFrame([(1, 1, text, None)], KIND), aliases={"Simon": "Peter"}))
+    assert rows == [
+        ("Narrator", "John answered and said unto him,"), ("John the Baptist", "Verily I say."), ("Anna", "Go home,"), ("Narrator", "said Anna."), ("Anna", "Now."),
+        ("Narrator", "She asked again,"), ("Anna", "Why?"), ("Narrator", "Simon replied,"), ("Peter", "No."),
+    ]
