@@ -16,6 +16,24 @@ TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 ORDINALS = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
 
 
+#: What a line of its own that heads a chapter begins with, and what else begins lines like it.
+HEADED_BY = "chapter book part section letter canto".split()
+LOOSELY_HEADED_BY = "chapter book part".split()
+COUNTED = rf"(?:[0-9]{{1,4}}|[IVXLC]{{1,7}}|(?:{'|'.join([*NUMBER_WORDS[1:], 'twenty'])})[\w-]*)"
+
+
+def heads_chapter(line: Column) -> Column:
+    """Whether a line is a heading such as `Chapter XV. The Sea`: short, and not ending as running text does."""
+    shape = line.rlike(rf"(?iU)^[ \t]*(?:{'|'.join(HEADED_BY)})[ \t]+{COUNTED}\b.{{0,92}}$")
+    bare = F.btrim(line, F.lit(" \t"))
+    return shape & (F.char_length(bare) <= 110) & ~bare.rlike("[,;]$") & (F.size(F.split(bare, r"\s+")) <= 18)
+
+
+def may_head_chapter(line: Column) -> Column:
+    """Whether a line begins as headings do, if it is one or not."""
+    return line.rlike(rf"(?iU)^\s*(?:{'|'.join(LOOSELY_HEADED_BY)})\s+[\w.]+")
+
+
 def say(n: int) -> str:
     """A number in words."""
     for size, name in ((10**9, "billion"), (10**6, "million"), (1000, "thousand")):

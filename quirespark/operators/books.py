@@ -105,7 +105,7 @@ def validate(chapters: DataFrame, book: str, title: str, whole: str | None = Non
         F.when(tiny, "tiny_chapters"),
         F.when((F.col("chapters") > 5) & (F.col("longest") > 12 * F.col("median_chars")) & (F.col("longest") > 50000), "missed_heading"),
         F.when(F.col("empty") > 0, "empty_chapters"),
-        F.when(F.col("chars") < 0.8 * F.col("whole"), "text_dropped"),
+        F.when(F.col("chars") < 0.8 * F.col("whole"), "text_dropped"),  # a null length says nothing
         F.when((F.col("chapters") > 3) & (F.col("titles") < 0.6 * F.col("chapters")), "shared_titles"),
     ))
     level = F.when((F.col("chars") < 200) | (tiny & (F.col("median_chars") < 150)), "bad").when(F.size(notes) > 0, "check").otherwise("ok")
@@ -113,25 +113,31 @@ def validate(chapters: DataFrame, book: str, title: str, whole: str | None = Non
 
 
 def text_kind(docs: DataFrame) -> DataFrame:
-    """What reader suits each text: play, verse, chapters, chapters_loose or single; with the counts that tell."""
+    """What reader suits each text: play, verse, chapters, chapters_loose or single; how sure that is (0 to 1), and the
+    counts that tell: lines `SPEAKER.` and `SCENE I.`, marks `chapter:verse`, the share of them that follow the one before,
+    headings, and lines that begin like headings."""
     t = F.coalesce("text", F.lit(""))
     marks = F.regexp_extract_all(t, F.lit(r"(?:^|[^0-9])([0-9]{1,3}:[0-9]{1,3})[ \n]"), 1)
-    number = r"(?:[0-9]{1,4}|[IVXLCivxlc]{1,7})"
+    lines = T.lines(t)
+    # the last line of a text is a heading only after an empty one
+    standing = F.filter(lines, lambda x, i: T.heads_chapter(x) & ((i < F.size(lines) - 1) | (i == 0) | (F.btrim(F.get(lines, i - 1)) == "")))
     base = docs.select(
         "doc_id",
         F.regexp_count(t, F.lit(r"(?m)^[A-Z][A-Z .’'-]+\.$")).alias("speakers"),
         F.regexp_count(t, F.lit(r"(?m)^SCENE [IVX]+\.")).alias("scenes"),
         F.filter(F.transform(marks, lambda m: F.struct(F.split(m, ":")[0].cast("int").alias("c"), F.split(m, ":")[1].cast("int").alias("v"))), lambda m: m.c.between(1, 150) & m.v.between(1, 176)).alias("marks"),
-        F.regexp_count(t, F.lit(rf"(?m)^[ \t]*(?:[Cc]hapter|CHAPTER|[Bb]ook|BOOK|[Pp]art|PART) {number}\b[^\n]{{0,90}}$")).alias("headings"),
-        F.regexp_count(t, F.lit(r"(?m)^[ \t]*(?:[Cc]hapter|CHAPTER|[Bb]ook|BOOK|[Pp]art|PART)[ \t]+[^\n]+$")).alias("loose"),
+        F.size(standing).alias("headings"),
+        F.size(F.filter(lines, T.may_head_chapter)).alias("loose"),
     )
     follows = F.filter("marks", lambda m, i: (i > 0) & _next_verse(F.get(F.col("marks"), i - 1), m))
     scored = base.withColumn("n_marks", F.size("marks")).withColumn("in_order", F.when(F.size("marks") >= 2, F.size(follows) / (F.size("marks") - 1)).otherwise(0.0))
-    kind = (
-        F.when((F.col("speakers") > 50) & (F.col("scenes") >= 1), "play").when((F.col("n_marks") > 20) & (F.col("in_order") >= 0.6), "verse")
-        .when(F.col("headings") >= 2, "chapters").when(F.col("loose") >= 2, "chapters_loose").otherwise("single")
+    play, verse = (F.col("speakers") > 50) & (F.col("scenes") >= 1), (F.col("n_marks") > 20) & (F.col("in_order") >= 0.6)
+    kind = F.when(play, "play").when(verse, "verse").when(F.col("headings") >= 2, "chapters").when(F.col("loose") >= 2, "chapters_loose").otherwise("single")
+    sure = (
+        F.when(play, F.least(F.lit(1.0), 0.6 + F.col("speakers") / 500)).when(verse, F.least(F.lit(1.0), F.col("in_order")))
+        .when(F.col("headings") >= 2, F.least(F.lit(1.0), 0.5 + F.col("headings") / 40)).when(F.col("loose") >= 2, F.lit(0.3)).otherwise(0.6)
     )
-    return scored.select("doc_id", "speakers", "scenes", "n_marks", F.round("in_order", 4).alias("in_order"), "headings", kind.alias("kind"))
+    return scored.select("doc_id", "speakers", "scenes", "n_marks", F.round("in_order", 4).alias("in_order"), "headings", "loose", F.round(sure, 2).alias("confidence"), kind.alias("kind"))
 
 
 def _next_verse(a, b):

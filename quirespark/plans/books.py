@@ -9,6 +9,7 @@ from quirespark.functions import text as T
 from quirespark.operators import books
 from quirespark.plans.registry import query
 from quirespark.shared import table
+from quirespark.sources import library
 
 _PARA = "(SELECT doc_id, lang, source, i - 1 AS para, trim(line) AS text FROM (SELECT doc_id, lang, source, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (SELECT doc_id, lang, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)) WHERE trim(line) <> '')"
 _SENT = f"(SELECT doc_id, lang, para, i AS sent, s AS sentence FROM (SELECT doc_id, lang, para, unnest(range(0, len(ss))) AS i, unnest(ss) AS s FROM (SELECT doc_id, lang, para, list_filter(string_split(regexp_replace(text, '([.!?])[ \\t\\n]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM {_PARA})))"
@@ -70,17 +71,46 @@ def doc_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.validate(docs, "source", "title")
 
 
-_KIND_ROWS = [
-    ("play", "SCENE I.\n" + "".join(f"LORD {x}.\nWords.\n" for x in ("A", "B")) * 30),
-    ("verse", " ".join(f"{c}:{v} so it was" for c in (1, 2) for v in range(1, 15)) + " "),
-    ("clock", " ".join(f"at {(7 * i) % 23 + 1}:{(11 * i) % 50 + 3} it rang" for i in range(32)) + " "),
-    ("novel", "Chapter 1\nIt began.\n\nChapter 2\nIt went on.\n"),
-]
+_PLAIN = "trim(regexp_replace(replace(coalesce(text, ''), ':', ' '), '[ \\t\\r\\n]+', ' ', 'g'), ' ')"
+_NUMBERED = " ".join(f"1:{v} so" for v in range(1, 23))
+_SCENE = "ACT I\nSCENE I\n\nACT I\n\nSCENE I. A place.\n\n" + "LORD A.\nYes.\n\n" * 51
 
 
-@query("SELECT * FROM (VALUES ('clock', 'single'), ('novel', 'chapters'), ('play', 'play'), ('verse', 'verse')) AS t(doc_id, kind)")
+def _shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as texts of four kinds: one block, two chapters, 23 verses, a play; name is the document's number."""
+    t = F.btrim(F.regexp_replace(F.replace(F.coalesce("text", F.lit("")), F.lit(":"), F.lit(" ")), "[ \\t\\r\\n]+", " "))
+    forms = [t, F.concat(F.lit("Chapter 1\n\n"), t, F.lit("\n\nChapter 2\n\n"), t), F.concat(F.lit(f"{_NUMBERED} 2:1 "), t), F.concat(F.lit(f"{_SCENE}LORD B.\n"), t)]
+    form = F.get(F.array(*forms), F.pmod("doc_id", F.lit(4)).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Doc "), "doc_id").alias("name"), form.alias("text"))
+
+
+_FORMS = f"(SELECT doc_id, (doc_id % 4)::INTEGER AS k, t, length(t) AS n FROM (SELECT doc_id, {_PLAIN} AS t FROM documents))"
+
+
+@query(f"""
+SELECT doc_id, CASE k WHEN 3 THEN 52 ELSE 0 END AS speakers, CASE k WHEN 3 THEN 1 ELSE 0 END AS scenes, CASE k WHEN 2 THEN 23 ELSE 0 END AS n_marks, CASE k WHEN 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS in_order,
+  CASE k WHEN 1 THEN 2 ELSE 0 END AS headings, CASE k WHEN 3 THEN 0.7 WHEN 2 THEN 1.0 WHEN 1 THEN 0.55 ELSE 0.6 END::DOUBLE AS confidence, CASE k WHEN 0 THEN 'single' WHEN 1 THEN 'chapters' WHEN 2 THEN 'verse' ELSE 'play' END AS kind FROM {_FORMS}
+""")
 def text_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return books.text_kind(spark.createDataFrame(_KIND_ROWS, "doc_id string, text string")).select("doc_id", "kind")
+    return books.text_kind(_shaped(spark, sf_dir)).drop("loose")
+
+
+# What each form comes to: `a` is the level of its own reader, `b` that of the text as one block, `m` the length of the text.
+@query(f"""
+WITH f AS (SELECT *, CASE k WHEN 0 THEN n WHEN 1 THEN 2 * n + 24 WHEN 2 THEN n + {len(_NUMBERED) + 5} ELSE n + {len(_SCENE) + 8} END AS m FROM {_FORMS}),
+l AS (SELECT *, CASE WHEN m < 200 THEN 2 WHEN m > 60000 THEN 1 ELSE 0 END AS b,
+  CASE k WHEN 0 THEN CASE WHEN n < 200 THEN 2 WHEN n > 60000 THEN 1 ELSE 0 END WHEN 1 THEN CASE WHEN n < 100 THEN 2 ELSE 0 END WHEN 2 THEN CASE WHEN n < 114 THEN 2 ELSE 0 END
+    ELSE CASE WHEN n + {len(_SCENE) - _SCENE.index("LORD") + 8} > 60000 THEN 1 ELSE 0 END END AS a FROM f),
+r AS (SELECT *, k > 0 AND b < a AS again FROM l)
+SELECT doc_id, CASE WHEN again OR k = 0 THEN 'single' WHEN k = 1 THEN 'chapters' WHEN k = 2 THEN 'verse' ELSE 'play' END AS reader,
+  CASE CASE WHEN again THEN b ELSE a END WHEN 0 THEN 'ok' WHEN 1 THEN 'check' ELSE 'bad' END AS level, CASE WHEN again OR k IN (0, 3) THEN 1 ELSE 2 END AS chapters,
+  CASE WHEN again OR k = 0 THEN m WHEN k = 1 THEN 2 * n WHEN k = 2 THEN n + 86 ELSE n + {len(_SCENE) - _SCENE.index("LORD") + 8} END::BIGINT AS chars FROM r
+""")
+def text_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of four kinds, each read as what it is; what came out badly was read again."""
+    r = library.readings(_shaped(spark, sf_dir))
+    chars = F.aggregate("chapters", F.lit(0).cast("long"), lambda n, c: n + F.char_length(c["text"]))
+    return r.select("doc_id", "reader", "level", F.size("chapters").alias("chapters"), chars.alias("chars"))
 
 
 @query(r"""

@@ -52,11 +52,11 @@ def verse_chapters(docs: DataFrame) -> DataFrame:
     return v.groupBy("doc_id", "chapter").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "verse"))), lambda x: x.verse), "\n\n").alias("text"))
 
 
-def headed_chapters(docs: DataFrame, least_chars: int = 40) -> DataFrame:
-    """doc_id, chapter, title and text between headings of the form `Chapter N`; bodies of fewer than least_chars go
-    unless all would."""
-    heading = r"^[ \t]*(?i:chapter|book|part|section|letter|canto)[ \t]+(?:[0-9]{1,4}|[IVXLC]{1,7})\b[^\n]{0,90}$"
-    lines = docs.select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "line")).withColumn("head", F.col("line").rlike(heading))
+def headed_chapters(docs: DataFrame, least_chars: int = 40, loose: bool = False) -> DataFrame:
+    """doc_id, chapter, title and text between headings of the form `Chapter N`, or with `loose` between all lines that begin
+    like headings; bodies of fewer than least_chars go unless all would."""
+    head = T.may_head_chapter if loose else T.heads_chapter
+    lines = docs.select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "line")).withColumn("head", head(F.col("line")))
     w = Window.partitionBy("doc_id").orderBy("pos")
     parts = lines.withColumn("part", F.sum(F.col("head").cast("int")).over(w)).where("part > 0")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line")))), lambda x: x.line), "\n")
@@ -65,6 +65,32 @@ def headed_chapters(docs: DataFrame, least_chars: int = 40) -> DataFrame:
     return c.where("long OR NOT any").select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("part")).alias("chapter"), "title", "text")
 
 
+#: The numerals that are said in words in the heading of a scene; larger ones stay as they are.
+SCENES = {numeral: word for numeral, word in zip("I II III IV V VI VII VIII IX X".split(), T.NUMBER_WORDS[1:], strict=False)}
+
+
+def play_chapters(docs: DataFrame) -> DataFrame:
+    """doc_id, chapter, title, heading and text of plays, a chapter for each scene, which has the act of the last line `ACT
+    ...` before it. What stands before the last `ACT I` (a list of contents) or after *** END OF goes, as do directions:
+    [_..._] and indented lines. heading is what a voice says. What comes before the first scene is left out."""
+    body = F.try_element_at(F.split(F.substring_index("text", "*** END OF", 1), r"(?m)(?=^ACT I[ \t]*$)", -1), F.lit(-1))
+    body = F.regexp_replace(F.regexp_replace(body, r"(?s)\[_.*?_\]", ""), r"(?m)^ .*$", "")
+    blocks = docs.select("doc_id", F.posexplode(F.split(body, r"\n\s*\n", -1)).alias("pos", "block")).withColumn("block", F.btrim("block", F.lit(" \n\t"))).where("block != ''")
+    act = F.when(F.col("block").rlike(r"^ACT [IVX]+\b") & ~F.col("block").contains("SCENE"), F.regexp_extract("block", "^ACT ([IVX]+)", 1))
+    opens = F.col("block").rlike(r"^SCENE [IVX]+\.")
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    b = blocks.withColumns({"mark": act, "opens": opens}).withColumns({"act": F.coalesce(F.last("mark", ignorenulls=True).over(w), F.lit("I")), "chapter": F.sum(opens.cast("int")).over(w)})
+    place = F.btrim(F.rtrim(F.regexp_replace(F.regexp_extract("block", r"(?s)^SCENE [IVX]+\.\s*(.*)", 1), r"\s+", " "), F.lit(".")))
+    here = b.where("chapter > 0 AND mark IS NULL").groupBy("doc_id", "chapter").agg(
+        F.max(F.when(F.col("opens"), F.struct("act", F.regexp_extract("block", r"^SCENE ([IVX]+)", 1).alias("scene"), place.alias("place")))).alias("s"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("opens"), F.struct("pos", "block")))), lambda x: x.block), "\n\n").alias("text"),
+    )
+    words = F.create_map(*[F.lit(x) for kv in SCENES.items() for x in kv])
+    spoken = lambda c: F.coalesce(F.try_element_at(words, F.col(c)), F.col(c))
+    heading = F.concat(F.lit("Act "), spoken("s.act"), F.lit(", scene "), spoken("s.scene"), F.lit(". "), "s.place")
+    return here.select("doc_id", F.col("chapter").cast("int").alias("chapter"), F.concat(F.lit("Act "), "s.act", F.lit(", Scene "), "s.scene").alias("title"), heading.alias("heading"), "text")
+
+
 def play_lines(docs: DataFrame) -> DataFrame:
     """doc_id, act, scene, role and text of plays: a line `SPEAKER.` gives the role of those after it; the act carries
     forward over its scenes; [_..._] is a direction and goes; lines of one role in a row are one."""
