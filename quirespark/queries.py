@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirespark.plans import books, clips, conversations, desk, dialogue, jobs, names, queue, sounds, sources, stages  # noqa: F401
+from quirespark.plans import books, clips, conversations, desk, dialogue, jobs, names, queue, sounds, sources, stages, wordlist  # noqa: F401
 from quirespark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
