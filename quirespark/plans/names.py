@@ -205,12 +205,14 @@ _GRAM = "SELECT {id} AS id, unnest(range(0, greatest(len(t) - 2, 0))) AS pos, un
 
 
 @query(f"""
-WITH b AS ({_GRAM.format(id="doc_id", table="documents")}), a AS ({_GRAM.format(id="item_id", table="benchmark")}), r AS (SELECT gram FROM b GROUP BY gram HAVING count(*) <= 8)
-SELECT a.id AS item_id, b.id AS doc_id, count(*) AS hits FROM a JOIN r USING (gram) JOIN b USING (gram) GROUP BY 1, 2
+WITH b AS ({_GRAM.format(id="doc_id", table="documents")}), a AS ({_GRAM.format(id="item_id", table="benchmark")}), r AS (SELECT id, gram FROM b GROUP BY id, gram HAVING count(*) <= 8),
+h AS (SELECT a.id AS item_id, b.id AS doc_id, b.pos - a.pos AS o, count(*) AS n FROM a JOIN b USING (gram) JOIN r ON r.id = b.id AND r.gram = b.gram GROUP BY ALL)
+SELECT item_id, max(n)::BIGINT AS straight FROM h GROUP BY item_id
 """)
 def pair_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = align.shared_grams(table(spark, sf_dir, "benchmark"), "item_id", _docs(spark, sf_dir), "doc_id")
-    return hits.groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("hits"))
+    """The longest unbroken alignment of each passage with any document, from the documents that its rarest grams admit."""
+    pairs, _ = align.candidates(table(spark, sf_dir, "benchmark"), "item_id", _docs(spark, sf_dir), "doc_id")
+    return pairs.groupBy("item_id").agg(F.max("least").alias("straight"))
 
 
 @query(f"""
@@ -225,7 +227,7 @@ def passage_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def passage_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.best_passages(table(spark, sf_dir, "benchmark"), "item_id", _docs(spark, sf_dir), "doc_id")
+    return align.best_passages(table(spark, sf_dir, "benchmark"), "item_id", _docs(spark, sf_dir), "doc_id").drop("chapter")
 
 
 @query("SELECT * FROM (VALUES ('Go home', 'Anna', 'Anna', true), ('I will', 'Bob', 'Carl', false)) AS t(prefix, speaker, found, \"right\")")

@@ -268,3 +268,27 @@ def test_json_rows_take_defaults(spark, tmp_path):
     got = readers.json_rows(spark, f"file://{tmp_path}/*.json", "name string, n int", {"name": "-", "n": 0})
     assert sorted(tuple(r) for r in got.collect()) == [("a.json", "-", 0), ("a.json", "x", 2), ("b.json", "-", 0), ("b.json", "z", 4)]
     assert readers.json_rows(spark, f"file://{tmp_path}/none*.json", "name string").count() == 0
+
+
+def test_only_rare_grams_admit_books_to_a_passage(spark):
+    rng = random.Random(9)
+    common = " ".join(f"c{i}" for i in range(40))
+    passage = " ".join(f"p{i}" for i in range(20))
+    books = [(i, common + (" " + passage if i % 9 == 4 else f" p{i % 20} p{i % 20 + 1} p{i % 20 + 2}") + " x" * rng.randrange(5)) for i in range(60)]
+    asked = [(1, "c1 c2 c3 c4 c5 " + passage), (2, "c7 c8 c9 c10"), (3, "none of it is there")]
+    a, b = spark.createDataFrame(asked, "item_id long, text string"), spark.createDataFrame(books, "doc_id long, text string")
+    pairs, _ = align.candidates(a, "item_id", b, "doc_id")
+    admitted = pairs.where("item_id = 1").count()
+    assert 0 < admitted < 20 and align.grams_within_books(a, "item_id", b, "doc_id").where("item_id = 1").select("doc_id").distinct().count() == 60
+    best = {r.item_id: (r.doc_id, r.length) for r in align.best_passages(a, "item_id", b, "doc_id").collect()}
+    assert best == {1: (4, 21), 2: (0, 2)}
+    assert align.best_passages(a, "item_id", b.limit(0), "doc_id").count() == 0 and align.best_passages(a.limit(0), "item_id", b, "doc_id").count() == 0
+
+
+def test_a_passage_is_the_books_own_text_up_to_the_chapter(spark):
+    book = "The sea was calm. Jesus saith unto them, “Fill the waterpots with water.” And they filled them up to the brim.\fNothing here resembles the clip at all, only other words."
+    asked = [(1, "jesus saith unto them fill the water pots with water and they filled them up"), (2, "quarterly tax filings for the committee"), (3, "them up to the brim nothing here resembles the clip"), (4, "only other words")]
+    b = spark.createDataFrame([(7, book), (8, None)], "doc_id long, text string")
+    got = {r.item_id: r for r in align.best_passages(spark.createDataFrame(asked, "item_id long, text string"), "item_id", b, "doc_id").collect()}
+    assert set(got) == {1, 3} and got[1].passage == "Jesus saith unto them, “Fill the waterpots with water.” And they filled them up" and got[1].chapter == 0 and got[1].similarity > 0.8
+    assert got[3].passage == "them up to the brim." and got[3].chapter == 0
