@@ -57,6 +57,20 @@ def said(n: Column) -> Column:
     return bound(n.cast("int"), _said)
 
 
+def said_long(n: Column) -> Column:
+    """0 to 999 999 999 999 in words, as say() has them."""
+
+    def over(size: int, name: str, rest: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        def run(n: Column) -> Column:
+            left = F.pmod(n, F.lit(size))
+            more = F.when(left == 0, "").otherwise(F.concat(F.when(left < 100, " and ").otherwise(", "), bound(left, rest)))
+            return F.when(n < size, bound(left, rest)).otherwise(F.concat(said(F.floor(n / size)), F.lit(f" {name}"), more))
+
+        return run
+
+    return bound(n.cast("long"), over(10**9, "billion", over(10**6, "million", said)))
+
+
 def _said(n: Column) -> Column:
     words = F.array(*[F.lit(w) for w in NUMBER_WORDS])
     tens = F.array(*[F.lit(w) for w in TENS])

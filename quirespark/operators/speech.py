@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType
 
 from quirespark.functions import text as T
 
@@ -83,36 +83,51 @@ def _calm(begun: Column) -> Column:
     return F.when(loud, F.array_join(F.transform(words, lambda w, i: F.when(small(w, i), w).otherwise(raised(w))), " ")).otherwise(quiet)
 
 
+def _digits_said(p: Column) -> Column:
+    """Digits as a number in words; more than twelve of them one by one."""
+    short = F.char_length(p) <= 12
+    one_by_one = F.array_join(F.transform(F.split(p, "", -1), lambda d: F.get(F.array(*map(F.lit, T.NUMBER_WORDS)), F.when(d == "", F.lit(0)).otherwise(d).cast("int"))), " ")
+    return F.when(short, T.said_long(F.when(short, p).otherwise("0"))).otherwise(one_by_one)
+
+
 def _with_numbers(x: Column) -> Column:
-    """Whole numbers of up to six digits in words."""
+    """Whole numbers in words."""
     pieces = F.split(x, r"(?<![\p{L}\p{N}_])(?=[0-9])|(?<=[0-9])(?![\p{L}\p{N}_])", -1)
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[0-9]{1,6}$"), T.said(F.when(p.rlike("^[0-9]{1,6}$"), p).otherwise("0").cast("int"))).otherwise(p)), "")
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[0-9]+$"), _digits_said(F.when(p.rlike("^[0-9]+$"), p).otherwise("0"))).otherwise(p)), "")
 
 
 def _number(x: Column) -> Column:
     """A number of a heading (a word, digits or a Roman numeral) in words."""
-    digits = x.rlike("^[0-9]{1,6}$")
-    value = F.when(digits, F.when(digits, x).otherwise("0").cast("int")).otherwise(T.roman_value(F.when(x.rlike("(?i)^[IVXLC]+$"), x).otherwise("I")))
-    return F.when(F.lower(x).isin(HEADING_NUMBERS), F.lower(x)).otherwise(T.said(value))
+    digits = x.rlike("^[0-9]+$")
+    roman = T.said(T.roman_value(F.when(x.rlike("(?i)^[IVXLC]+$"), x).otherwise("I")))
+    return F.when(F.lower(x).isin(HEADING_NUMBERS), F.lower(x)).when(digits, _digits_said(F.when(digits, x).otherwise("0"))).otherwise(roman)
 
 
 def spoken_title(title: Column) -> Column:
-    """A heading as it is read: numbers in words, a full stop after each part. Null stays null."""
+    """A heading as it is read: numbers in words, a full stop after each part. Null stays null.
+
+    A heading is numbered if its first word is a Roman numeral with a stop, or a division (part, chapter, book, section)
+    whose second word is a number: digits, a Roman numeral, or a number word with the name of the division after it."""
     t = F.btrim(F.regexp_replace(title, r"\s+", " "))
-    part = lambda pattern: [F.regexp_extract(t, pattern, k) for k in (1, 2, 3)]
-    kinds = [
-        r"^()([IVXLC]+)\.\s+(\S.*)$",
-        r"(?i)^(book|part|chapter|section)\s+(" + "|".join(HEADING_NUMBERS) + r"|[IVXLC]+)\s+(?=\w)(.+)$",
-        r"^((?i:part|chapter|book|section))\s+([IVXLC]+)()\.?$",
-        r"(?i)^(part|chapter|book|section)\s+([0-9]+)\s*[:.\-–—]?\s*(.*)$",
-    ]
-    found = F.lit(None)
-    for head, number, rest in map(part, kinds[::-1]):
-        found = F.when(number != "", F.struct(head.alias("head"), number.alias("number"), rest.alias("rest"))).otherwise(found)
+    words = F.split(t, " ", -1)
+    first, second, third = (F.coalesce(F.get(words, k), F.lit("")) for k in range(3))
+    after = lambda k: F.array_join(F.slice(words, k + 1, F.greatest(F.size(words) - k, F.lit(0))), " ")
+    roman = lambda w: F.regexp_replace(w, "[IVXLC]", "") == ""
+    divided = F.lower(first).isin("book", "part", "chapter", "section")
+    bare, count = F.regexp_replace(second, r"\.$", ""), F.regexp_extract(second, "^([0-9]+)", 1)
+    named = (F.lower(second).isin(HEADING_NUMBERS) | (roman(F.upper(second)) & (second != ""))) & third.rlike("^\\w")
+    tail = F.ltrim(F.regexp_replace(F.ltrim(F.concat(F.substring(second, F.char_length(count) + 1, F.char_length(second)), F.lit(" "), after(2))), r"^[:.\-–—]", ""))
+    form = lambda head, number, rest: F.struct(head.alias("head"), number.alias("number"), rest.alias("rest"))
+    found = (
+        F.when(first.endswith(".") & roman(F.regexp_replace(first, r"\.$", "")) & (F.char_length(first) > 1) & (second != ""), form(F.lit(""), F.regexp_replace(first, r"\.$", ""), after(1)))
+        .when(divided & named, form(first, second, after(2)))
+        .when(divided & roman(bare) & (bare != "") & (F.size(words) == 2), form(first, bare, F.lit("")))
+        .when(divided & (count != ""), form(first, count, F.rtrim(tail)))
+    )
 
     def read(f: Column) -> Column:
-        first = T.bound(_number(f["number"]), lambda n: F.when(f["head"] == "", F.concat(F.upper(F.left(n, F.lit(1))), F.substring(n, F.lit(2), F.char_length(n)))).otherwise(F.concat(T.capital(f["head"]), F.lit(" "), n)))
-        return F.concat(first, F.lit("."), F.when(f["rest"] != "", F.concat(F.lit(" "), _headed(f["rest"]), F.lit("."))).otherwise(""))
+        number = T.bound(_number(f["number"]), lambda n: F.when(f["head"] == "", F.concat(F.upper(F.left(n, F.lit(1))), F.substring(n, F.lit(2), F.char_length(n)))).otherwise(F.concat(T.capital(f["head"]), F.lit(" "), n)))
+        return F.concat(number, F.lit("."), F.when(f["rest"] != "", F.concat(F.lit(" "), _headed(f["rest"]), F.lit("."))).otherwise(""))
 
     return F.when(title.isNull(), None).otherwise(F.coalesce(T.bound(found, lambda f: F.when(f.isNotNull(), read(f))), F.concat(_with_numbers(_headed(t)), F.lit("."))))
 
@@ -126,6 +141,50 @@ def _folded(piece: Column) -> Column:
     return F.regexp_replace(F.lower(F.replace(piece, F.lit("’"), F.lit("'"))), r"\s+", " ")
 
 
+#: So many first words of terms are looked for in the texts before anything is shuffled.
+FIRST_WORDS = 10_000
+
+
+@F.pandas_udf(ArrayType(BooleanType()))
+def _free(at: pd.Series, less: pd.Series) -> pd.Series:
+    """Of hits in the order of their places, longest first, those that begin where the last one taken has ended."""
+
+    def taken(places: np.ndarray, sizes: np.ndarray) -> list[bool]:
+        out, end = [], 0
+        for place, size in zip(places.tolist(), sizes.tolist(), strict=True):
+            out.append(place >= end)
+            end = place - size if out[-1] else end
+        return out
+
+    return pd.Series([taken(a, b) for a, b in zip(at, less, strict=True)])
+
+
+def chosen_terms(entries: DataFrame, mode: str, tested: DataFrame | None = None) -> DataFrame:
+    """term and written of the lexicon entries (term, ipa, respell, respell_src, source) that count in a mode, for `substitute`.
+
+    plain: none. ipa and rawipa: the sounds (with or without markup). respell: the spelling, or where there is none the one
+    made from the sounds. typed: spellings that a user typed. checked: these, and those that a check found. verified:
+    these, and the tested spellings (term, respell), which an entry's own spelling overrides."""
+    said = lambda c: F.nullif(F.btrim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    own = entries.withColumns({"_respell": said("respell"), "_ipa": said("ipa"), "_src": F.coalesce("respell_src", F.lit(""))})
+    typed = (F.col("_src") == "user") | ((F.col("_src") == "") & (F.coalesce("source", F.lit("")) == "user"))
+    if mode in ("ipa", "rawipa"):
+        rows = own.select("term", F.btrim("_ipa", F.lit("/")).alias("written"))
+    elif mode == "respell":
+        rows = own.select("term", F.lower(F.regexp_replace(F.coalesce("_respell", respell(F.coalesce("_ipa", F.lit("")))), "[-·‧]", "")).alias("written"))
+    elif mode in ("typed", "checked", "verified"):
+        rows = own.where(typed | ((F.col("_src") == "checked") if mode != "typed" else F.lit(False))).select("term", F.col("_respell").alias("written"))
+        if mode == "verified" and tested is not None:
+            key = lambda c: F.regexp_replace(F.lower(F.replace(F.col(c), F.lit("’"), F.lit("'"))), r"\s+", " ")
+            mine = rows.where("written IS NOT NULL").select(key("term").alias("_k")).distinct()
+            rows = rows.unionByName(tested.withColumn("_k", key("term")).join(mine, "_k", "left_anti").select("term", F.col("respell").alias("written")))
+    elif mode == "plain":
+        rows = own.select("term", F.col("_ipa").alias("written")).limit(0)
+    else:
+        raise ValueError(f"no mode {mode}")
+    return rows.where("written IS NOT NULL AND written != ''")
+
+
 def substitute(rows: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text", markup: bool = False) -> DataFrame:
     """rows with words and phrases of the lexicon (term, written) replaced.
 
@@ -142,17 +201,21 @@ def substitute(rows: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text
         return rows
     own = rows.withColumn("_p", _pieces(F.col(text_col)))
     folded = own.select(id_col, F.transform("_p", _folded).alias("_f"))
+    # only runs that begin as some term does are sent to the join; a lexicon of very many first words looks at all
+    heads = [r[0] for r in terms.select(F.regexp_extract("_phrase", f"^([{T.LETTER}]+)", 1)).distinct().limit(FIRST_WORDS + 1).collect()]
 
     def runs(n: int) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size("_f") - n, F.lit(0)))
+        if len(heads) <= FIRST_WORDS:
+            places = F.filter(places, lambda i: F.get("_f", i).isin(heads))
         run = lambda i: F.struct(i.alias("_at"), F.lit(n).alias("_size"), F.array_join(F.slice("_f", i + 1, n), "").alias("_phrase"))
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size("_f") - n, F.lit(0))), run)
+        return F.transform(places, run)
 
     found = folded.select(id_col, F.inline(F.flatten(F.array(*map(runs, lengths))))).join(terms, ["_phrase", "_size"])
     found = found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_at", (-F.col("_size")).alias("_less"), "_written"))).alias("_hits"))
     end = lambda h: h["_at"] - h["_less"]
-    first = F.filter("_hits", lambda h, i: F.coalesce(F.get("_hits", i - 1)["_at"] < h["_at"], F.lit(True)))  # the longest at each place
-    taken = F.aggregate("_hits", F.slice("_hits", 1, 0), lambda acc, h: F.when(F.coalesce(end(F.try_element_at(acc, F.lit(-1))), F.lit(0)) <= h["_at"], F.concat(acc, F.array(h))).otherwise(acc))
-    joined = own.join(found.withColumn("_hits", first), id_col, "left").withColumn("_hits", taken)
+    found = found.withColumn("_free", _free("_hits._at", "_hits._less")).withColumn("_hits", F.filter("_hits", lambda h, i: F.get("_free", i))).drop("_free")
+    joined = own.join(found, id_col, "left")
 
     def put(h: Column, i: Column) -> Column:
         after = F.coalesce(end(F.get("_hits", i - 1)), F.lit(0))

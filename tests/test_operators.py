@@ -292,3 +292,64 @@ def test_a_passage_is_the_books_own_text_up_to_the_chapter(spark):
     got = {r.item_id: r for r in align.best_passages(spark.createDataFrame(asked, "item_id long, text string"), "item_id", b, "doc_id").collect()}
     assert set(got) == {1, 3} and got[1].passage == "Jesus saith unto them, “Fill the waterpots with water.” And they filled them up" and got[1].chapter == 0 and got[1].similarity > 0.8
     assert got[3].passage == "them up to the brim." and got[3].chapter == 0
+
+
+def test_angles_in_words():
+    from quirespark.operators.sounds import angles_said
+
+    given = {
+        "42° 15′ N. lat. and 1° E.": "forty-two degrees fifteen minutes north latitude and one degree east", "98.6° F. The N.N.E. wind": "ninety-eight point six degrees Fahrenheit. The north-north-east wind",
+        "3 deg. 4' 5\" W. long. In the": "three degrees four minutes five seconds west longitude. In the", "10 degrees C, then": "ten degrees Celsius, then", "5° NW": "five degrees NW", "2 dogs at 5'": "2 dogs at 5'",
+        "S.W. and U.S.W. and N.E.S.W.N. and E.": "south-west and U.S.W. and N.E.S.W.N. and E.", "7° 8'x": "seven degrees 8'x", "": "", "90°": "ninety degrees", "1° 30′ 1″ S. of it": "one degree thirty minutes one second south of it",
+    }
+    assert {t: angles_said(t) for t in given} == given
+
+
+def test_long_numbers_are_said(spark):
+    numbers = [1_000_000, 1_000_001, 2_100_000, 999_999_999, 1_000_000_000, 12_345_678_901, 5_000_000_100]
+    assert one(spark, T.said_long, *numbers, kind="long") == [T.say(n) for n in numbers]
+    assert one(spark, speech.spoken_title, "Part 1234567: A", "1000000 Miles", "Chapter 3 - On and on", "IV. 12 Men", "Section XX.", "Book the Third", "Part", "MIX. X", "Chapter ten begins", "1234567890123") == [
+        "Part one million, two hundred and thirty-four thousand, five hundred and sixty-seven. A.", "One million Miles.".replace("One", "one"), "Chapter three. On and on.", "Four. 12 Men.", "Section twenty.", "Book the Third.", "Part.", "Mix. X.", "Chapter ten. Begins.",
+        "one two three four five six seven eight nine zero one two three.",
+    ]
+
+
+def test_substitution_is_linear_in_its_hits(spark):
+    import time
+
+    took = []
+    for n in (100, 40_000):
+        rows = spark.createDataFrame([(1, "the idiot " * n)], "doc_id int, text string")
+        lexicon = spark.createDataFrame([("idiot", "fool"), ("the idiot", "that fool"), ("never", "x")], "term string, written string")
+        begun = time.time()
+        assert speech.substitute(rows, lexicon).first().text == "that fool " * n
+        took.append(time.time() - begun)
+    assert took[1] - took[0] < 4
+
+
+def test_which_spellings_count(spark):
+    kind = "term string, ipa string, respell string, respell_src string, source string"
+    entries = spark.createDataFrame([("Weena", "ˈwiːnə", "Weenuh", "user", "user"), ("Eloi", "ˈiːlɔɪ", "eeloy", "auto", "auto"), ("Morlock", "ˈmɔɹlɑk", "", None, "user"), ("Filby", "ˈfɪlbi", "fil-bee", "checked", "auto"), ("Tim", None, "Tym", None, "user"), ("Moses", None, None, None, None)], kind)
+    tested = spark.createDataFrame([("Weena", "Wrong"), ("Abana", "AB-uh-nuh")], "term string, respell string")
+    terms = lambda mode: {r.term: r.written for r in speech.chosen_terms(entries, mode, tested).collect()}
+    assert terms("plain") == {} and terms("typed") == {"Weena": "Weenuh", "Tim": "Tym"} and terms("checked") == terms("typed") | {"Filby": "fil-bee"}
+    assert terms("verified") == terms("checked") | {"Abana": "AB-uh-nuh"} and set(terms("ipa")) == {"Weena", "Eloi", "Morlock", "Filby"}
+    respell = terms("respell")
+    assert respell["Filby"] == "filbee" and respell["Weena"] == "weenuh" and respell["Morlock"].isalpha() and "Moses" not in respell
+    text = spark.createDataFrame([(1, "Weena, Eloi and Morlock.")], "doc_id int, text string")
+    assert speech.substitute(text, speech.chosen_terms(entries, "typed")).first().text == "Weenuh, Eloi and Morlock."
+    with pytest.raises(ValueError, match="no mode"):
+        speech.chosen_terms(entries, "other")
+
+
+def test_only_the_spellings_that_are_kept_are_made():
+    from quirespark.operators import sounds
+
+    many = {"a": ["ah", "a", "uh"], "n": ["n"], "b": ["b"]}
+    made = sounds.spellings_of("ab" * 40, "abab", many)
+    assert 50 < len(made) <= 61 and made[0] == "abab" and len(set(made)) == len(made)
+    assert sounds.spellings_of("ab" * 2, "Abab", many) == ["abab", *(f"{x}b{y}b" for x in ("ah", "a", "uh") for y in ("ah", "a", "uh") if f"{x}b{y}b" != "abab")]
+    parts = sounds.spellings_of("bɪɹʃəbə", "Beer-sheba", {"ə": ["uh", "ah"]})
+    assert parts[0] == "beer-sheba" and "beersheba" in parts and any("-" in p and p != parts[0] for p in parts) and len(parts) <= 61
+    assert sounds.spellings_of("mlɪŋ", "M’ling", {})[0] == "m-ling" and sounds.spellings_of("", "", {}) == [""]
+    assert list(sounds.sampled(3, 5, "x")) == [0, 1, 2] and [sounds.chosen(i, [["a", "b"], ["c"], ["d", "e"]]) for i in range(4)] == [["a", "c", "d"], ["a", "c", "e"], ["b", "c", "d"], ["b", "c", "e"]]
