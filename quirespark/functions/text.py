@@ -125,10 +125,16 @@ def tidy_stops(text: Column) -> Column:
     return F.regexp_replace(text, r"[ \t]+([,.;:!?])", "$1")
 
 
+#: Short forms whose stop ends no sentence.
+SHORT_FORMS = "mr mrs ms dr gen col capt lieut lt maj brig sgt st mt ft vs no jr sr prof hon rev messrs gov sen rep esq etc viz wm geo chas jno thos".split()
+
+
 def sentences(text: Column) -> Column:
-    """Sentences: cut after . ! or ? where white space follows."""
-    marked = F.regexp_replace(text, r"([.!?])[ \t\n]+", "$1\u0001")
-    return F.filter(F.split(marked, "\u0001", -1), lambda s: s != "")
+    """Sentences: cut after . ! or ? and a closing quote, where white space and a capital or a digit follow, with or without
+    an opening quote. The stop of a short form or of a single letter ends none."""
+    marked = F.regexp_replace(text, "((?:(?<=[.!?])|(?<=[.!?][\"”’']))\\s+)(?=[\"“‘'(]?[A-Z0-9])", "$1\u0001")
+    joined = F.regexp_replace(marked, rf"(?<![{LETTER}])((?:(?i:{'|'.join(SHORT_FORMS)})|[{LETTER}])\.\s+)\u0001", "$1")
+    return F.filter(F.transform(F.split(joined, "\u0001", -1), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
 def words(text: Column) -> Column:

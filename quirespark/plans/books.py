@@ -12,7 +12,11 @@ from quirespark.shared import table
 from quirespark.sources import library
 
 _PARA = "(SELECT doc_id, lang, source, i - 1 AS para, trim(line) AS text FROM (SELECT doc_id, lang, source, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (SELECT doc_id, lang, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)) WHERE trim(line) <> '')"
-_SENT = f"(SELECT doc_id, lang, para, i AS sent, s AS sentence FROM (SELECT doc_id, lang, para, unnest(range(0, len(ss))) AS i, unnest(ss) AS s FROM (SELECT doc_id, lang, para, list_filter(string_split(regexp_replace(text, '([.!?])[ \\t\\n]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM {_PARA})))"
+# what follows a boundary is taken in and put back; short forms in a row are joined again in two turns
+_CUT = """regexp_replace(text, '([.!?]["”’'']?\\s+)(["“‘''(]?[A-Z0-9])', '\\1' || chr(1) || '\\2', 'g')"""
+_SHORT = f"(^|[^{T.LETTER}])((?i:{'|'.join(T.SHORT_FORMS)})|[{T.LETTER}])(\\.\\s+)"
+_REJOINED = f"regexp_replace(regexp_replace({_CUT}, '{_SHORT}' || chr(1), '\\1\\2\\3', 'g'), '{_SHORT}' || chr(1), '\\1\\2\\3', 'g')"
+_SENT = f"(SELECT doc_id, lang, para, i AS sent, s AS sentence FROM (SELECT doc_id, lang, para, unnest(range(0, len(ss))) AS i, unnest(ss) AS s FROM (SELECT doc_id, lang, para, list_filter(list_transform(string_split({_REJOINED}, chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ss FROM {_PARA})))"
 _WORD = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 
 

@@ -91,13 +91,13 @@ _NUMERAL = "regexp_matches(upper(word), '^M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0
 
 
 @query(f"""
-WITH w AS (SELECT DISTINCT word FROM {_TOK}), d AS (SELECT word FROM w WHERE word = lower(word))
-SELECT word, word <> '' AND {_NUMERAL} AND (upper(word) = word OR length(word) >= 3 AND lower(word) NOT IN (SELECT word FROM d)) AS numeral FROM w WHERE length(word) <= 4
+WITH w AS (SELECT DISTINCT word FROM {_TOK}), d AS (SELECT word AS low FROM w WHERE word = lower(word))
+SELECT word, word <> '' AND {_NUMERAL} AND (upper(word) = word OR length(word) >= 3 AND low IS NULL) AS numeral FROM w LEFT JOIN d ON low = lower(word)
 """)
 def numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short words of the documents; what they have in small letters is the dictionary."""
+    """The words of the documents; what they have in small letters is the dictionary."""
     words = names.tokens(_docs(spark, sf_dir)).select("word").distinct()
-    return names.numerals(words.where(F.char_length("word") <= 4), words.where(F.lower("word") == F.col("word")))
+    return names.numerals(words, words.where(F.lower("word") == F.col("word")))
 
 
 _ENDINGS = ", ".join(f"CASE WHEN ends_with(w, '{e}') AND length(w) - {len(e)} >= 3 THEN left(w, length(w) - {len(e)}) || '{r}' END" for e, r in names.ENDINGS)

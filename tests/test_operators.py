@@ -353,3 +353,11 @@ def test_only_the_spellings_that_are_kept_are_made():
     assert parts[0] == "beer-sheba" and "beersheba" in parts and any("-" in p and p != parts[0] for p in parts) and len(parts) <= 61
     assert sounds.spellings_of("mlɪŋ", "M’ling", {})[0] == "m-ling" and sounds.spellings_of("", "", {}) == [""]
     assert list(sounds.sampled(3, 5, "x")) == [0, 1, 2] and [sounds.chosen(i, [["a", "b"], ["c"], ["d", "e"]]) for i in range(4)] == [["a", "c", "d"], ["a", "c", "e"], ["b", "c", "d"], ["b", "c", "e"]]
+
+
+def test_sentences_end_where_they_do(spark):
+    given = {
+        "Mr. Smith came. He sat.": ["Mr. Smith came.", "He sat."], "“Go home.” Anna went. “Why?” he said.": ["“Go home.”", "Anna went.", "“Why?” he said."], "J. R. R. Tolkien, Lieut. Gen. and Esq. Then all.": ["J. R. R. Tolkien, Lieut. Gen. and Esq. Then all."],
+        "It cost 3.50 p. 12 times. 7 more? (Yes.) No": ["It cost 3.50 p. 12 times.", "7 more?", "(Yes.) No"], "He ran. and ran! Then\n stopped.  ": ["He ran. and ran!", "Then\n stopped."], "Vitamin c. Xerxes sang. “St. Ives” MR. X": ["Vitamin c. Xerxes sang.", "“St. Ives” MR. X"], "": [],
+    }
+    assert dict(zip(given, one(spark, T.sentences, *given), strict=True)) == given
