@@ -15,7 +15,7 @@ from quirespark.shared import freeze
 
 #: Words and their possessives; words that link names, and those of them that are English; words that have a
 #: capital only because a sentence begins with them; short forms whose stop ends no sentence.
-WORD = f"[{LETTER}]+(?:[’'-][{LETTER}]+)*"
+WORD = f"[{LETTER}]+(?:[’'-][{LETTER}]+)*+"
 POSSESSIVE = "[’'][sS]$"
 CONNECTORS = "de du des la le les of von van der di del della da dos y el al the d l".split()
 ENGLISH_CONNECTORS = ["of", "the", "and", "to"]
@@ -25,11 +25,12 @@ LEADING = (
 ).split()
 ABBREVIATED = "M MM Mme Mlle Mr Mrs Dr St Capt Col".split()
 
-_UPPER = f"[A-ZÀ-ÖØ-Þ][{LETTER}]*(?:[’'-][{LETTER}]+)*"
-_ELIDED = f"(?:d|l|de)['’][A-ZÀ-ÖØ-Þ][{LETTER}]*(?:[’'-][{LETTER}]+)*"
+# loops are possessive: nothing that follows them gives back, and long runs need no stack
+_UPPER = f"[A-ZÀ-ÖØ-Þ][{LETTER}]*(?:[’'-][{LETTER}]+)*+"
+_ELIDED = f"(?:d|l|de)['’][A-ZÀ-ÖØ-Þ][{LETTER}]*(?:[’'-][{LETTER}]+)*+"
 _GAP = "[ \\n]{1,2}"
 #: A capitalised word with all that belongs to it, or else any word: matches never begin within a word.
-PHRASE = f"{_UPPER}(?:{_GAP}(?:{_UPPER}|{_ELIDED})|{_GAP}(?:{'|'.join(CONNECTORS)}){_GAP}{_UPPER})*|{WORD}"
+PHRASE = f"{_UPPER}(?:{_GAP}(?:{_UPPER}|{_ELIDED})|{_GAP}(?:{'|'.join(CONNECTORS)}){_GAP}{_UPPER})*+|{WORD}"
 
 
 def bare(word: Column) -> Column:

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirespark.functions.text import LETTER
-from quirespark.operators import names, wordlist
+from quirespark.operators import lexicon, names, repair, wordlist
 from quirespark.plans.registry import query
 from quirespark.shared import table
 
 
 def _sql(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''").replace("\\n", "\n") + "'"
+    return "'" + pattern.replace("*+", "*").replace("'", "''").replace("\\n", "\n") + "'"
 
 
 def _listed(words: list[str]) -> str:
@@ -113,3 +113,31 @@ def word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     frequencies = _frequencies(docs)
     return wordlist.word_list(docs, frequencies.where("lang = 'en' AND zipf >= 3").select("word"), frequencies, "book", "doc_id")
+
+
+_ENDS = '[.!?"“”‘’\\n] '
+_SHOUT = "list_filter(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g'), ' '), lambda w: length(w) >= 2)"
+_RAISED = "upper(w[1]) || lower(w[2:])"
+
+
+@query(f"""
+WITH {_FREQ},
+ev AS (SELECT coalesce(source, 'none') AS book, regexp_replace(regexp_replace(text, '^[A-Z][a-z]+', '_'), '({_ENDS})[A-Z][a-z]+', '\\1_', 'g') AS t FROM documents),
+names AS (SELECT DISTINCT book, lower(w) AS word FROM (SELECT book, unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS w FROM ev) WHERE regexp_full_match(w, '[A-Z][a-z]+')),
+d AS (SELECT doc_id, coalesce(source, 'none') AS book, list_transform({_SHOUT}, lambda w: upper(w)) AS ws FROM documents),
+w AS (SELECT doc_id, book, unnest(range(len(ws))) AS i, unnest(ws) AS w, len(ws) AS n FROM d),
+k AS (SELECT w.*, names.word IS NOT NULL AS named, coalesce(zipf, 0.0) AS zipf FROM w LEFT JOIN names ON names.book = w.book AND names.word = lower(w) LEFT JOIN (SELECT word, zipf FROM freq WHERE lang = 'en') AS f ON f.word = lower(w)),
+c AS (SELECT doc_id, i, CASE WHEN regexp_matches(w, '^[IVXLCDM]+$') OR w IN ({_listed(repair.KEPT)}) THEN w
+  WHEN n = 1 THEN CASE WHEN length(w) >= 3 AND (named OR zipf >= 2) THEN {_RAISED} ELSE w END
+  WHEN named THEN {_RAISED} WHEN length(w) >= 3 AND zipf < 2 THEN w WHEN i = 0 THEN {_RAISED} ELSE lower(w) END AS w FROM k),
+j AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM c GROUP BY doc_id)
+SELECT doc_id, md5('Thus: ' || coalesce(t, '') || ', they cried.') AS digest FROM documents LEFT JOIN j USING (doc_id)
+""")
+def repaired_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents put in capitals, between a beginning and an end that are not: what each book's own documents write with
+    a capital, and what English has, decides which words keep theirs."""
+    docs = _docs(spark, sf_dir)
+    words = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "), " ", -1), lambda w: F.char_length(w) >= 2)
+    loud = docs.select("book", F.col("doc_id").alias("chapter"), F.concat(F.lit("Note from the original file: x\n\nThus: "), F.upper(F.array_join(words, " ")), F.lit(" , they cried .")).alias("text"))
+    fixed = repair.repaired(loud, _frequencies(docs), names=lexicon.mid_sentence_capitals(docs, "book"))
+    return fixed.select(F.col("chapter").alias("doc_id"), F.md5("text").alias("digest"))

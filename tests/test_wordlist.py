@@ -61,3 +61,7 @@ def test_repaired_phrases(spark):
     rows = [("b", "From La Grange", 2, "phrase", "auto"), ("b", "La Grange", 3, "phrase", "auto"), ("b", "The From", 1, "phrase", "auto"), ("b", "In Rome", 1, "phrase", "user"), ("b", "in", 4, "word", "auto"), ("b", "But Rome", 1, "phrase", "auto")]
     got = {(r.term, r["count"]) for r in wordlist.repaired(spark.createDataFrame(rows, "book string, term string, count long, kind string, source string")).collect()}
     assert got == {("La Grange", 5), ("In Rome", 1), ("in", 4)}
+
+
+def test_long_runs_of_capitals_need_no_stack(spark):
+    assert [len(p) for p in phrases(spark, "Anna Bob-" + "Lee-" * 20_000 + "x " + "Carl Dan " * 20_000)] == [9 + 80_000 + 1 + 1 + 180_000 - 1]
