@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirespark.functions import text as T
+from quirespark.operators import ordered
 
 FAST, SLOW, LEAST_CHARS, DEAD_AIR, DASH_PAUSE, MOST_SILENT, LEAST_SECONDS = 1.6, 0.45, 25, 2.0, 1.5, 0.6, 1.5
 
@@ -13,7 +14,8 @@ FAST, SLOW, LEAST_CHARS, DEAD_AIR, DASH_PAUSE, MOST_SILENT, LEAST_SECONDS = 1.6,
 def usual_pace(clips: DataFrame, by: str = "engine", least: int = 20) -> DataFrame:
     """The median pace of each engine over clips that are long enough, null where there are fewer than `least`."""
     ok = clips.where((F.col("chars") >= LEAST_CHARS) & (F.col("speech") > 0.5))
-    return ok.groupBy(by).agg(F.when(F.count(F.lit(1)) >= least, F.percentile(F.col("chars") / F.col("speech"), F.lit(0.5))).alias("median_pace"))
+    middle = ordered.quantiles(ok.select(by, (F.col("chars") / F.col("speech")).alias("pace")), [by], "pace", [0.5])
+    return middle.select(by, F.when(F.col("n") >= least, F.get("q", 0)).alias("median_pace"))
 
 
 def problems(clips: DataFrame) -> DataFrame:
@@ -104,9 +106,8 @@ def three_way(current: DataFrame, snapshot: DataFrame, edited: DataFrame, key: s
 def pooled(rows: DataFrame, by: str, order: list, pools: dict[str, list[str]]) -> DataFrame:
     """Voices of each gender's pool dealt in turn, to the speakers with most lines first."""
     pool = F.create_map(*[x for k, v in pools.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    n = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
     mine = F.element_at(pool, F.col(by))
-    return rows.withColumn("voice", F.get(mine, F.pmod(n, F.size(mine))))
+    return ordered.numbered(rows, [by], order, "_n").withColumn("voice", F.get(mine, F.pmod("_n", F.size(mine)).cast("int"))).drop("_n")
 
 
 def hash_pick(name: Column, pool: list[str]) -> Column:

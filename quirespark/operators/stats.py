@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirespark.operators import ordered
+
 SHORT_MS = 100
 
 
@@ -13,10 +15,14 @@ def pacing_table(records: DataFrame, kind: str, pause: str, least: int = 15, lea
     long = F.when(F.col(pause) >= SHORT_MS, F.col(pause))
     n_long = F.count(long)
     fit = lambda c: F.when(n_long >= least_long, c)
-    return records.groupBy(kind).agg(
-        F.count(F.lit(1)).alias("n"), F.avg((F.col(pause) < SHORT_MS).cast("double")).alias("short_share"), F.percentile(pause, F.lit(0.5)).alias("median_ms"),
-        fit(F.avg(F.log(long))).alias("mu"), fit(F.stddev_pop(F.log(long))).alias("sigma"), fit(F.percentile(long, F.lit(0.03))).alias("lo_ms"), fit(F.percentile(long, F.lit(0.97))).alias("hi_ms"),
+    sums = records.groupBy(kind).agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col(pause) < SHORT_MS).cast("double")).alias("short_share"), fit(F.avg(F.log(long))).alias("mu"), fit(F.stddev_pop(F.log(long))).alias("sigma"), (n_long >= least_long).alias("fits"),
     ).where(F.col("n") >= least)
+    middle = ordered.quantiles(records.select(kind, pause), [kind], pause, [0.5]).select(F.col(kind).alias("_a"), F.get("q", 0).alias("median_ms"))
+    ends = ordered.quantiles(records.select(kind, long.alias("_long")), [kind], "_long", [0.03, 0.97]).select(F.col(kind).alias("_b"), F.col("q").alias("_q"))
+    both = sums.join(middle, F.col(kind).eqNullSafe(F.col("_a")), "left").join(ends, F.col(kind).eqNullSafe(F.col("_b")), "left")
+    edge = lambda i: F.when(F.col("fits"), F.get("_q", i))
+    return both.select(kind, "n", "short_share", "median_ms", "mu", "sigma", edge(0).alias("lo_ms"), edge(1).alias("hi_ms"))
 
 
 def regression(records: DataFrame, by: str, y: Column, x: Column, least: int = 100) -> DataFrame:
@@ -52,19 +58,14 @@ def solve(sums: DataFrame, k: int) -> list[tuple[float, float]]:
 
 def spearman(records: DataFrame, by: str, x: str, y: str) -> DataFrame:
     """Rank correlation of x and y for each `by`; ties share the mean of their ranks."""
-
-    def rank(c: str) -> Column:
-        w = Window.partitionBy(by)
-        return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(by, c)) - 1) / 2
-
-    ranked = records.withColumn("_rx", rank(x)).withColumn("_ry", rank(y))
+    ranked = ordered.mean_ranks(ordered.mean_ranks(records.select(by, x, y), [by], x, "_rx"), [by], y, "_ry")
     return ranked.groupBy(by).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def spread(records: DataFrame, by: str, value: str) -> DataFrame:
     """n, mean and the 10th, 25th, 50th, 75th and 90th percentile of each `by`."""
-    p = F.percentile(value, F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)]))
-    s = records.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), p.alias("p"))
+    p = ordered.quantiles(records.select(by, value), [by], value, [0.1, 0.25, 0.5, 0.75, 0.9]).select(F.col(by).alias("_by"), F.col("q").alias("p"))
+    s = records.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")).join(p, F.col(by).eqNullSafe(F.col("_by")), "left")
     return s.select(by, "n", "mean", *[F.get("p", i).alias(f"p{q}") for i, q in enumerate((10, 25, 50, 75, 90))])
 
 
@@ -93,4 +94,4 @@ def cosine_to_centroid(vectors: DataFrame, by: str, id_col: str, vector: str) ->
     mean = unit.select(by, F.posexplode("_u").alias("i", "x")).groupBy(by, "i").agg(F.avg("x").alias("m"))
     centre = mean.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s.m).alias("_c"))
     dot = F.aggregate(F.zip_with("_u", "_c", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return unit.join(F.broadcast(centre), by).select(id_col, by, (dot / size(F.col("_c"))).alias("cosine"))
+    return unit.join(centre, by).select(id_col, by, (dot / size(F.col("_c"))).alias("cosine"))
