@@ -74,6 +74,24 @@ def moved_to_top(jobs: DataFrame, queue: str, chosen: Column, position: str) ->
     return jobs.withColumn("new_pos", F.row_number().over(Window.partitionBy(queue).orderBy(F.desc(chosen.cast("int")), position)))
 
 
+def moved(jobs: DataFrame, queue: str, chosen: Column, position: str, where: str) -> DataFrame:
+    """jobs with new_pos (from 1) after the chosen ones went to the top or the bottom, or one place up or down, keeping their
+    order. Chosen jobs that stand together move over one neighbour as a whole; where there is none they stay."""
+    if where not in ("top", "bottom", "up", "down"):
+        raise ValueError(f"no place {where}")
+    line, mark = Window.partitionBy(queue), F.coalesce(chosen, F.lit(False))
+    if where in ("top", "bottom"):
+        first = F.desc("_chosen") if where == "top" else F.asc("_chosen")
+        return jobs.withColumn("_chosen", mark).withColumn("new_pos", F.row_number().over(line.orderBy(first, position))).drop("_chosen")
+    step = -1 if where == "up" else 1
+    rows = jobs.withColumns({"_chosen": mark, "_at": F.row_number().over(line.orderBy(position))})
+    # a job that is not chosen, with the chosen ones that stand right behind it (or before it, on the way down)
+    rows = rows.withColumn("_g", F.sum((~F.col("_chosen")).cast("int")).over(line.orderBy(F.asc("_at") if where == "up" else F.desc("_at"))))
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(queue, "_g")) - 1)
+    new = F.when(~F.col("_chosen"), F.col("_at") - step * F.col("_n")).otherwise(F.col("_at") + F.when(F.col("_g") > 0, step).otherwise(0))
+    return rows.withColumn("new_pos", new.cast("int")).drop("_chosen", "_at", "_g", "_n")
+
+
 def finish_times(jobs: DataFrame, queue: str, position: str, seconds: str) -> DataFrame:
     """When jobs of a queue end that run one after another."""
     done = F.sum(seconds).over(Window.partitionBy(queue).orderBy(position).rowsBetween(Window.unboundedPreceding, 0))
@@ -134,3 +152,16 @@ def greedy_marks(rows: DataFrame, by: str, order: str, seconds: str, least_s: fl
 
     return listed.select(by, F.aggregate("l", empty, step, lambda s: s.marks).alias("marks"))
 
+
+
+def bridges(chapters: DataFrame, by: str, order: str, seconds: str, interval_s: float, choices: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """by and order of the chapters that begin with music: those that `greedy_marks` recommends, or, for a book that has a
+    list of its own (`own`: by, order), that list; then the chapters that `choices` (by, order, turned: on or off) turns on
+    are added and those that it turns off are taken away. The first chapter of a book never has any. A choice or entry for a
+    chapter that there is not is kept, as it may yet come."""
+    marks = greedy_marks(chapters, by, order, seconds, interval_s).select(by, F.explode("marks").alias(order))
+    if own is not None:
+        marks = marks.join(own.select(by).distinct(), by, "left_anti").unionByName(own.select(by, order))
+    on, off = (choices.where(F.col("turned") == t).select(by, order) for t in ("on", "off"))
+    first = chapters.groupBy(by).agg(F.min(order).alias(order))
+    return marks.unionByName(on).distinct().join(off, [by, order], "left_anti").join(first, [by, order], "left_anti")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quirespark.operators import answers
 from quirespark.operators import events as E
 from quirespark.plans.registry import query
 from quirespark.shared import table
@@ -123,3 +124,68 @@ def bulk_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 def learnt_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A limit that is only ever lowered is a minimum."""
     return _events(spark, sf_dir).groupBy("event_type").agg(F.min(F.greatest(F.lit(3.5), F.col("value") - 300)).alias("limit_s"))
+
+
+_MOVED = """WITH o AS (SELECT *, o_orderpriority = '1-URGENT' AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders),
+g AS (SELECT *, sum((NOT c)::INTEGER) OVER (PARTITION BY o_custkey ORDER BY place) AS u, sum((NOT c)::INTEGER) OVER (PARTITION BY o_custkey ORDER BY place DESC) AS d FROM o),
+n AS (SELECT *, count(*) OVER (PARTITION BY o_custkey, u) - 1 AS nu, count(*) OVER (PARTITION BY o_custkey, d) - 1 AS nd FROM g)"""
+
+
+@query(f"""
+{_MOVED}
+SELECT o_orderkey, (CASE WHEN NOT c THEN place + nu WHEN u > 0 THEN place - 1 ELSE place END)::INTEGER AS up, (CASE WHEN NOT c THEN place - nd WHEN d > 0 THEN place + 1 ELSE place END)::INTEGER AS down,
+ row_number() OVER (PARTITION BY o_custkey ORDER BY c::INTEGER, o_orderkey)::INTEGER AS bottom FROM n
+""")
+def moved_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urgent orders one place up, one down, or to the end."""
+    jobs = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    for where in ("up", "down", "bottom"):
+        jobs = E.moved(jobs, "o_custkey", F.col("o_orderpriority") == "1-URGENT", "o_orderkey", where).withColumnRenamed("new_pos", where)
+    return jobs.select("o_orderkey", "up", "down", "bottom")
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT conv_id, turn, 300 + length(coalesce(text, '')) % 600 AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+k AS (SELECT *, coalesce(sum(s) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS clock FROM c),
+w AS (SELECT conv_id, n, turn, 0::BIGINT AS since, false AS marked FROM k WHERE n = 1
+ UNION ALL SELECT k.conv_id, k.n, k.turn, CASE WHEN k.clock - w.since >= 900 THEN k.clock ELSE w.since END, k.clock - w.since >= 900 FROM w JOIN k ON k.conv_id = w.conv_id AND k.n = w.n + 1),
+m AS (SELECT conv_id, turn FROM w WHERE marked UNION SELECT conv_id, turn FROM c WHERE (conv_id + turn) % 7 = 0)
+SELECT m.conv_id, m.turn FROM m JOIN c USING (conv_id, turn) WHERE c.n > 1 AND NOT ((m.conv_id + m.turn) % 7 <> 0 AND (m.conv_id + m.turn) % 5 = 0)
+""")
+def bridge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as chapters that begin with music: every quarter of an hour, changed by one's own choices."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", (300 + F.pmod(F.char_length(F.coalesce("text", F.lit(""))), F.lit(600))).cast("double").alias("seconds"))
+    k = F.col("conv_id") + F.col("turn")
+    choices = c.select("conv_id", "turn", F.when(k % 7 == 0, "on").when(k % 5 == 0, "off").alias("turned"))
+    return E.bridges(c, "conv_id", "turn", "seconds", 900, choices)
+
+
+_CLOCK = "CASE WHEN {0} >= 3600 THEN printf('%dh %02dm', {0} // 3600, {0} % 3600 // 60) ELSE printf('%dm %02ds', {0} // 60, {0} % 60) END"
+
+
+@query(f"""
+WITH j AS (SELECT o_custkey % 50 AS queue, o_orderkey AS job, 'Order ' || o_orderkey AS title, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'queued' ELSE CASE WHEN row_number() OVER (PARTITION BY o_custkey % 50, o_orderstatus ORDER BY o_orderkey) = 1 THEN 'running' ELSE 'held' END END AS status,
+ floor(o_totalprice / 100)::BIGINT AS s, strftime(o_orderdate, '%Y-%m-%d') AS finished FROM orders),
+a AS (SELECT *, sum(CASE WHEN status <> 'held' THEN s ELSE 0 END) OVER w AS due, row_number() OVER w AS n FROM j WHERE status <> 'done' WINDOW w AS (PARTITION BY queue ORDER BY (status <> 'running')::INTEGER, job ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT queue, string_agg(n || '. ' || title || ' — ' || status || ', ' || CASE WHEN status = 'held' THEN 'saved for later' ELSE 'done in ' || {_CLOCK.format("due::BIGINT")} END, chr(10) ORDER BY n) AS t FROM a GROUP BY queue),
+r AS (SELECT queue, 'Making “' || title || '”: ' || (100 * (job % 30) // 30) || '% (' || (job % 30) || ' of 30)' || chr(10) || 'Done in ' || {_CLOCK.format("due::BIGINT")} AS t FROM a WHERE status = 'running'),
+x AS (SELECT queue, arg_min(title, n) AS title FROM a WHERE status = 'queued' GROUP BY queue),
+f AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY finished DESC, job DESC) AS n FROM j WHERE status = 'done'),
+d AS (SELECT queue, string_agg(n || '. ✓ ' || title || ' — ' || finished, chr(10) ORDER BY n) AS t FROM f WHERE n <= 12 GROUP BY queue),
+m AS (SELECT conv_id, turn, conv_id % 50 AS queue, (turn % 4)::INTEGER AS k FROM conversations)
+SELECT conv_id, turn, CASE k WHEN 0 THEN 'current' WHEN 1 THEN 'queue' WHEN 2 THEN 'done' END AS command, md5(CASE k WHEN 0 THEN coalesce(r.t, 'Nothing is being made right now. Next: “' || x.title || '”.', 'Nothing is being made and nothing is waiting.')
+ WHEN 1 THEN coalesce(q.t, 'The queue is empty.') WHEN 2 THEN coalesce(d.t, 'Nothing has finished yet.') END) AS answer
+FROM m LEFT JOIN r USING (queue) LEFT JOIN x USING (queue) LEFT JOIN q USING (queue) LEFT JOIN d USING (queue)
+""")
+def command_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as messages to queues of orders, which answer what is made, what waits and what was done."""
+    o = table(spark, sf_dir, "orders").withColumn("queue", F.pmod("o_custkey", F.lit(50)))
+    first = F.row_number().over(Window.partitionBy("queue", "o_orderstatus").orderBy("o_orderkey")) == 1
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "queued").when(first, "running").otherwise("held")
+    jobs = o.select(
+        "queue", F.col("o_orderkey").alias("job"), F.concat(F.lit("Order "), "o_orderkey").alias("title"), status.alias("status"), F.col("o_orderkey").alias("position"), F.pmod("o_orderkey", F.lit(30)).alias("done"), F.lit(30).alias("total"),
+        F.floor(F.col("o_totalprice") / 100).alias("seconds"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("finished"), F.lit(None).cast("string").alias("note"),
+    )
+    text = F.get(F.array(*map(F.lit, ["Status!", " Queue.", "finished", "hello there"])), F.pmod("turn", F.lit(4)).cast("int"))
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.pmod("conv_id", F.lit(50)).alias("queue"), text.alias("text"))
+    return answers.answered(messages, answers.states(jobs)).select("conv_id", "turn", "command", F.md5("answer").alias("answer"))
