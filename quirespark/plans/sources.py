@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirespark.plans.registry import query
 from quirespark.shared import table
-from quirespark.sources import readers, sinks, web
+from quirespark.sources import epub, readers, sinks, web
 from quirespark.streaming import events as S
 
 _RAW = r"""(SELECT page_id, unnest(range(0, len(bs))) AS pos, unnest(bs) AS raw FROM (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
@@ -139,6 +139,21 @@ def epub_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.zipped_blocks(files)
 
 
+@query(r"""
+WITH p AS (SELECT conv_id, turn, role, regexp_split_to_array(text, '\n[ \t]*\n') AS ps FROM conversations WHERE trim(text, ' ' || chr(10)) <> ''),
+b AS (SELECT conv_id, turn, 0 AS k, 'Part ' || role AS text FROM p UNION ALL SELECT conv_id, turn, unnest(range(1, len(ps) + 1)), unnest(ps) FROM p),
+n AS (SELECT conv_id, turn, k, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM b WHERE trim(text, ' ' || chr(10)) <> ''),
+t AS (SELECT conv_id, turn, string_agg(text, chr(10) || chr(10) ORDER BY k) AS text FROM n GROUP BY conv_id, turn),
+c AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '(?m)^[ \t]*[0-9]{3,4}[ \t]*$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM t)
+SELECT conv_id || '.epub' AS path, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INTEGER AS chapter, 'Part ' || role AS title, md5(c.text) AS digest FROM c JOIN conversations USING (conv_id, turn) WHERE length(c.text) >= 200
+""")
+def epub_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as EPUB and read as chapters, whose titles stand in the contents; short pages are none."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("index"), F.concat(F.lit("Part "), "role").alias("title"), "text")
+    files = sinks.epub_files(c).select(F.concat(F.col("book").cast("string"), F.lit(".epub")).alias("path"), "content")
+    return epub.chapters(files).select("path", "chapter", "title", F.md5("text").alias("digest"))
+
+
 @query("""
 WITH w AS (SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, event_type, count(*) AS n FROM events GROUP BY 1, 2)
 SELECT start_s, event_type, n FROM w WHERE start_s + 3600 <= (SELECT epoch(max(ts)) FROM events) - 600
