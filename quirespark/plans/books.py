@@ -159,16 +159,22 @@ def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id").join(kept, "doc_id", "left").select("doc_id", F.coalesce("letters", F.lit(0)).alias("letters"))
 
 
-_TITLES = ["LETTER FROM WENDELL PHILLIPS", "THE HOUSE OF THE DEAD", "II. THE FALLING STAR", "A Quiet Day", "OF MICE: A TALE", "XIV", "THE END OF AN AGE AND THE START OF ANOTHER ONE FOR US ALL TODAY"]
 
 
-@query("""
-SELECT * FROM (VALUES ('A Quiet Day', 'A Quiet Day'), ('II. THE FALLING STAR', 'II. The Falling Star'), ('LETTER FROM WENDELL PHILLIPS', 'Letter from Wendell Phillips'),
- ('OF MICE: A TALE', 'Of Mice: A Tale'), ('THE END OF AN AGE AND THE START OF ANOTHER ONE FOR US ALL TODAY', 'THE END OF AN AGE AND THE START OF ANOTHER ONE FOR US ALL TODAY'),
- ('THE HOUSE OF THE DEAD', 'The House of the Dead'), ('XIV', 'XIV')) AS t(title, fixed)
+_HEAD = "list_transform(list_filter(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: upper(w))[1:9]"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_HEAD} AS ws FROM documents), t AS (SELECT doc_id, list_transform(ws, lambda w, i: CASE WHEN i = 3 THEN w || ':' ELSE w END) AS ps FROM d),
+f AS (SELECT doc_id, ps, array_to_string(ps, ' ') AS t FROM t)
+SELECT doc_id, CASE WHEN length(regexp_replace(t, '[^A-Z]', '', 'g')) >= 3 THEN array_to_string(list_transform(ps, lambda w, i: CASE WHEN regexp_matches(w, '^[IVXLCDM]+\\.?$') THEN w
+ WHEN lower(w) IN ({", ".join(f"'{w}'" for w in T.SMALL_WORDS)}) AND i > 1 AND NOT regexp_matches(ps[i - 1], '[.:]$') THEN lower(w) ELSE w[1] || lower(w[2:]) END), ' ') ELSE t END AS fixed FROM f
 """)
 def title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in _TITLES], "title string").select("title", T.title_case(F.col("title")).alias("fixed"))
+    """The first nine words of each document as a heading in capitals."""
+    words = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "), " ", -1), lambda w: w != "")
+    title = F.array_join(F.transform(F.slice(F.transform(words, F.upper), 1, 9), lambda w, i: F.when(i == 2, F.concat(w, F.lit(":"))).otherwise(w)), " ")
+    return table(spark, sf_dir, "documents").select("doc_id", T.title_case(title).alias("fixed"))
 
 
 @query("""
@@ -189,3 +195,9 @@ SELECT source, sum(n)::BIGINT AS n_rows, sha1(string_agg(h, '' ORDER BY part)) A
 """)
 def changed_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.fingerprint(table(spark, sf_dir, "documents"), "source", ["lang", "text"], "doc_id").select("source", "n_rows", "fingerprint")
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 10")
+def kept_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as saved versions of a user's work, of which the newest ten stay."""
+    return books.newest_versions(table(spark, sf_dir, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], 10).select("user_id", "event_id")

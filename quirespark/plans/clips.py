@@ -54,13 +54,14 @@ def best_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips.best_attempts(a, "clip_group", "attempt").select("clip_group", "best", F.round("badness", 6).alias("badness"))
 
 
-_TAKES = [("a", [0.25]), ("b", [0.35]), ("c", [0.35, 0.38]), ("d", [0.9, 0.2]), ("e", [0.9])]
-
-
-@query("SELECT * FROM (VALUES ('a', true), ('b', false), ('c', true), ('d', true), ('e', false)) AS t(name, due)")
+@query("""
+SELECT l_orderkey, len(list_filter(t, lambda x: x < 0.3)) >= 1 OR len(list_filter(t, lambda x: x < 0.4)) >= 2 OR len(list_filter(t, lambda x: x < 0.5)) >= 3 OR len(list_filter(t, lambda x: x < 0.6)) >= 4 AS due
+FROM (SELECT l_orderkey, list(l_discount * 9 + 0.2::DOUBLE) AS t FROM lineitem GROUP BY l_orderkey)
+""")
 def takes_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_TAKES, "name string, takes array<double>")
-    return rows.select("name", clips.take_due(F.col("takes"), [(0.3, 1), (0.4, 2), (0.5, 3), (0.6, 4), (0.7, 5)]).alias("due"))
+    """Orders whose lineitems, as scores of takes, are low often enough to be recorded anew."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_discount") * 9 + 0.2).alias("takes"))
+    return rows.select("l_orderkey", clips.take_due(F.col("takes"), [(0.3, 1), (0.4, 2), (0.5, 3), (0.6, 4)]).alias("due"))
 
 
 @query("""
@@ -104,13 +105,17 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT * FROM (VALUES ('a', 'x', '2', 'user'), ('b', 'q', 'q', NULL), ('c', 'm', 'n', NULL), ('d', 'w', 'z', 'user')) AS t(term, ipa, respell, edited_by)
+WITH c AS (SELECT p_partkey AS term, p_name AS ipa, p_brand AS respell, p_partkey % 4 AS k FROM part),
+x AS (SELECT *, CASE WHEN k = 1 THEN 'old' ELSE ipa END AS s_ipa, respell AS s_respell, CASE WHEN k = 1 THEN 'old' WHEN k = 2 THEN NULL ELSE ipa END AS e_ipa, CASE WHEN k >= 2 THEN respell || '!' ELSE respell END AS e_respell FROM c),
+w AS (SELECT *, e_ipa IS DISTINCT FROM ipa AND e_ipa IS DISTINCT FROM s_ipa AND e_ipa IS NOT NULL AS a, e_respell IS DISTINCT FROM respell AND e_respell IS DISTINCT FROM s_respell AND e_respell IS NOT NULL AS b FROM x)
+SELECT term, CASE WHEN a THEN e_ipa ELSE ipa END AS ipa, CASE WHEN b THEN e_respell ELSE respell END AS respell, CASE WHEN a OR b THEN 'user' END AS edited_by FROM w
 """)
 def three_way_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = "term string, ipa string, respell string"
-    now = spark.createDataFrame([("a", "x", "1"), ("b", "q", "q"), ("c", "m", "n"), ("d", "w", "y")], kind)
-    snap = spark.createDataFrame([("a", "x", "1"), ("b", "old", "q"), ("c", "m", "n"), ("d", "v", "y")], kind)
-    edit = spark.createDataFrame([("a", "x", "2"), ("b", "old", "q"), ("c", "m", None), ("d", "v", "z")], kind)
+    """Parts as entries: what changed since the snapshot stays, what was edited counts, what was emptied does not."""
+    k = F.col("term") % 4
+    now = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("term"), F.col("p_name").alias("ipa"), F.col("p_brand").alias("respell"))
+    snap = now.withColumn("ipa", F.when(k == 1, "old").otherwise(F.col("ipa")))
+    edit = now.withColumns({"ipa": F.when(k == 1, "old").when(k == 2, None).otherwise(F.col("ipa")), "respell": F.when(k >= 2, F.concat("respell", F.lit("!"))).otherwise(F.col("respell"))})
     return clips.three_way(now, snap, edit, "term", ["ipa", "respell"])
 
 

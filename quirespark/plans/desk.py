@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirespark.functions import script as S
-from quirespark.operators import desk
+from quirespark.operators import books, clips, desk
+from quirespark.plans.books import _SENT as _SENT_TABLE
 from quirespark.plans.registry import query
 from quirespark.shared import table
 
@@ -20,20 +21,27 @@ def _given(spark: SparkSession, values: dict, kind: str) -> DataFrame:
     return spark.createDataFrame([(k,) for k in values], f"{kind} string")
 
 
-_ASKED = {"Are you there": True, "Where is your brother": True, "What time is it": True, "When I awoke": False, "What you will want we do not know": False, "Is John here": True, "He is there": False, "Why": False}
+def _in(words: list[str]) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
 
-@query(f"SELECT * FROM (VALUES {_rows(_ASKED)}) AS t(sentence, question)")
+@query(f"""
+WITH s AS (SELECT doc_id, para, sent, regexp_extract_all(ltrim(replace(sentence, '’', ''''), '"“‘''([ '), '[\\p{{L}}\\p{{N}}_'']+')[1:5] AS w FROM {_SENT_TABLE})
+SELECT doc_id, para::INTEGER AS para, sent::INTEGER AS sent, len(w) >= 2 AND (coalesce(lower(w[1]) IN {_in(S.AUXILIARIES)} AND (lower(w[2]) IN {_in(S.SUBJECTS)} OR regexp_matches(w[2], '^\\p{{Lu}}')), false)
+ OR coalesce(lower(w[1]) IN {_in(S.QUESTION_WORDS)}, false) AND (coalesce(lower(w[2]) IN {_in(S.AUXILIARIES)}, false) OR coalesce(lower(w[3]) IN {_in(S.AUXILIARIES)} AND lower(w[2]) NOT IN {_in(S.PRONOUNS)}, false)
+ OR coalesce(lower(w[4]) IN {_in(S.AUXILIARIES)} AND lower(w[2]) NOT IN {_in(S.PRONOUNS)} AND lower(w[3]) NOT IN {_in(S.PRONOUNS)}, false))) AS question FROM s
+""")
 def question_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _given(spark, _ASKED, "sentence").select("sentence", S.looks_like_question(F.col("sentence")).alias("question"))
-
-
-_MARKED = {"Are you there.”": "Are you there?”", "Where…": "Where?", "So it is": "So it is?"}
+    """Which sentences of the documents have the form of a question."""
+    s = books.sentence_rows(table(spark, sf_dir, "documents"))
+    return s.select("doc_id", "para", "sent", S.looks_like_question(F.col("sentence")).alias("question"))
 
 
-@query(f"SELECT * FROM (VALUES {_rows(_MARKED)}) AS t(sentence, marked)")
+@query(f"""SELECT doc_id, para::INTEGER AS para, sent::INTEGER AS sent, md5(regexp_replace(rtrim(sentence), '(?s)^(.*?)[.…]*(["”’'')\\]]*)$', '\\1?\\2')) AS digest FROM {_SENT_TABLE}""")
 def question_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _given(spark, _MARKED, "sentence").select("sentence", S.with_question_mark(F.col("sentence")).alias("marked"))
+    """Every sentence of the documents with a question mark for its stop."""
+    s = books.sentence_rows(table(spark, sf_dir, "documents"))
+    return s.select("doc_id", "para", "sent", F.md5(S.with_question_mark(F.col("sentence"))).alias("digest"))
 
 
 @query("SELECT doc_id, len(q)::INTEGER AS quotes, coalesce(list_sum(list_transform(q, lambda x: length(x))), 0)::INTEGER AS chars FROM (SELECT doc_id, regexp_extract_all(text, '[“\"]([^”\"]+)[”\"]', 1) AS q FROM documents)")
@@ -80,9 +88,12 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", S.slug(F.concat("p_brand", F.lit(" & "), "p_type")).alias("slug"), S.stars(F.pmod("p_size", F.lit(6))).alias("stars"))
 
 
-@query("SELECT * FROM (VALUES ('clone:anna@f5', 'clone', 'anna', 'f5', 'clone:anna@f5'), ('preset:bob', 'preset', 'bob', NULL, 'preset:bob')) AS t(key, kind, name, engine, again)")
+@query("SELECT c_custkey, key, kind, name, nullif(engine, '') AS engine, key AS again FROM (SELECT *, kind || ':' || name || CASE WHEN engine = '' THEN '' ELSE '@' || engine END AS key FROM (SELECT c_custkey, lower(c_mktsegment) AS kind, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'e' || c_nationkey END AS engine FROM customer))")
 def voice_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.createDataFrame([("clone:anna@f5",), ("preset:bob",)], "key string").select("key", S.voice_of(F.col("key")).alias("v")).select("key", "v.*")
+    """Customers as keys of voices, taken apart and put together again."""
+    engine = F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(F.lit("@e"), "c_nationkey"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lower("c_mktsegment"), F.lit(":"), "c_name", engine).alias("key"))
+    v = c.select("c_custkey", "key", S.voice_of(F.col("key")).alias("v")).select("c_custkey", "key", "v.*")
     return v.withColumn("again", S.voice_key(F.col("kind"), F.col("name"), F.col("engine")))
 
 
@@ -388,9 +399,12 @@ def ticked_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").join(ticked, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT * FROM (VALUES ('Ann', 'An', 0.9::DOUBLE, true), ('Bob', 'Bahb', 0.7::DOUBLE, false)) AS t(name, spelling, score, adopt)")
+@query("""
+WITH s AS (SELECT l_partkey AS name, 's' || l_linenumber AS spelling, 0.5::DOUBLE + l_discount * 5 AS score, 0.6::DOUBLE + l_partkey % 10 / 40.0::DOUBLE AS plain FROM lineitem),
+b AS (SELECT name, arg_max(spelling, {'a': score, 'b': spelling}) AS spelling, max(score) AS score, any_value(plain) AS plain FROM s GROUP BY name)
+SELECT name, spelling, round(score, 6) AS score, score >= 0.8 AND score >= plain + 0.15::DOUBLE AS adopt FROM b
+""")
 def adopted_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quirespark.operators import clips
-
-    rows = [("Ann", "An", 0.9, 0.6), ("Ann", "Ahn", 0.8, 0.6), ("Bob", "Bahb", 0.7, 0.5)]
-    return clips.adopted(spark.createDataFrame(rows, "name string, spelling string, score double, plain double"), "name", "plain", "score").drop("plain")
+    """Lineitems as scored spellings of parts; the best is adopted where it beats the plain one clearly."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("name"), F.concat(F.lit("s"), "l_linenumber").alias("spelling"), (0.5 + F.col("l_discount") * 5).alias("score"), (0.6 + F.col("l_partkey") % 10 / 40.0).alias("plain"))
+    return clips.adopted(rows, "name", "plain", "score").select("name", "spelling", F.round("score", 6).alias("score"), "adopt")

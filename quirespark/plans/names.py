@@ -230,10 +230,15 @@ def passage_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.best_passages(table(spark, sf_dir, "benchmark"), "item_id", _docs(spark, sf_dir), "doc_id").drop("chapter")
 
 
-@query("SELECT * FROM (VALUES ('Go home', 'Anna', 'Anna', true), ('I will', 'Bob', 'Carl', false)) AS t(prefix, speaker, found, \"right\")")
+@query("""
+WITH l AS (SELECT conv_id * 1000 + turn AS pos, text, role AS said FROM conversations), g AS (SELECT DISTINCT left(text, 24) AS prefix, role AS speaker FROM conversations WHERE turn % 2 = 0 AND length(text) >= 24)
+SELECT prefix, speaker, arg_min(said, pos) AS found, arg_min(said, pos) = speaker AS "right" FROM g JOIN l ON left(text, 12) = left(prefix, 12) AND starts_with(text, prefix) GROUP BY prefix, speaker
+""")
 def gold_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.createDataFrame([(1, "Go home, said she", "Anna"), (2, "I will not", "Carl"), (3, "I will", "Bob")], "pos int, text string, speaker string")
-    return align.first_speaker(spark.createDataFrame([("Go home", "Anna"), ("I will", "Bob"), ("Never", "Dan")], "prefix string, speaker string"), lines, chars=6)
+    """Beginnings of turns against the first turn that begins so: whether the speakers agree."""
+    c = table(spark, sf_dir, "conversations")
+    gold = c.where("turn % 2 = 0 AND char_length(text) >= 24").select(F.left("text", F.lit(24)).alias("prefix"), F.col("role").alias("speaker")).distinct()
+    return align.first_speaker(gold, c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), "text", F.col("role").alias("speaker")))
 
 
 @query("SELECT * FROM (VALUES (0, 'Ann'), (1, 'Bob'), (2, 'Ann'), (3, 'Bob')) AS t(pos, speaker)")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirespark.plans.registry import query
-from quirespark.shared import table
+from quirespark.shared import new_path, table
 from quirespark.sources import epub, readers, sinks, web
 from quirespark.streaming import events as S
 
@@ -189,3 +189,12 @@ def job_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = S.drained(S.job_states(S.event_stream(spark, sf_dir)), "jobs", "update")
     last = s.groupBy("user_id").agg(F.max_by(F.struct("restarts", "status", "seen"), "_batch").alias("s"))
     return last.select("user_id", "s.*")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'unknown' ELSE role END AS role, md5(coalesce(text, '')) AS digest FROM conversations")
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as JSON, some without a role, and read with a schema and defaults."""
+    path = new_path(spark, "json")
+    table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 != 0, F.col("role")).alias("role"), "text").write.json(path)
+    rows = readers.json_rows(spark, f"{path}/*.json", "conv_id long, turn long, role string, text string", {"role": "unknown", "text": ""})
+    return rows.select("conv_id", "turn", "role", F.md5("text").alias("digest"))

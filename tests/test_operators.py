@@ -361,3 +361,30 @@ def test_sentences_end_where_they_do(spark):
         "It cost 3.50 p. 12 times. 7 more? (Yes.) No": ["It cost 3.50 p. 12 times.", "7 more?", "(Yes.) No"], "He ran. and ran! Then\n stopped.  ": ["He ran. and ran!", "Then\n stopped."], "Vitamin c. Xerxes sang. “St. Ives” MR. X": ["Vitamin c. Xerxes sang.", "“St. Ives” MR. X"], "": [],
     }
     assert dict(zip(given, one(spark, T.sentences, *given), strict=True)) == given
+
+
+def test_known_values_of_small_functions(spark):
+    from quirespark.functions import script as S
+
+    titles = {
+        "A Quiet Day": "A Quiet Day", "II. THE FALLING STAR": "II. The Falling Star", "LETTER FROM WENDELL PHILLIPS": "Letter from Wendell Phillips", "OF MICE: A TALE": "Of Mice: A Tale", "THE HOUSE OF THE DEAD": "The House of the Dead", "XIV": "XIV",
+        "THE END OF AN AGE AND THE START OF ANOTHER ONE FOR US ALL TODAY": "THE END OF AN AGE AND THE START OF ANOTHER ONE FOR US ALL TODAY",
+    }
+    assert one(spark, T.title_case, *titles) == list(titles.values())
+    asked = {"Are you there": True, "Where is your brother": True, "What time is it": True, "When I awoke": False, "What you will want we do not know": False, "Is John here": True, "He is there": False, "Why": False}
+    assert one(spark, S.looks_like_question, *asked) == list(asked.values())
+    assert one(spark, S.with_question_mark, "Are you there.”", "Where…", "So it is") == ["Are you there?”", "Where?", "So it is?"]
+    assert [tuple(v) for v in one(spark, S.voice_of, "clone:anna@f5", "preset:bob")] == [("clone", "anna", "f5"), ("preset", "bob", None)]
+    takes = [[0.25], [0.35], [0.35, 0.38], [0.9, 0.2], [0.9]]
+    due = one(spark, lambda t: clips.take_due(t, [(0.3, 1), (0.4, 2), (0.5, 3), (0.6, 4), (0.7, 5)]), *takes, kind="array<double>")
+    assert due == [True, False, True, True, False]
+    kind = "term string, ipa string, respell string"
+    now = spark.createDataFrame([("a", "x", "1"), ("b", "q", "q"), ("c", "m", "n"), ("d", "w", "y")], kind)
+    snap = spark.createDataFrame([("a", "x", "1"), ("b", "old", "q"), ("c", "m", "n"), ("d", "v", "y")], kind)
+    edit = spark.createDataFrame([("a", "x", "2"), ("b", "old", "q"), ("c", "m", None), ("d", "v", "z")], kind)
+    assert sorted(tuple(r) for r in clips.three_way(now, snap, edit, "term", ["ipa", "respell"]).collect()) == [("a", "x", "2", "user"), ("b", "q", "q", None), ("c", "m", "n", None), ("d", "w", "z", "user")]
+    scored = spark.createDataFrame([("Ann", "An", 0.9, 0.6), ("Ann", "Ahn", 0.8, 0.6), ("Bob", "Bahb", 0.7, 0.5)], "name string, spelling string, score double, plain double")
+    assert sorted((r.name, r.spelling, r.adopt) for r in clips.adopted(scored, "name", "plain", "score").collect()) == [("Ann", "An", True), ("Bob", "Bahb", False)]
+    lines = spark.createDataFrame([(1, "Go home, said she", "Anna"), (2, "I will not", "Carl"), (3, "I will", "Bob")], "pos int, text string, speaker string")
+    gold = spark.createDataFrame([("Go home", "Anna"), ("I will", "Bob"), ("Never", "Dan")], "prefix string, speaker string")
+    assert sorted((r.prefix, r.found, r.right) for r in align.first_speaker(gold, lines, chars=6).collect()) == [("Go home", "Anna", True), ("I will", "Carl", False)]
