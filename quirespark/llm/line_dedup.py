@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from quirespark.llm.rows import keyed, whole_rows
 from quirespark.shared import discard, new_path, partitions, table
 
+#: A larger table has larger batches, not more of them: they are taken one after another.
+MOST_BATCHES = 64
 _BLANKS = " \t\n\x0b\x0c\r"
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -49,7 +51,8 @@ def _run_scans(spark: SparkSession):
     wanted = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.PushDownLeftSemiAntiJoin"}
     before = {name: spark.conf.get(name, None) for name in wanted}
     for name, value in wanted.items():
-        spark.conf.set(name, value)
+        own = before[name] if name.endswith("excludedRules") else None  # what the caller leaves out stays left out
+        spark.conf.set(name, f"{own},{value}" if own else value)
     try:
         yield
     finally:
@@ -136,7 +139,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
 
     Returns one row per input row: the id, n_lines (before), n_dropped, kept_text (the other lines joined by \\n).
     Texts are split at \\n. Keys of fewer than min_chars code points are never dropped. A batch has about task_lines
-    lines for each shuffle partition of the session, whatever the size of the table.
+    lines for each shuffle partition of the session, or more where that would make more than MOST_BATCHES of them.
 
     Null and empty texts have one empty line, which stays (its key has no code point). A line that a document repeats
     counts once for it, and all its repeats go. Rows that repeat an id, or have none, count as further documents. An
@@ -157,23 +160,28 @@ def _marked(own: DataFrame, min_docs: int, min_chars: int, task_lines: int) -> D
     """own with gone, a flag for each of its first lines, true where it goes (null: none does)."""
     spark = own.sparkSession
     n_lines = own.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
-    batches = max(1, -(-n_lines // (task_lines * partitions(spark))))
+    parts = partitions(spark)
+    batches = min(MOST_BATCHES, max(1, -(-n_lines // (task_lines * parts))))
     keys = F.transform(lines_of(F.col("text")), line_key)
     long_enough = (lambda k: F.octet_length(k) > 0) if min_chars == 1 else (lambda k: F.char_length(k) >= min_chars)
     marks = F.transform(keys, lambda k, i: F.struct(F.when(long_enough(k), F.xxhash64(k)).alias("h"), F.hash(k).alias("g"), i.alias("i")))
     rows = own.select("key", F.inline(marks)).where("h IS NOT NULL")
     staged = new_path(spark, "lines")
+    # dealt by batch and document, a task holds few batches: about four files for each partition, however many batches
+    deal = {"batch": F.pmod(F.hash("key"), F.lit(batches)), "deal": F.pmod(F.xxhash64("key"), F.lit(-(-4 * parts // batches)))}
+    dealt = rows.withColumns(deal).repartition(parts, "batch", "deal")
     (
-        rows.groupBy("h", "g", "key").agg(F.collect_list("i").alias("at"))
-        .withColumn("batch", F.pmod(F.hash("key"), F.lit(batches)))
+        dealt.groupBy("batch", "deal", "h", "g", "key").agg(F.collect_list("i").alias("at")).select("h", "g", "key", "at", "batch")
         .write.option("compression", "zstd").partitionBy("batch").parquet(staged)
     )
     lines = spark.read.schema("h long, g int, key long, at array<int>, batch int").parquet(staged)
     runs = LineRuns(spark)
-    for b in range(batches):
-        runs.ingest(lines.where(F.col("batch") == b).select("h", "g", "key"), min_docs)
-    gone = lines.select("h", "g", "key", "at").join(runs.frequent(min_docs).select("h", "g"), ["h", "g"], "left_semi")
-    runs.close()
+    try:
+        for b in range(batches):
+            runs.ingest(lines.where(F.col("batch") == b).select("h", "g", "key"), min_docs)
+        gone = lines.select("h", "g", "key", "at").join(runs.frequent(min_docs).select("h", "g"), ["h", "g"], "left_semi")
+    finally:
+        runs.close()
     gone = gone.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
     return own.join(gone.select("key", flags_at(F.col("at")).alias("gone")).hint("shuffle_hash"), "key", "left")
 

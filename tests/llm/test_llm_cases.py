@@ -199,6 +199,40 @@ def test_lines_in_many_batches(spark):
         assert got == {i: "\n".join(x for x in t.split("\n") if not x or held[x] < 20) for i, t in enumerate(texts)}
 
 
+def test_more_batches_make_no_more_files(spark, monkeypatch, tmp_path):
+    import glob
+    import uuid
+
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws("\n", F.lit("all have this"), *[F.concat(F.lit(f"{k} "), F.col("id") % (k + 2)) for k in range(20)]).alias("text"))
+    counts, results = [], []
+    for task_lines in (1 << 20, 400, 10):  # one batch, five, and more than there may be
+        monkeypatch.setattr(line_dedup, "new_path", lambda spark, name, at=str(tmp_path / str(task_lines)): f"file://{at}/{name}-{uuid.uuid4().hex}")
+        results.append({r.doc_id: r.kept_text for r in line_dedup.drop_frequent_lines(docs, min_docs=30, task_lines=task_lines).collect()})
+        counts.append((len(glob.glob(str(tmp_path / str(task_lines) / "lines-*" / "batch=*"))), len(glob.glob(str(tmp_path / str(task_lines) / "lines-*" / "batch=*" / "*.parquet")))))
+    assert results[0] == results[1] == results[2] and [c[0] for c in counts] == [1, 6, line_dedup.MOST_BATCHES]
+    assert counts[0][1] <= 4 and counts[1][1] <= 6 * 4 and counts[2][1] <= 64 + 4 * 4  # far below batches x partitions
+
+
+def test_a_failure_leaves_no_runs_and_rules_stay_excluded(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a\nb"), (2, "a")], "doc_id int, text string")
+    rules, other = "spark.sql.optimizer.excludedRules", "org.apache.spark.sql.catalyst.optimizer.CombineConcats"
+    spark.conf.set(rules, other)
+    try:
+        with line_dedup._run_scans(spark):
+            assert spark.conf.get(rules).startswith(other + ",")
+        assert spark.conf.get(rules) == other
+    finally:
+        spark.conf.unset(rules)
+
+    def fail(self, at_least):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(line_dedup.LineRuns, "frequent", fail)
+    with pytest.raises(RuntimeError, match="lost"):
+        line_dedup.drop_frequent_lines(docs, min_docs=2)
+    assert not spark.sql("SHOW TABLES LIKE 'line_run_*'").collect()
+
+
 def test_a_document_of_many_dropped_lines_takes_linear_time(spark):
     docs = spark.createDataFrame([(i, "\n".join(f"line {k}" if k % 2 else f"own {i} {k}" for k in range(64_000))) for i in range(2)], "doc_id long, text string")
     began = time.perf_counter()
