@@ -91,7 +91,7 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _chunks(batches: Iterator[pa.RecordBatch], buckets: int):
     part = TaskContext.get().partitionId()
-    for k, batch in enumerate(K.slices(batches, 1, 8 << 20)):
+    for k, batch in enumerate(K.slices(batches, 1, 4 << 20)):
         data, starts, ends, counts = split_units(batch.column(1))
         h = K.span_hashes(data, starts, ends)
         codes, first = distinct(h)
