@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,8 +81,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, size: str) -> Iterator[None]:
+    """Meanwhile an Arrow batch ends once it holds `size`: what a task buffers outside the heap, and its Python worker
+    once more, is that or one row."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = freeze(stage(spark, docs, sf_dir), f"stage-{name}")
+    with _batches_of(spark, "4m"):
+        for name, stage in STAGES:
+            docs = freeze(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
