@@ -161,6 +161,7 @@ def _verify(width: int, least: float):
         np.minimum.at(low, root, keys)
         low = low[root]
         some = low != keys
+        K.give_back()
         return pa.table({"a": keys[some], "b": low[some]})
 
     return run
