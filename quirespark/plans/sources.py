@@ -100,8 +100,8 @@ c AS (SELECT *, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS c FROM t
 SELECT conv_id AS doc_id, n::BIGINT AS n, 'II' AS act, 'IV' AS scene, upper(role[1]) || lower(role[2:]) AS role, md5(string_agg(text, ' ' ORDER BY turn)) AS digest FROM i GROUP BY conv_id, n, role
 """)
 def play_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as scenes of plays."""
-    said = F.concat(F.upper("role"), F.lit(".\n[_Rises._]\n"), F.coalesce("text", F.lit("")))
+    """Conversations as scenes of plays. What is said is indented, since it may hold a line like a speaker's."""
+    said = F.concat(F.upper("role"), F.lit(".\n[_Rises._]\n "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n ")))
     plays = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", said.alias("t")))).alias("ts"))
     text = F.concat(F.lit("ACT II\nSCENE IV. A place.\n"), F.array_join(F.transform("ts", lambda x: x["t"]), "\n\n"))
     return readers.play_lines(plays.select("doc_id", text.alias("text"))).select("doc_id", "n", "act", "scene", "role", F.md5("text").alias("digest"))
