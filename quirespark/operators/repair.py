@@ -89,10 +89,10 @@ def _calm(text: Column, known: Column) -> Column:
     return _replaced(_headings(_replaced(text, PARTED, joined)), SHOUTED, calm)
 
 
-def repaired(chapters: DataFrame, frequencies: DataFrame, book: str = "book", chapter: str = "chapter", text: str = "text", names: DataFrame | None = None) -> DataFrame:
+def repaired(chapters: DataFrame, frequencies: DataFrame, book: str = "book", chapter: str = "chapter", text: str = "text", names: DataFrame | None = None, titles: bool = True) -> DataFrame:
     """chapters with the text put right: names split into pieces (D OUGLASS) joined, shouted words small (names and the
-    first word of a sentence keep their capital, short forms and numerals all), headings in title case, Esq. in full, no
-    space before a stop, and without the paragraphs that are no part of the book.
+    first word of a sentence keep their capital, short forms and numerals all), headings in title case, Esq. in full (unless
+    `titles` is false: in a text whose stops are gone those letters may be any word), no space before a stop, and without the paragraphs that are no part of the book.
 
     A word is a name if its book writes it with a capital within a sentence somewhere (`names`: book and word, in small
     letters; found in the chapters themselves if not given). frequencies (word, lang, zipf) says how common a word is in
@@ -106,7 +106,8 @@ def repaired(chapters: DataFrame, frequencies: DataFrame, book: str = "book", ch
     maps = told.groupBy(*key).agg(F.map_from_entries(F.collect_list("e")).alias("_known"))
     rows = chapters.join(maps, key, "left")
     known = F.coalesce("_known", F.expr("cast(map() as map<string, struct<name: boolean, zipf: double>>)"))
-    calm = esquire(_calm(without_cruft(F.col(text)), known))
+    calm = _calm(without_cruft(F.col(text)), known)
+    calm = esquire(calm) if titles else calm
     stops = F.regexp_replace(calm, "(?<=[A-Za-z0-9”’\"')]) +([,;:!?])", "$1")
     stops = F.regexp_replace(stops, f"(?<=[{T.LETTER}0-9]) +\\.(?=\\s|\\z|[”’\"'])", ".")
     return rows.select(*(stops.alias(c) if c == text else F.col(c) for c in chapters.columns))
