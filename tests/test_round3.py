@@ -40,3 +40,29 @@ def test_three_letters_are_no_title(spark, tmp_path):
     rows = [(1, "key aEsq/9 esq. x", "en", "x"), (2, "Esq", "en", "x"), (3, "then Anna went to esq town", "en", None)]
     got, want = held(spark, tmp_path, "repaired_texts", documents=(rows, DOCS))
     assert got.equals(want)
+
+
+def test_contexts_of_names_are_not_shuffled_whole(spark, tmp_path, capsys):
+    rows = [(1, "Der Hut. Elle sat. It was so.\n\n \nThe idiot! And der Weg.", "de", "x"), (2, "Elle", "fr", "x"), (3, None, "fr", "x"), (4, "License of Der Elle", None, None)]
+    got, want = held(spark, tmp_path, "name_context", documents=(rows, DOCS))
+    assert len(got) == 7 and got.equals(want)
+    QUERIES["name_context"](spark, f"file://{tmp_path}").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("hashpartitioning") == 1 and "SortMergeJoin" not in plan and "Window" not in plan
+
+
+def test_a_mean_at_the_bound_does_not_depend_on_how_rows_are_dealt(spark):
+    from quirespark.operators import desk
+
+    ps = [0.1, 0.2, 0.3]
+    rows = [(i, name, False, {"DE": p}) for name, order in (("up", ps), ("down", ps[::-1])) for i, p in enumerate(order)]
+    rows += [(i, "none", False, {"DE": None}) for i in range(2)]
+    sums = {name: 0.0 for name in ("up", "down")}
+    for _, name, _, p in rows[: 2 * len(ps)]:
+        sums[name] += p["DE"]
+    assert sums["up"] != sums["down"]
+    bound = max(sums.values()) / len(ps)
+    for dealt in (rows, rows[::-1], rows[1::2] + rows[::2]):
+        table = spark.createDataFrame(dealt, "o long, name string, in_dictionary boolean, probs map<string, double>").repartition(5)
+        got = {r["name"]: r.setting for r in desk.origins(table, "name", "probs", bound, order="o").collect()}
+        assert got == {n: "DE" if s == max(sums.values()) else "US" for n, s in sums.items()} | {"none": "US"}
