@@ -34,10 +34,18 @@ def guarded_fixes(chunks: DataFrame, fixes: DataFrame, key: str) -> DataFrame:
     return chunks.join(f, [key, "text"], "left").withColumn("text", F.coalesce("_new", "text")).drop("_new")
 
 
-def origins(passages: DataFrame, name: str, probs: str, least: float = 0.6, least_known: float = 0.9, home: str = "US") -> DataFrame:
-    """For each name the setting of the highest mean probability over its passages, if that is high enough."""
-    e = passages.select(name, "in_dictionary", F.explode(probs).alias("setting", "p"))
-    m = e.groupBy(name, "in_dictionary", "setting").agg(F.avg("p").alias("p"))
+def origins(passages: DataFrame, name: str, probs: str, least: float = 0.6, least_known: float = 0.9, home: str = "US", order: str | None = None) -> DataFrame:
+    """For each name the setting of the highest mean probability over its passages, if that is high enough. A mean that
+    equals the bound is above or below it by the order in which it was added up: with `order`, a column, it is added in
+    that order, however the rows are dealt out."""
+    if order:
+        w = Window.partitionBy(name, "in_dictionary", "setting").orderBy(order)
+        e = passages.select(name, "in_dictionary", order, F.explode(probs).alias("setting", "p"))
+        e = e.select(name, "in_dictionary", "setting", F.row_number().over(w).alias("k"), *(f("p").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for f, c in ((F.sum, "s"), (F.count, "n"))))
+        m = e.groupBy(name, "in_dictionary", "setting").agg((F.max_by("s", "k") / F.nullif(F.max("n"), F.lit(0))).alias("p"))
+    else:
+        e = passages.select(name, "in_dictionary", F.explode(probs).alias("setting", "p"))
+        m = e.groupBy(name, "in_dictionary", "setting").agg(F.avg("p").alias("p"))
     top = m.groupBy(name, "in_dictionary").agg(F.max_by("setting", F.struct("p", "setting")).alias("setting"), F.max("p").alias("p"))
     need = F.when(F.col("in_dictionary"), least_known).otherwise(least)
     return top.select(name, F.when(F.col("p") >= need, F.col("setting")).otherwise(home).alias("setting"), "p")

@@ -170,8 +170,8 @@ SELECT o_custkey AS name, CASE WHEN p >= CASE WHEN o_custkey % 2 = 0 THEN 0.55 E
 def name_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as passages that name their customer, with chances of two settings."""
     probs = F.create_map(F.lit("DE"), F.col("o_totalprice") % 97 / 100, F.lit("US"), F.col("o_totalprice") % 31 / 100)
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name"), (F.col("o_custkey") % 2 == 0).alias("in_dictionary"), probs.alias("probs"))
-    return desk.origins(rows, "name", "probs", 0.45, 0.55).select("name", "setting")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name"), (F.col("o_custkey") % 2 == 0).alias("in_dictionary"), probs.alias("probs"), "o_orderkey")
+    return desk.origins(rows, "name", "probs", 0.45, 0.55, order="o_orderkey").select("name", "setting")
 
 
 @query("SELECT l_orderkey, string_agg(f, ', ' ORDER BY n DESC, f) AS labels, round(sum(n), 2) AS total FROM (SELECT l_orderkey, l_returnflag AS f, sum(l_quantity) AS n FROM lineitem GROUP BY l_orderkey, l_returnflag) GROUP BY l_orderkey")
