@@ -10,6 +10,7 @@ double precision. Links are counted and joined to components inside the pair's t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -167,36 +168,61 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     return keys, copies, u, tree
 
 
-def _pair_of_blocks(least: float):
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        sides = sorted(rows.select(["block", "dim", "keys", "copies", "v", "nets", "radii"]).to_pylist(), key=lambda r: r["block"])
-        empty = pa.table({"key": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        keys, copies, u, tree = _unpack(sides[0])
-        same = len(sides) == 1
-        if not same and sides[1]["dim"] != sides[0]["dim"]:
-            return empty
-        keys2, copies2, w, other = (keys, copies, u, tree) if same else _unpack(sides[1])
-        links, base = np.zeros(len(keys) + (0 if same else len(keys2)), np.int64), 0 if same else len(keys)
+_PARTS = ["block", "dim", "keys", "copies", "v", "nets", "radii"]
+
+
+def _links_of_blocks(least: float):
+    """Links within pairs of blocks: rows have the columns of a block, and those of its partner after them. A block whose
+    turn comes again right after is unpacked once."""
+
+    def links(keys: np.ndarray, copies: np.ndarray, u: np.ndarray, tree: list, partner: tuple | None) -> pa.RecordBatch | None:
+        same = partner is None
+        keys2, copies2, w, other = (keys, copies, u, tree) if same else partner
+        n_links, base = np.zeros(len(keys) + (0 if same else len(keys2)), np.int64), 0 if same else len(keys)
         a, b = [], []
         for i, j in linked_pairs(u, tree, w, other, least, same):
-            np.add.at(links, i, copies2[j])
-            np.add.at(links, base + j, copies[i])
-            root = local_roots(len(links), i, base + j)  # of these pairs a spanning forest is enough
+            np.add.at(n_links, i, copies2[j])
+            np.add.at(n_links, base + j, copies[i])
+            root = local_roots(len(n_links), i, base + j)  # of these pairs a spanning forest is enough
             moved = np.flatnonzero(root != np.arange(len(root)))
             a.append(moved)
             b.append(root[moved])
         if not a:
-            return empty
+            return None
         every = keys if same else np.concatenate([keys, keys2])
-        root = local_roots(len(links), np.concatenate(a), np.concatenate(b))
+        root = local_roots(len(n_links), np.concatenate(a), np.concatenate(b))
         low = np.full(len(every), np.iinfo(np.int64).max)
         np.minimum.at(low, root, every)
-        some = links > 0
-        return pa.table({"key": every[some], "n": links[some], "root": low[root][some]})
+        some = n_links > 0
+        return pa.RecordBatch.from_arrays([pa.array(every[some]), pa.array(n_links[some]), pa.array(low[root][some])], names=["key", "n", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, None
+        for batch in batches:
+            for k in range(len(batch)):
+                row = [c[k].as_py() for c in batch.columns]
+                one, two = (dict(zip(_PARTS, row[i : i + len(_PARTS)], strict=True)) for i in (0, len(_PARTS)))
+                if one["block"] != last:
+                    last, left = one["block"], _unpack(one)
+                found = links(*left, None if two["block"] == last else _unpack(two))
+                if found is not None:
+                    yield found
 
     return run
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it an Arrow batch ends at 8 MB: a pair of blocks of usual size is one."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 8 << 20)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def near_duplicate_vectors(vectors: DataFrame, least: float = 0.9, block_rows: int = 4096, max_pivots: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Link vectors whose cosine is at least `least`. Returns one row per input row: the id, n_links (others linked
     directly), component_id (the smallest id reachable by links) and kept (whether that is the row's own id).
@@ -248,23 +274,21 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.9, block_rows: i
             p[:, : min(dim, wide)] = pivots[:, : min(dim, wide)]
             return _pack(key, rows, p)
 
-        packed = freeze(packed.groupBy("block").applyInArrow(pack, _PACKED), "blocks")
-        stats = sorted((r.block, r.cell, r.far, r.dim) for r in packed.select("block", "cell", "far", "dim").collect())
-        ids, cell, far, dim = (np.array(x) for x in zip(*stats, strict=True))
+        # files of at most 16 blocks, one of which a task holds while it reads another; enough of them to keep all cores busy
+        files = max(-(-blocks // 16), min(blocks, 1 + int((4 * spark.sparkContext.defaultParallelism) ** 0.5)))
+        packed = freeze(packed.repartitionByRange(files, "block").groupBy("block").applyInArrow(pack, _PACKED), "blocks")
         reach = float(np.sqrt(2 - 2 * least)) + _SLACK * 100
-        plain = bool((dim == wide).all())
-
-        def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for b in batch.column(0).to_pylist():
-                    at = int(np.searchsorted(ids, b))
-                    apart = chords(np.minimum(pivots[cell] @ pivots[cell[at]], 1)) if plain else np.zeros(len(ids))
-                    with_ = ids[(apart <= reach + far + far[at]) & (dim == dim[at])]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(with_), b, np.int32)), pa.array(np.minimum(with_, b).astype(np.int32)), pa.array(np.maximum(with_, b).astype(np.int32))], names=["block", "a", "b"])
-
-        pairs = packed.select("block").mapInArrow(partners, "block int, a int, b int")
-        sides = packed.join(pairs, "block")
-        found = freeze(sides.groupBy("a", "b").applyInArrow(_pair_of_blocks(least), "key long, n long, root long"), "links")
+        # chords from each pivot to all; a pivot of other length than its vectors bounds nothing
+        apart = chords(np.minimum(pivots @ pivots.T, 1))
+        far_off = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(apart)], "cell int, apart array<double>")
+        one = packed.join(F.broadcast(far_off), "cell").select(*_PARTS, "far", "apart")
+        two = packed.select(*(F.col(c).alias(f"{c}2") for c in (*_PARTS, "cell", "far")))
+        near = (F.col("dim") != wide) | (F.get("apart", F.col("cell2")) <= reach + F.col("far") + F.col("far2"))
+        # blocks are read for each other where they lie: nothing is shuffled, so the pairs take no disk
+        sides = one.join(two, (F.col("block") <= F.col("block2")) & (F.col("dim") - F.col("dim2") == 0) & near)
+        sides = sides.select(*_PARTS, *(f"{c}2" for c in _PARTS))
+        with _small_batches(spark):
+            found = freeze(sides.mapInArrow(_links_of_blocks(least), "key long, n long, root long"), "links")
     roots = components(found.where("key != root").select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("key").agg(F.sum("n").alias("links"))
     settled = classes.join(links, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
