@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from quirespark.llm import embedding_dedup
+from quirespark.llm import embedding_dedup, toxicity
 
 
 def test_pairs_of_blocks_are_not_shuffled(spark, monkeypatch):
@@ -17,3 +17,16 @@ def test_pairs_of_blocks_are_not_shuffled(spark, monkeypatch):
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     assert embedding_dedup.near_duplicate_vectors(rows, block_rows=8).count() == 80
     assert "hashpartitioning" not in plans["links"] and "MapInArrow" in plans["links"]
+
+
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    """Every labelled text outside fold 0 is counted, and no row of one is brought to the driver."""
+    frame, brought = type(spark.range(0)), []
+    to_arrow, limit = frame.toArrow, frame.limit
+    monkeypatch.setattr(frame, "toArrow", lambda self: (brought.append(t := to_arrow(self)), t)[1])
+    monkeypatch.setattr(frame, "limit", lambda self, n: (_ for _ in ()).throw(AssertionError("a sample")) if n > 100 else limit(self, n))
+    docs = spark.createDataFrame([(i, f"w{i % 97} {'vile' if i % 3 == 0 else 'kind'} w{i % 89}") for i in range(900)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) AS toxic")
+    got = toxicity.score_toxicity(docs, labels).collect()
+    assert all(r.predicted == (r.doc_id % 3 == 0) for r in got) and len(got) == 900
+    assert max(t.num_rows for t in brought) <= 30
