@@ -66,3 +66,16 @@ def test_a_mean_at_the_bound_does_not_depend_on_how_rows_are_dealt(spark):
         table = spark.createDataFrame(dealt, "o long, name string, in_dictionary boolean, probs map<string, double>").repartition(5)
         got = {r["name"]: r.setting for r in desk.origins(table, "name", "probs", bound, order="o").collect()}
         assert got == {n: "DE" if s == max(sums.values()) else "US" for n, s in sums.items()} | {"none": "US"}
+
+
+def test_chunks_of_few_texts_are_held_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    from quirespark.operators import books
+
+    runs = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, schema: runs.append(f) or self)
+    books.chunk_plan(spark.createDataFrame([(1, "x")], "doc_id long, text string"))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": ["One. Two." if i % 3 else "" for i in range(1000)]})
+    out = list(runs[0](iter([batch])))
+    assert max(len(b) for b in out) <= 64 and [i for b in out for i in b.column(0).to_pylist()] == [i for i in range(1000) if i % 3]
