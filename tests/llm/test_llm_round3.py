@@ -30,3 +30,22 @@ def test_toxicity_learns_from_all_labels(spark, monkeypatch):
     got = toxicity.score_toxicity(docs, labels).collect()
     assert all(r.predicted == (r.doc_id % 3 == 0) for r in got) and len(got) == 900
     assert max(t.num_rows for t in brought) <= 30
+
+
+def test_toxicity_counts_pairs_part_by_part(spark, monkeypatch):
+    """Contexts of a part are shuffled without the texts, no pair is in two parts, and nothing stays written."""
+    tables, plans, freeze = [], [], toxicity.freeze
+
+    def seen(df, name):
+        back = freeze(df, name)
+        if name == "pairs":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            tables.append([(r.word, r.before) for r in back.collect()])
+        return back
+
+    monkeypatch.setattr(toxicity, "freeze", seen)
+    docs = spark.createDataFrame([(i, f"w{i % 97} {'vile' if i % 3 == 0 else 'kind'} w{i % 89}") for i in range(300)], "doc_id long, text string")
+    toxicity.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) AS toxic"))
+    assert len(tables) > 1 and not any("Join" in p for p in plans)
+    assert len(set(sum(tables, []))) == sum(map(len, tables)) > 0
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
