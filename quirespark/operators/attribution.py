@@ -6,9 +6,11 @@ import math
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quirespark.shared import partitions
+
 #: What counts for and against a speaker.
 WEIGHTS = {
     "explicit": 12.0, "explicit_miss": -6.0, "gender_ok": 2.5, "gender_bad": -3.5, "addressed": -3.5, "recent": 1.2,
@@ -99,14 +101,17 @@ def attribute(quotes: DataFrame, genders: dict[str, str] | None = None, chapter:
     kinds = dict(quotes.dtypes)
     shape = ", ".join([*(f"`{c}` {kinds[c]}" for c in chapter + order), "speaker string, probability double"])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        items = rows.to_dict("records")
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in order])
+        items = rows.to_pylist()
         for q in items:
-            q |= {k: list(q[k]) if q[k] is not None else [] for k in ("addressed", "recent", "cands")}
-            q |= {k: q[k] if isinstance(q[k], str) and q[k] else None for k in ("explicit", "pron", "lead")}
+            q |= {k: q[k] or [] for k in ("addressed", "recent", "cands")}
+            q |= {k: q[k] or None for k in ("explicit", "pron", "lead")}
         told = dict(items[0].get("genders") or {}) if items else {}
         speakers, sure = decode(items, told | (genders or {}))
-        return rows[chapter + order].assign(speaker=speakers, probability=sure)
+        own = rows.select(chapter + order)
+        return own.append_column("speaker", pa.array(speakers, pa.string())).append_column("probability", pa.array(sure, pa.float64()))
 
-    return quotes.groupBy(*chapter).applyInPandas(run, shape)
+    # small rows make much work here, so they are dealt by a number of parts, which are not put together for their few bytes
+    dealt = quotes.repartition(partitions(quotes.sparkSession), *chapter)
+    return dealt.groupBy(*chapter).applyInArrow(run, shape)

@@ -79,3 +79,17 @@ def test_chunks_of_few_texts_are_held_at_once(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": ["One. Two." if i % 3 else "" for i in range(1000)]})
     out = list(runs[0](iter([batch])))
     assert max(len(b) for b in out) <= 64 and [i for b in out for i in b.column(0).to_pylist()] == [i for i in range(1000) if i % 3]
+
+
+def test_quotes_are_dealt_by_a_number_of_parts(spark):
+    """Chapters of few bytes and much work are not put together in a task or two; whole numbers and maps come through."""
+    from quirespark.operators import attribution
+
+    rows = [(c, i, i, "Ann" if i == 0 else None, "f" if i == 1 else None, None, False, False, False, [], [], ["Ann", "Bob"], {"Ann": "f", "Bob": "m"}) for c in range(40) for i in range(4)]
+    kind = "chapter int, pos int, para int, explicit string, pron string, lead string, split boolean, cont boolean, other boolean, addressed array<string>, recent array<string>, cands array<string>, genders map<string,string>"
+    got = attribution.attribute(spark.createDataFrame(rows, kind))
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.chapter, []).append((r.pos, r.speaker))
+    assert len(by) == 40 and len({tuple(sorted(v)) for v in by.values()}) == 1
