@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,19 +48,20 @@ def states(jobs: DataFrame, newest: int = 12) -> DataFrame:
     return every.select("queue", now.alias("current"), "queued", "done")
 
 
-def answered(messages: DataFrame, state: DataFrame, text: str = "text") -> DataFrame:
+def answered(messages: DataFrame, state: DataFrame, text: str = "text", shown: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """messages (queue, text and others) with command and answer: what a queue's `states` say to current, queue and done, and
     the list of commands to help. What asks for a change (stop, now, send, spellings) has its command and no answer; a
     message that is no command has neither. Queues without jobs have nothing to make. Messages may be a stream: the state is
-    joined to each batch as it is read then."""
+    joined to each batch as it is read then. `shown` is how an answer is given; a queue's answers are put so once, before
+    they meet its messages."""
     listed = F.lit("Send: " + "; ".join(f"{k} ({v})" for k, v in ASKED.items() if k != "help") + ".")
-    said = messages.withColumn("command", script.command(F.col(text))).join(state.withColumnsRenamed({"current": "_current", "queued": "_queued", "done": "_done"}), "queue", "left")
+    said = messages.withColumn("command", script.command(F.col(text))).join(state.select("queue", *(shown(F.col(c)).alias(f"_{c}") for c in ("current", "queued", "done"))), "queue", "left")
 
     def of(command: str, value: str, otherwise: str) -> Column:
-        return F.when(F.col("command") == command, F.coalesce(value, F.lit(otherwise)))
+        return F.when(F.col("command") == command, F.coalesce(value, shown(F.lit(otherwise))))
 
     answer = F.coalesce(
         of("current", "_current", "Nothing is being made and nothing is waiting."), of("queue", "_queued", "The queue is empty."), of("done", "_done", "Nothing has finished yet."),
-        F.when(F.col("command") == "help", listed),
+        F.when(F.col("command") == "help", shown(listed)),
     )
     return said.withColumn("answer", answer).drop("_current", "_queued", "_done")

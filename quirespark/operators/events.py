@@ -41,20 +41,24 @@ def streaks(events: DataFrame, by: str, order: list[str], bad: Column, halt: int
 def trailing_pace(events: DataFrame, by: str, ts: str, minutes: int, least_peak: int, share: float) -> DataFrame:
     """Events in the last minutes at each event, the highest such count so far, and whether the pace fell below share of it.
 
-    A key's events are dealt over stretches of time, four times as long as what is counted; the end of a stretch is also
-    seen by the next one, and the highest count so far is carried from stretch to stretch, in one small row for each."""
+    Events are counted by key and second, and each count comes again, taken away, when it is no longer among the last
+    minutes: a running sum, whose work does not grow with how many events a moment has. Seconds are dealt over stretches,
+    four times as long as what is counted; the end of a stretch is also seen by the next one, and the highest count so far
+    is carried from stretch to stretch, in one small row for each."""
     span = minutes * 60
-    own = events.withColumn("_s", F.col(ts).cast("timestamp").cast("double").cast("long")).withColumn("_b", F.floor(F.col("_s") / (4 * span)))
-    tail = own.where(F.pmod("_s", F.lit(4 * span)) > 3 * span).withColumns({"_b": F.col("_b") + 1, "_seen": F.lit(True)})
-    here = [by, "_b"]
-    trailing = Window.partitionBy(*here).orderBy("_s").rangeBetween(-(span - 1), 0)
-    so_far = Window.partitionBy(*here).orderBy("_s", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    n = own.withColumn("_seen", F.lit(False)).unionByName(tail).withColumn("n", F.count(F.lit(1)).over(trailing)).where("NOT _seen")
-    n = n.withColumn("peak", F.max("n").over(so_far))
-    tops = n.groupBy(F.col(by).alias("_k"), F.col("_b").alias("_c")).agg(F.max("n").alias("_top"))
-    earlier = F.max("_top").over(Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
-    n = n.join(tops.select("_k", "_c", earlier.alias("_top")), F.col(by).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_c")), "left").withColumn("peak", F.greatest("peak", "_top"))
-    return n.withColumn("slow", (F.col("peak") >= least_peak) & (F.col("n") < share * F.col("peak"))).drop("_s", "_b", "_seen", "_k", "_c", "_top")
+    own = events.withColumn("_s", F.col(ts).cast("timestamp").cast("double").cast("long"))
+    counted = own.groupBy(F.col(by).alias("_k"), F.col("_s").alias("_t")).agg(F.count(F.lit(1)).alias("_n")).withColumns({"_b": F.floor(F.col("_t") / (4 * span)), "_seen": F.lit(False)})
+    tail = counted.where(F.pmod("_t", F.lit(4 * span)) > 3 * span).withColumns({"_b": F.col("_b") + 1, "_seen": F.lit(True)})
+    come = counted.unionByName(tail)
+    gone = come.withColumns({"_t": F.col("_t") + span, "_n": -F.col("_n"), "_seen": F.lit(True)})
+    so_far = Window.partitionBy("_k", "_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    n = come.unionByName(gone).withColumn("n", F.sum("_n").over(so_far)).where("NOT _seen").withColumn("peak", F.max("n").over(so_far))
+    tops = n.groupBy(F.col("_k").alias("_k2"), F.col("_b").alias("_c")).agg(F.max("n").alias("_top"))
+    earlier = F.max("_top").over(Window.partitionBy("_k2").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
+    n = n.join(tops.select("_k2", "_c", earlier.alias("_top")), F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_b") == F.col("_c")), "left")
+    n = n.select("_k", "_t", "n", F.greatest("peak", "_top").alias("peak"))
+    found = own.join(n, F.col(by).eqNullSafe(F.col("_k")) & F.col("_s").eqNullSafe(F.col("_t")), "left")
+    return found.withColumn("slow", (F.col("peak") >= least_peak) & (F.col("n") < share * F.col("peak"))).drop("_s", "_k", "_t")
 
 
 def rates(runs: DataFrame, engine: str, chars: str, seconds: str, whole: Column, least_s: float) -> DataFrame:

@@ -188,4 +188,4 @@ def command_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     text = F.get(F.array(*map(F.lit, ["Status!", " Queue.", "finished", "hello there"])), F.pmod("turn", F.lit(4)).cast("int"))
     messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.pmod("conv_id", F.lit(50)).alias("queue"), text.alias("text"))
-    return answers.answered(messages, answers.states(jobs)).select("conv_id", "turn", "command", F.md5("answer").alias("answer"))
+    return answers.answered(messages, answers.states(jobs), shown=F.md5).select("conv_id", "turn", "command", "answer")

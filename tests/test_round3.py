@@ -93,3 +93,27 @@ def test_quotes_are_dealt_by_a_number_of_parts(spark):
     for r in got.collect():
         by.setdefault(r.chapter, []).append((r.pos, r.speaker))
     assert len(by) == 40 and len({tuple(sorted(v)) for v in by.values()}) == 1
+
+
+def test_answers_are_put_once_a_queue(spark):
+    """A long answer is turned into what is shown before it meets the messages, and shows the same."""
+    from pyspark.sql import functions as F
+
+    from quirespark.operators import answers
+
+    state = spark.createDataFrame([(1, "now", "1. x", "✓ y"), (2, "nothing", None, None)], "queue long, current string, queued string, done string")
+    messages = spark.createDataFrame([(q, t) for q in (1, 2, 3) for t in ("Status!", " Queue.", "finished", "help", "hello there")], "queue long, text string")
+    got = answers.answered(messages, state, shown=F.md5)
+    assert "md5(" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    want = answers.answered(messages, state).withColumn("answer", F.md5("answer"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_trailing_pace_adds_each_second_once(spark):
+    """No window looks again at the events of the last minutes for each event."""
+    from quirespark.operators import events
+
+    rows = spark.sql("SELECT id AS event_id, 'a' AS k, timestamp_seconds(id DIV 50) AS ts FROM range(1000)")
+    got = events.trailing_pace(rows, "k", "ts", 10, 6, 0.25)
+    assert "RangeFrame, -" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r.n == r.peak == min(600, r.event_id // 50 + 1) * 50 and not r.slow for r in got.collect())
