@@ -83,10 +83,10 @@ def recorded(runs: DataFrame, key: list[str], newest: list[str], keep: int = 300
 
 def without_cached(runs: DataFrame, factor: float = 1.5, least_s: float = 20.0) -> DataFrame:
     """runs (id, kind, engine, chars, seconds) without whole books that were faster than `factor` times their engine's speed
-    of speech: they used clips made before."""
+    of speech: they used clips made before. There is a row of speed for each engine, which goes to the runs where they are."""
     speech = runs.where((F.coalesce("kind", F.lit("")) != "job") & (F.col("seconds") >= least_s)).groupBy("engine").agg((F.sum("chars") / F.sum("seconds")).alias("_cps"))
     fast = (F.col("kind") == "job") & (F.col("chars") / F.greatest(F.col("seconds"), F.lit(1.0)) > factor * F.col("_cps"))
-    return runs.join(speech, "engine", "left").where(~F.coalesce(fast, F.lit(False))).drop("_cps")
+    return runs.join(F.broadcast(speech), "engine", "left").where(~F.coalesce(fast, F.lit(False))).drop("_cps")
 
 
 def fresh_chars(runs: DataFrame, since: DataFrame) -> DataFrame:

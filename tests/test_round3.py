@@ -117,3 +117,24 @@ def test_trailing_pace_adds_each_second_once(spark):
     got = events.trailing_pace(rows, "k", "ts", 10, 6, 0.25)
     assert "RangeFrame, -" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert all(r.n == r.peak == min(600, r.event_id // 50 + 1) * 50 and not r.slow for r in got.collect())
+
+
+def test_runs_are_not_dealt_by_their_few_engines(spark):
+    from quirespark.operators import queue
+
+    rows = spark.createDataFrame([(i, "job" if i % 2 else None, "AB"[i % 2], 100 * i, 30.0) for i in range(20)], "id long, kind string, engine string, chars long, seconds double")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert "SortMergeJoin" not in queue.without_cached(rows)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_words_are_counted_without_sentences(spark):
+    from quirespark.operators import names
+
+    docs = spark.createDataFrame([(1, "Mr. Éa went. Then\n\n He\u0001she, 3x. \"Go!\" VII"), (2, None), (3, ""), (4, " a. B\tc\r\nd a")], "doc_id long, text string")
+    got, want = names.word_counts(docs), names.tokens(docs).groupBy("word").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()
