@@ -73,7 +73,12 @@ def uses(docs: DataFrame, book: str, order: str, text: str = "text") -> DataFram
 
     found = own.select("book", "at", F.posexplode(F.transform("gaps", use)).alias("pos", "u")).select("book", "at", "pos", "u.*").where(F.char_length("word") >= 3)
     count = lambda u: F.count_if(F.col("use") == u).alias(u)
-    surfaces = found.groupBy("book", "word").agg(F.count(F.lit(1)).alias("n"), count("mid"), count("init"), count("lower"), F.min(F.struct("at", "pos")).alias("first"))
+    # a place as one number is added up by hashes; a struct would have every word of every text sorted first. Null ids come first
+    place = F.struct("at", "pos")
+    if dict(docs.dtypes)[order] in ("bigint", "int", "smallint", "tinyint"):
+        at = F.coalesce(F.col("at").cast("decimal(19,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(19,0)"))
+        place = at * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")
+    surfaces = found.groupBy("book", "word").agg(F.count(F.lit(1)).alias("n"), count("mid"), count("init"), count("lower"), F.min(place).alias("first"))
     shouted = F.upper("word") == F.col("word")
     best = F.min_by("word", F.struct(shouted.cast("int"), -F.col("n"), "first"))
     rows = surfaces.groupBy("book", F.lower("word").alias("key")).agg(best.alias("surface"), F.bool_and(shouted).alias("shouted"), F.sum("n").alias("count"), F.sum("mid").alias("mid"), F.sum("init").alias("init"), F.sum("lower").alias("lower"))

@@ -138,3 +138,16 @@ def test_words_are_counted_without_sentences(spark):
     got, want = names.word_counts(docs), names.tokens(docs).groupBy("word").count()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_of_a_book_are_counted_without_sorting_them(spark):
+    """The first place of a surface is one number, null ids first, as with ids that are text."""
+    from quirespark.operators import wordlist
+
+    rows = [(5, "Dolor dolOr sit"), (-7, "DolOr. Dolor Amet"), (None, "doloR AMET sit"), (2**40, "aMet dolor")]
+    docs = spark.createDataFrame([("b", i, t) for i, t in rows], "book string, doc_id long, text string")
+    by_text = docs.selectExpr("book", "CASE WHEN doc_id IS NULL THEN NULL WHEN doc_id = -7 THEN 'a' WHEN doc_id = 5 THEN 'b' ELSE 'c' END AS doc_id", "text")
+    got = wordlist.uses(docs, "book", "doc_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wordlist.uses(by_text, "book", "doc_id").collect()))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().count("SortAggregate")
+    assert plan(wordlist.uses(docs, "book", "doc_id")) < plan(wordlist.uses(by_text, "book", "doc_id"))
