@@ -56,12 +56,13 @@ def readings(docs: DataFrame) -> DataFrame:
     first = F.btrim(F.get(F.split(F.btrim(raw, F.lit(" \t\n\r")), "\n"), 0))
     unfit = (first == "") | (F.char_length(first) > 90) | first.rlike(r"^[0-9]{1,3}:[0-9]{1,3}\b")
     line = lambda mark: F.nullif(F.btrim(F.regexp_extract(raw, rf"{mark}:[ \t]*([^\n]+)", 1)), F.lit(""))
-    own = docs.select("doc_id", raw.alias("text"), F.when(unfit, F.col("name")).otherwise(first).alias("name"), line("Title").alias("marked"), line("Author").alias("author"))
-    kinds = books.text_kind(own).select("doc_id", "kind", "confidence", "n_marks", "headings", "loose")
+    own = docs.select("doc_id", raw.alias("text"), F.when(unfit, F.col("name")).otherwise(first).alias("name"), line("Title").alias("marked"), line("Author").alias("author")).where("doc_id IS NOT NULL")
+    own = books.text_kind(own, "text", "name", "marked", "author")
     likely = F.when(F.col("kind") == "chapters_loose", "single").otherwise(F.col("kind"))
     able = {"chapters": F.col("headings") >= 2, "chapters_loose": F.col("loose") >= 2, "verse": F.col("n_marks") > 20, "single": F.lit(True)}
     others = F.array_compact(F.array(*[F.when(able[r] & (likely != r), r) for r in TRIED]))
-    own = freeze(own.join(kinds, "doc_id").withColumn("order", F.concat(F.array(likely), others)), "texts")
+    own = own.select("doc_id", "text", F.char_length("text").alias("size"), "name", "marked", "author", "confidence", F.concat(F.array(likely), others).alias("order"))
+    own = freeze(own, "texts")
     level = F.when(F.col("level") == "ok", 0).when(F.col("level") == "check", 1).otherwise(2)
     done, left = [], own.withColumn("best", F.lit(3))
     for k in range(len(TRIED) + 1):
@@ -69,14 +70,19 @@ def readings(docs: DataFrame) -> DataFrame:
         if k and turn.isEmpty():
             break
         parts = [_read_as(r, turn.where(F.col("reader") == r)) for r in (("play", *TRIED) if not k else TRIED)]
-        read = functools.reduce(DataFrame.unionByName, parts).join(turn.select("doc_id", "reader", F.when(F.col("reader").isin("chapters", "chapters_loose", "single"), F.char_length("text")).alias("whole")), "doc_id")
-        report = books.validate(read, "doc_id", "title", "whole").select("doc_id", "level", "notes")
-        made = read.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chapter", "title", "heading", "text"))).alias("chapters"))
-        tried = turn.select("doc_id", "reader").join(made, "doc_id", "left").join(report, "doc_id", "left")
-        tried = freeze(tried.select("doc_id", F.lit(k).alias("try"), "reader", F.coalesce("level", F.lit("bad")).alias("level"), F.coalesce("notes", F.lit("")).alias("notes"), F.coalesce("chapters", F.array().cast(_CHAPTERS)).alias("chapters")), "readings")
+        # a text's chapters come together once, and are judged where they lie
+        made = functools.reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chapter", "title", "heading", "text"))).alias("chapters"))
+        whole = F.when(F.col("reader").isin("chapters", "chapters_loose", "single"), F.col("size"))
+        tried = books.validated(turn.select("doc_id", "reader", whole.alias("whole")).join(made, "doc_id", "left"), "chapters", "whole")
+        none = F.col("chapters").isNull()
+        tried = freeze(tried.select("doc_id", F.lit(k).alias("try"), "reader", F.when(none, "bad").otherwise(F.col("level")).alias("level"), F.when(none, "").otherwise(F.col("notes")).alias("notes"), F.coalesce("chapters", F.array().cast(_CHAPTERS)).alias("chapters")), "readings")
         done.append(tried)
         left = left.join(tried.select("doc_id", level.alias("now")), "doc_id", "left").withColumn("best", F.least("best", "now")).drop("now")
-    best = functools.reduce(DataFrame.unionByName, done).groupBy("doc_id").agg(F.min_by(F.struct("try", "reader", "level", "notes", "chapters"), F.struct(level.alias("l"), "try")).alias("b"))
+    tried = functools.reduce(DataFrame.unionByName, done)
+    if len(done) > 1:  # the best is found without the texts
+        first = tried.groupBy("doc_id").agg(F.min(F.struct(level.alias("l"), "try"))["try"].alias("first"))
+        tried = tried.join(first, "doc_id").where(F.col("try") == F.col("first"))
+    best = tried.select("doc_id", F.struct("try", "reader", "level", "notes", "chapters").alias("b"))
     reader = F.when(F.col("b.reader") == "chapters_loose", "chapters").otherwise(F.col("b.reader"))
     title = F.when(F.col("b.reader") == "play", F.coalesce("marked", "name")).otherwise(F.col("name"))
     return own.join(best, "doc_id").select("doc_id", title.alias("title"), F.when(F.col("b.reader") == "play", F.col("author")).alias("author"), reader.alias("reader"), "confidence", F.slice("order", F.lit(1), F.col("b.try") + 1).alias("tried"), "b.level", "b.notes", "b.chapters")

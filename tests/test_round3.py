@@ -151,3 +151,25 @@ def test_words_of_a_book_are_counted_without_sorting_them(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wordlist.uses(by_text, "book", "doc_id").collect()))
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString().count("SortAggregate")
     assert plan(wordlist.uses(docs, "book", "doc_id")) < plan(wordlist.uses(by_text, "book", "doc_id"))
+
+
+def test_chapters_are_judged_where_they_lie(spark, monkeypatch):
+    """The figures of an array of chapters are those of its rows, and a text meets its kind without a join."""
+    from pyspark.sql import functions as F
+
+    from quirespark.operators import books
+    from quirespark.sources import library
+
+    sizes = {"a": [10, 3000, None], "b": [70_000], "c": [None], "d": [100, 120, 90, 130, 60_000, 5, 140], "e": [1000] * 5, "f": [600, 700, 800, 900]}
+    rows = [(b, i, None if b == "a" else f"t{i % 2}" if b == "e" else f"t{i}", None if n is None else "é" * n, 8000 if b == "f" else 4000) for b, ns in sizes.items() for i, n in enumerate(ns)]
+    chapters = spark.createDataFrame(rows, "book string, chapter int, title string, text string, whole long")
+    made = chapters.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("chapter", "title", "text"))).alias("cs"), F.max("whole").alias("whole"))
+    got = sorted(map(tuple, books.validated(made, "cs", "whole").select("book", "notes", "level").collect()))
+    want = books.validate(chapters, "book", "title", "whole").select("book", "notes", "level")
+    assert len({r[1] for r in got}) > 4 and got == sorted(map(tuple, want.collect()))
+    plans, freeze = {}, library.freeze
+    monkeypatch.setattr(library, "freeze", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and freeze(df, name))
+    texts = spark.createDataFrame([(1, "a", "Chapter 1\n\n" + "x " * 100 + "\n\nChapter 2\n\n" + "y " * 100), (2, "b", "Plain."), (3, "c", None)], "doc_id long, name string, text string")
+    read = {r.doc_id: (r.reader, r.level, len(r.chapters)) for r in library.readings(texts).collect()}
+    assert read == {1: ("chapters", "ok", 2), 2: ("single", "bad", 1), 3: ("single", "bad", 1)}
+    assert "Join" not in plans["texts"] and plans["readings"].count("Join") == 1
