@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType
@@ -141,7 +143,7 @@ def _folded(piece: Column) -> Column:
     return F.regexp_replace(F.lower(F.replace(piece, F.lit("’"), F.lit("'"))), r"\s+", " ")
 
 
-#: So many first words of terms are looked for in the texts before anything is shuffled.
+#: So many terms go to the texts; of more terms, so many first words are looked for in them before anything is shuffled.
 FIRST_WORDS = 10_000
 
 
@@ -185,20 +187,63 @@ def chosen_terms(entries: DataFrame, mode: str, tested: DataFrame | None = None)
     return rows.where("written IS NOT NULL AND written != ''")
 
 
+def _replacer(terms: dict[tuple[str, int], str], markup: bool) -> Callable[[str | None], str | None]:
+    """What puts terms, by phrase and number of pieces, into a text."""
+    cut, blank = re.compile(f"([{T.LETTER}]+)"), re.compile(r"\s+", re.ASCII)
+    heads, sizes = {cut.match(phrase)[0] for phrase, _ in terms}, sorted({n for _, n in terms}, reverse=True)
+
+    def folded(pieces: list[str]) -> str:
+        return "".join(blank.sub(" ", p.replace("’", "'").lower()) for p in pieces)
+
+    def cased(was: str, new: str) -> str:
+        if markup:
+            return f"[{was}](/{new.strip('/')}/)"
+        if len(was) > 1 and was.upper() == was:
+            return new.upper()
+        return new[:1].upper() + new[1:] if was[:1].lower() != was[:1] else new
+
+    def put(text: str | None) -> str | None:
+        if text is None:
+            return None
+        p, out, end = cut.split(text), [], 0  # words have the odd places
+        for i in range(1, len(p), 2):
+            if i >= end and p[i].lower() in heads:
+                for n in sizes:
+                    new = terms.get((folded(p[i : i + n]), n)) if i + n <= len(p) else None
+                    if new is not None:
+                        out += [*p[end:i], cased(blank.sub(" ", "".join(p[i : i + n])), new)]
+                        end = i + n
+                        break
+        return "".join(out + p[end:])
+
+    return put
+
+
 def substitute(rows: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text", markup: bool = False) -> DataFrame:
     """rows with words and phrases of the lexicon (term, written) replaced.
 
-    Texts are cut into words and what stands between them; every run of pieces as long as some term meets the terms in
-    an equi join, so the lexicon may be large. Where terms overlap the first place counts, and there the longest term;
+    Texts are cut into words and what stands between them. Up to FIRST_WORDS terms go to the texts, which stay where they
+    are; of a larger lexicon every run of pieces as long as some term meets the terms in an equi join. Where terms overlap the first place counts, and there the longest term;
     what was written is not looked at again. Capitals carry over; with markup the word stays, followed by its sound.
     Terms begin and end with a letter. Of terms that are equal but for case the one with the first `written` counts. A
     null text stays null; id_col must be unique. Without terms rows stay as they are.
     """
     terms = lexicon.where((F.col("written") != "") & F.col("term").rlike(f"^[{T.LETTER}]")).select(F.transform(_pieces(F.col("term")), _folded).alias("p"), "written")
     terms = terms.select(F.array_join("p", "").alias("_phrase"), F.size("p").alias("_size"), "written").groupBy("_phrase", "_size").agg(F.min("written").alias("_written"))
-    lengths = [r[0] for r in terms.select("_size").distinct().orderBy("_size").collect()]  # pieces of a phrase: a handful
-    if not lengths:
+    few = terms.limit(FIRST_WORDS + 1).collect()
+    if not few:
         return rows
+    if len(few) <= FIRST_WORDS:
+        known, at = {(r["_phrase"], r["_size"]): r["_written"] for r in few}, rows.columns.index(text_col)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            put = _replacer(known, markup)
+            for batch in (b.slice(k, 64) for b in batches for k in range(0, len(b), 64)):
+                done = pa.array(map(put, batch.column(at).to_pylist()), pa.string())
+                yield pa.RecordBatch.from_arrays([done if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+        return rows.mapInArrow(run, rows.schema)
+    lengths = [r[0] for r in terms.select("_size").distinct().orderBy("_size").collect()]  # pieces of a phrase: a handful
     own = rows.withColumn("_p", _pieces(F.col(text_col)))
     folded = own.select(id_col, F.transform("_p", _folded).alias("_f"))
     # only runs that begin as some term does are sent to the join; a lexicon of very many first words looks at all

@@ -173,3 +173,20 @@ def test_chapters_are_judged_where_they_lie(spark, monkeypatch):
     read = {r.doc_id: (r.reader, r.level, len(r.chapters)) for r in library.readings(texts).collect()}
     assert read == {1: ("chapters", "ok", 2), 2: ("single", "bad", 1), 3: ("single", "bad", 1)}
     assert "Join" not in plans["texts"] and plans["readings"].count("Join") == 1
+
+
+def test_few_terms_go_to_the_texts(spark, monkeypatch):
+    """Texts are not shuffled for a small lexicon, and come out as by the join with a large one."""
+    from quirespark.operators import speech
+
+    texts = ["Of  the idiot, OF THE IDIOT's; of\nThe", "of", "The", "", None, "Élan o’er O'ER o'er. the the of the", " the.", "of theof the", "ÉLAN élan x.y X.Y x.y!", "the" * 3 + " of the of\u000bthe"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    lexicon = spark.createDataFrame([("of the", "within the"), ("the", "this"), ("The", "zz"), ("idiot", "fool"), ("o'er", "over"), ("élan", "/ßpirit/"), ("x.", "ex"), ("x.y", "ex why")], "term string, written string")
+    for markup in (False, True):
+        got = speech.substitute(rows, lexicon, markup=markup)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        with monkeypatch.context() as m:
+            m.setattr(speech, "FIRST_WORDS", 3)
+            want = speech.substitute(rows, lexicon, markup=markup)
+            assert "Exchange" in want._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
