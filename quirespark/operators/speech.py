@@ -52,17 +52,24 @@ def _steps(written: str, read: str, where: str) -> list[tuple[str, str]]:
 def expand(text: Column) -> Column:
     """Abbreviations in full, then Roman numerals of two letters or more: a cardinal after Act, Scene, ..., an ordinal
     after another capitalised word. Null stays null."""
-    plain = reduce(lambda t, step: F.regexp_replace(t, step[0], step[1]), [s for row in ABBREVIATIONS for s in _steps(*row)], text)
-    parts = F.split(plain, " ", -1)
+    plain = reduce(_written_out, ABBREVIATIONS, text)
+    numeral = r"[IVXLC]{2,}(?![\p{L}\p{N}_])"
 
-    def word(w: Column, i: Column) -> Column:
-        sign = F.regexp_extract(w, r"^([IVXLC]{2,})(?![\p{L}\p{N}_])", 1)
-        before = F.regexp_extract(F.when(i > 0, F.get(parts, i - 1)).otherwise(""), r"(?<![\p{L}\p{N}_])([A-Z][a-z]+)$", 1)
+    def word(parts: Column, w: Column, i: Column) -> Column:
+        sign = F.regexp_extract(w, f"^({numeral})", 1)
+        before = F.regexp_extract(F.substring_index(F.get(parts, i - 1), " ", -1), r"(?<![\p{L}\p{N}_])([A-Z][a-z]+)$", 1)
         n = T.roman_value(F.when(sign == "", "I").otherwise(sign))
         read = T.bound(n, lambda n: F.when(before.isin(DIVISIONS), T.said(n)).otherwise(F.concat(F.lit("the "), T.said_ordinal(n))))
-        return F.when((sign == "") | (before == ""), w).otherwise(F.concat(read, F.substring(w, F.char_length(sign) + 1, F.char_length(w))))
+        return F.when(i == 0, w).when(before == "", w).otherwise(F.concat(read, F.substring(w, F.char_length(sign) + 1, F.char_length(w))))
 
-    return F.array_join(F.transform(parts, word), " ")
+    # the text is cut only before words that are numerals, and the cuts are made once
+    return T.bound(F.split(plain, f" (?={numeral})", -1), lambda parts: F.when(parts.isNotNull(), F.array_join(F.transform(parts, lambda w, i: word(parts, w, i)), " ")))
+
+
+def _written_out(text: Column, row: tuple[str, str, str]) -> Column:
+    """text with one abbreviation in full. Most texts lack most abbreviations: these are only looked through for the letters."""
+    steps = _steps(*row)
+    return T.bound(text, lambda t: F.when(F.contains(t, F.lit(row[0])), reduce(lambda x, step: F.regexp_replace(x, step[0], step[1]), steps, t)).otherwise(t))
 
 
 def _headed(x: Column) -> Column:

@@ -190,3 +190,18 @@ def test_few_terms_go_to_the_texts(spark, monkeypatch):
             want = speech.substitute(rows, lexicon, markup=markup)
             assert "Exchange" in want._jdf.queryExecution().executedPlan().toString()
             assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_abbreviations_that_a_text_lacks_are_no_patterns(spark):
+    """A text is looked through for the letters first, and cut once, before its numerals only."""
+    from pyspark.sql import functions as F
+
+    from quirespark.operators import speech
+
+    texts = ["King Louis XVIII met M. Morrel in Act II of it", "XIV Act IV, Scene\nII XX", "W. Va., Malden, W. Va., Jr. a Jr. i.e. etc., etc.", "Part XIx Louis\n LX", "Canto XLL Mme. de Mme Ba", "", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", speech.expand(F.col("t")).alias("t"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("contains(") == len(speech.ABBREVIATIONS) and plan.count("split(transform(") == 1
+    assert [r.t for r in got.orderBy("i").collect()] == [
+        "King Louis the eighteenth met Monsieur Morrel in Act two of it", "XIV Act four, Scene\nII XX", "W. Va., Malden, West Virginia, Jr. a Junior that is, et cetera, et cetera.", "Part XIx Louis\n the sixtieth", "Canto ninety Mme. de Madame Ba", "", None,
+    ]
