@@ -205,3 +205,20 @@ def test_abbreviations_that_a_text_lacks_are_no_patterns(spark):
     assert [r.t for r in got.orderBy("i").collect()] == [
         "King Louis the eighteenth met Monsieur Morrel in Act two of it", "XIV Act four, Scene\nII XX", "W. Va., Malden, West Virginia, Jr. a Junior that is, et cetera, et cetera.", "Part XIx Louis\n the sixtieth", "Canto ninety Mme. de Madame Ba", "", None,
     ]
+
+
+def test_sentences_are_cut_once_for_their_pace(spark, monkeypatch):
+    """Counts of a group are those of its clips, and only the counts of equal paces are read twice."""
+    from pyspark.sql import functions as F
+
+    from quirespark.operators import books
+
+    text = "Mr. A. Long walked over the hills of home. \u0001 He wondered whether interdisciplinarity notwithstanding mattered! \n \"Go to it as we do it if it is so,\" he said. No. 5 is it."
+    docs = spark.createDataFrame([(i, text[i % 7 :], (None, "en", "de")[i % 3] if i else "fr") for i in range(40)], "doc_id long, text string, lang string")
+    p = books.clip_pace(docs, "lang", 1.2, 0.8).groupBy("lang").agg(F.count(F.lit(1)), F.first("median_pace"), F.count_if(F.expr("problem = 'rushed'")), F.count_if(F.expr("problem = 'drawn out'")))
+    frozen, freeze = [], books.freeze
+    monkeypatch.setattr(books, "freeze", lambda df, name: frozen.append(name) or freeze(df, name))
+    got = books.clip_pace_counts(docs, "lang", 1.2, 0.8)
+    assert frozen == ["paces"] and "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, p.collect())) and [r[0] for r in rows] == ["de", "en", "fr"] and rows[0][3] > 0 and rows[0][4] > 0 and rows[2][2] is None
