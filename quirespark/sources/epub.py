@@ -116,7 +116,8 @@ def blocks(files: DataFrame) -> DataFrame:
         link = pa.list_(pa.struct([("k", pa.int32()), ("number", pa.int32()), ("file", pa.string()), ("frag", pa.string()), ("ids", pa.list_(pa.string()))]))
         kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), link]
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k in range(len(batch)):  # one archive is opened at a time
+                path, content = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
                 try:
                     found = [(path, *row) for row in _opened(content)]
                 except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, StopIteration, UnicodeDecodeError) as e:

@@ -222,3 +222,16 @@ def test_sentences_are_cut_once_for_their_pace(spark, monkeypatch):
     assert frozen == ["paces"] and "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()
     rows = sorted(map(tuple, got.collect()))
     assert rows == sorted(map(tuple, p.collect())) and [r[0] for r in rows] == ["de", "en", "fr"] and rows[0][3] > 0 and rows[0][4] > 0 and rows[2][2] is None
+
+
+def test_archives_are_made_and_read_one_at_a_time(spark):
+    """No pandas frame is made of a book, and its key, cover and chapters come through."""
+    from quirespark.sources import readers, sinks
+
+    chapters = spark.createDataFrame([(7, 2, "Two", "b & c"), (7, 1, None, "a\n\nb"), (None, 1, "One", "x"), (8, 1, "No", " ")], "book long, index int, title string, text string")
+    about = spark.createDataFrame([(7, "T", None, bytearray(b"jpeg"))], "book long, title string, author string, cover binary")
+    files = sinks.epub_files(chapters, about)
+    assert "InArrow" in files._jdf.queryExecution().optimizedPlan().toString() and "InPandas" not in files._jdf.queryExecution().optimizedPlan().toString()
+    got = files.selectExpr("coalesce(string(book), 'none') || '.epub' AS path", "content")
+    assert sorted((r.path, r.pos, r.level, r.text) for r in readers.zipped_blocks(got).collect()) == [("7.epub", 0, 0, "a"), ("7.epub", 1, 0, "b"), ("7.epub", 2, 1, "Two"), ("7.epub", 3, 0, "b & c"), ("none.epub", 0, 1, "One"), ("none.epub", 1, 0, "x")]
+    assert {r.book: b"cover.jpg" in bytes(r.content) for r in files.collect()} == {7: True, None: False}
