@@ -7,3 +7,11 @@ def test_a_text_without_words_has_one_blank(spark, tmp_path):
     rows = [(1, "A.", "en", "x"), (2, None, "en", "x"), (3, "", None, None), (4, "É 5 b", "de", "x"), (5, "Ab", "en", "x"), (6, "then Anna went", "en", "x"), (7, "Anna.", "fr", "x")]
     got, want = held(spark, tmp_path, "repaired_texts", documents=(rows, DOCS))
     assert len(got) == 7 and got.equals(want)
+
+
+def test_empty_texts_and_what_readers_leave_out(spark, tmp_path):
+    texts = ["", None, " : \n", "123", " 2024 ", "12345", "[_aside_] so _] it", "so *** END OF it", "a\u0085 b SS.", "x\u0001y\u0002z", "A word."]
+    rows = [(4 * i + k, t, "en", "x") for i, t in enumerate(texts) for k in range(4)]
+    for name in ("text_kind", "text_readings"):
+        got, want = held(spark, tmp_path / name, name, documents=(rows, DOCS))
+        assert len(got) == len(rows) and got.equals(want)
