@@ -15,7 +15,8 @@ CHECKED, VERIFIED = "checked", "verified"
 def mid_sentence_capitals(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
     """by and word: words, in small letters, that a book writes with a capital within a sentence: its names. Null texts
     have none. Each text's words are made distinct before anything is shuffled."""
-    inside = "(?U)(?<![.!?\"“”‘’\n] )(?<!^)\\b([A-Z][a-z]+)\\b"
+    # most places are no capital, which is looked for first
+    inside = "(?U)(?=[A-Z])(?<![.!?\"“”‘’\n] )(?<!^)\\b([A-Z][a-z]+)\\b"
     words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(inside), 1), lambda w: F.lower(w)))
     return docs.select(by, F.explode(words).alias("word")).distinct()
 

@@ -138,7 +138,7 @@ def repaired_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     a capital, and what English has, decides which words keep theirs. Only letters are left of them, so ESQ is no title. The
     end stands one blank after what is before it, also if that is the beginning."""
     docs = _docs(spark, sf_dir)
-    words = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "), " ", -1), lambda w: F.char_length(w) >= 2)
-    loud = docs.select("book", F.col("doc_id").alias("chapter"), F.concat(F.lit("Note from the original file: x\n\nThus: "), F.array_join(F.concat(F.transform(words, F.upper), F.array(F.lit(", they cried ."))), " ")).alias("text"))
+    words = F.filter(F.split(F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " ")), " ", -1), lambda w: F.char_length(w) >= 2)
+    loud = docs.select("book", F.col("doc_id").alias("chapter"), F.concat(F.lit("Note from the original file: x\n\nThus: "), F.array_join(F.concat(words, F.array(F.lit(", they cried ."))), " ")).alias("text"))
     fixed = repair.repaired(loud, _frequencies(docs), names=lexicon.mid_sentence_capitals(docs, "book"), titles=False)
     return fixed.select(F.col("chapter").alias("doc_id"), F.md5("text").alias("digest"))

@@ -15,3 +15,21 @@ def test_empty_texts_and_what_readers_leave_out(spark, tmp_path):
     for name in ("text_kind", "text_readings"):
         got, want = held(spark, tmp_path / name, name, documents=(rows, DOCS))
         assert len(got) == len(rows) and got.equals(want)
+
+
+def test_words_of_a_long_chapter_are_not_looked_for_in_a_map(spark):
+    """A chapter of many different words takes no longer a word than a short one, and other columns come through."""
+    from quirespark.operators import repair
+
+    words = [a + b + c for a in "BCDFG" for b in "AEOU" for c in ("ND", "RT", "LM", "ST")]
+    rows = [("a", 1, "He saw Bart and Gust. B AND it. " + "  ".join(words * 2) + " . DEST “DUST XIV OF” it", [7]), ("a", 2, None, None), ("b", 1, "BART it\nGUST  XIV OF", [])]
+    chapters = spark.createDataFrame(rows, "book string, chapter int, text string, more array<int>")
+    frequencies = spark.createDataFrame([(w.lower(), "en", 2.4 if w[0] == "D" else 1.0 if w[0] == "F" else 3.0) for w in words if w[0] != "C"] + [("of", "en", 5.0), ("cand", "de", 5.0)], "word string, lang string, zipf double")
+    got = repair.repaired(chapters, frequencies)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "map_from_entries" not in plan
+    form = {w: w.title() if w in ("BART", "GUST") else w if w[0] in "CF" else w.lower() for w in words}
+    run = "  ".join(form[w] for w in words)
+    want = {("a", 1): f"He saw Bart and Gust. Band it. {run[0].upper()}{run[1:]}  {run}. Dest “Dust XIV of” it", ("a", 2): None, ("b", 1): "Bart it\nGust  XIV of"}
+    assert {(r.book, r.chapter): r.text for r in got.collect()} == want
+    assert sorted((r.book, r.chapter, r.more) for r in got.collect()) == [("a", 1, [7]), ("a", 2, None), ("b", 1, [])]
