@@ -33,3 +33,19 @@ def test_words_of_a_long_chapter_are_not_looked_for_in_a_map(spark):
     want = {("a", 1): f"He saw Bart and Gust. Band it. {run[0].upper()}{run[1:]}  {run}. Dest “Dust XIV of” it", ("a", 2): None, ("b", 1): "Bart it\nGust  XIV of"}
     assert {(r.book, r.chapter): r.text for r in got.collect()} == want
     assert sorted((r.book, r.chapter, r.more) for r in got.collect()) == [("a", 1, [7]), ("a", 2, None), ("b", 1, [])]
+
+
+def test_words_that_are_sorted_come_out_as_hashed_ones(spark, monkeypatch):
+    """A lookup of too many rows for a hash table is joined by sorting, with the same result."""
+    from quirespark.operators import repair
+
+    rows = [("a", 1, "Old Bart went. BART AND GUST met B AND X YZZ ."), ("b", 1, "It was BART , NO ONE"), (None, 1, "so NO Bart and BART NO")]
+    chapters = spark.createDataFrame(rows, "book string, chapter int, text string")
+    frequencies = spark.createDataFrame([("and", "en", 5.0), ("no", "en", 2.2), ("no", "en", 1.0), ("one", "en", None)], "word string, lang string, zipf double")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    hashed = repair.repaired(chapters, frequencies)
+    monkeypatch.setattr(repair, "HASHED", 0)
+    sorted_ = repair.repaired(chapters, frequencies)
+    assert "shuffle_hash" in plan(hashed) and "shuffle_hash" not in plan(sorted_)
+    assert sorted(map(str, hashed.collect())) == sorted(map(str, sorted_.collect()))
+    assert {r.book: r.text for r in hashed.collect()}["a"] == "Old Bart went. Bart and GUST met B And X YZZ."
